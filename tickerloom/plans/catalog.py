@@ -40,4 +40,5 @@ def load_all() -> None:
         market_queries,
         quality_queries,
         risk_queries,
+        rule_queries,
     )

@@ -126,7 +126,7 @@ def price_violations(spark, sf):
     "session_coverage",
     with_ctes("bars")
     + """SELECT b.ticker, b.n AS rows, CAST(a AS VARCHAR) AS first_date, CAST(z AS VARCHAR) AS last_date, count(s.d) - b.n + 0 AS missing_sessions, 0::BIGINT AS extra_sessions
-         FROM (SELECT ticker, count(*) AS n, min(d) AS a, max(d) AS z FROM bars GROUP BY 1) b JOIN (SELECT d FROM bars WHERE ticker = 'SPY') s ON s.d BETWEEN a AND z GROUP BY ALL""",
+         FROM (SELECT ticker, count(*) AS n, min(d) AS a, max(d) AS z FROM bars GROUP BY 1) b JOIN (SELECT d FROM bars WHERE ticker = 'SPY') s ON s.d BETWEEN a AND z GROUP BY b.ticker, b.n, a, z""",
 )
 def coverage(spark, sf):
     x = qa.session_coverage(standins.bars(spark, sf))
@@ -276,7 +276,7 @@ def seeded(spark, sf):
     + """SELECT kind, n, examples FROM (
            SELECT p AS kind, count(*) AS n, array_to_string(list_sort((list(document_id ORDER BY document_id))[1:5]), ',') AS examples FROM (
              SELECT document_id, unnest(list_filter([CASE WHEN doc_id % 97 = 0 THEN 'available_missing' END, CASE WHEN doc_id % 31 = 0 THEN 'published_without_zone' END,
-                    CASE WHEN fet < av THEN 'fetched_before_available' END], lambda x: x IS NOT NULL)) AS p FROM raw_docs) GROUP BY 1)""",
+                    CASE WHEN doc_id % 97 <> 0 AND fet < av THEN 'fetched_before_available' END], lambda x: x IS NOT NULL)) AS p FROM raw_docs) GROUP BY 1)""",
 )
 def problems(spark, sf):
     d = standins.documents(spark, sf)
