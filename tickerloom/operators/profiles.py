@@ -11,6 +11,7 @@ from tickerloom.domain import BENCHMARK, PROFILE_MIN_HISTORY, PROFILE_WINDOW, SE
 from tickerloom.functions.columns import clean, ratio
 from tickerloom.operators.blocks import session_numbers
 from tickerloom.operators.ranks import percentile_rank
+from tickerloom.session import cut_lineage
 
 PRICE = "Adj Close"
 
@@ -56,15 +57,16 @@ def risk_features(bars: DataFrame) -> DataFrame:
     stats = everyone.join(stats, "ticker", "left").withColumn("history_days", F.coalesce("history_days", F.lit(0)))
     enough = F.col("history_days") >= PROFILE_MIN_HISTORY
 
-    window_prices = newest(
-        bars.filter(F.col(f"`{PRICE}`").isNotNull()).select("ticker", "Date", F.col(PRICE).alias("price")), PROFILE_WINDOW + 1
-    ).join(stats.select("ticker", "history_days"), "ticker")
+    recent = newest(
+        bars.select("ticker", "Date", F.col(PRICE).alias("price"), "Close", "Dividends"), PROFILE_WINDOW + 1
+    )
+    window_prices = recent.filter(F.col("price").isNotNull()).join(stats.select("ticker", "history_days"), "ticker")
     window_prices = window_prices.filter(F.col("_rn") <= F.col("history_days") + 1)
     up_to = Window.partitionBy("ticker").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
     fall = window_prices.withColumn("fall", ratio(F.col("price"), F.max("price").over(up_to)) - 1)
     drawdown = fall.groupBy("ticker").agg(F.min("fall").alias("drawdown"))
 
-    own = newest(bars.select("ticker", "Date", "Close", "Dividends"), PROFILE_WINDOW)
+    own = recent.filter(F.col("_rn") <= PROFILE_WINDOW)
     payout = own.groupBy("ticker").agg(
         ratio(F.sum("Dividends"), F.nullif(F.max_by("Close", "Date"), F.lit(0.0))).alias("yield")
     )
@@ -86,9 +88,11 @@ def risk_features(bars: DataFrame) -> DataFrame:
 
 def asset_profiles(bars: DataFrame, universe: DataFrame) -> DataFrame:
     """Universe metadata (typed, without index rows) plus the nested risk object."""
+    bars = cut_lineage(bars)
     latest = bars.groupBy("ticker").agg(F.max("Date").alias("as_of"))
     assets = read_universe(universe).join(latest, "ticker")
-    risk = assets.join(risk_features(bars), "ticker", "left")
+    # one row per asset, read three times by the rank below
+    risk = cut_lineage(assets.join(risk_features(bars), "ticker", "left"))
     ranked = percentile_rank(risk, "volatility_1y", "_rank").withColumn("volatility_rank", clean(F.col("_rank"), 4))
     fields = ["volatility_1y", "beta", "max_drawdown_1y", "dividend_yield", "history_days", "volatility_rank"]
     return ranked.select(*assets.columns, F.struct(*fields).alias("risk"))

@@ -305,7 +305,9 @@ def asset_stance(requests: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("forecast_return"), F.col("_vol"), F.col("sentiment"), F.col("width"),
         F.coalesce("risk_profile", F.lit(DEFAULT_PROFILE)), nothing, nothing,
     )
-    j = j.withColumn("_vol", vol).withColumn("_d", F.when(F.col("_vol").isNotNull(), decision))
+    j = j.withColumn("_vol", vol).withColumn(
+        "_d", F.when(F.col("_key").isNotNull() & F.col("_vol").isNotNull(), decision)
+    )
     status = (
         F.when(F.col("_key").isNull(), "unknown_ticker").when(F.col("_vol").isNull(), "no_volatility").otherwise("evaluated")
     )

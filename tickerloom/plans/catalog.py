@@ -41,4 +41,5 @@ def load_all() -> None:
         quality_queries,
         risk_queries,
         rule_queries,
+        text_queries,
     )
