@@ -42,4 +42,5 @@ def load_all() -> None:
         risk_queries,
         rule_queries,
         text_queries,
+        evidence_queries,
     )

@@ -244,7 +244,7 @@ cte(
     WITH sent AS (SELECT document_id, mt, s, i FROM (SELECT document_id, mt, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (
              SELECT document_id, mt, string_split(regexp_replace(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS ss FROM prepared WHERE source_type = 'news'))),
     hit AS (SELECT document_id, i, s, ticker FROM (SELECT document_id, i, s, unnest(mt) AS ticker FROM sent) JOIN company_names USING (ticker)
-            WHERE regexp_matches(s, '(?i)(^|[^\\p{L}\\p{N}_])' || short || '([^\\p{L}\\p{N}_]|$)')),
+            WHERE contains(lower(s), short) AND CASE WHEN contains(lower(s), short) THEN regexp_matches(s, '(?i)(^|[^\\p{L}\\p{N}_])' || short || '([^\\p{L}\\p{N}_]|$)') ELSE false END),
     one AS (SELECT document_id, i, any_value(s) AS s, any_value(ticker) AS ticker FROM hit GROUP BY 1, 2 HAVING count(*) = 1)
     SELECT p.document_id, p.ticker, coalesce(t.text, '') AS text FROM (SELECT document_id, unnest(mt) AS ticker FROM prepared WHERE source_type = 'news') p
     LEFT JOIN (SELECT document_id, ticker, string_agg(s, ' ' ORDER BY i) AS text FROM one GROUP BY 1, 2) t USING (document_id, ticker)""",
@@ -433,7 +433,7 @@ def diagnostics(spark, sf):
     "name_contamination",
     with_ctes("scored", "company_names")
     + """SELECT s.document_id, s.ticker, n.ticker AS other FROM scored s JOIN company_names n ON n.ticker <> s.ticker
-         AND regexp_matches(s.text, '(?i)(^|[^\\p{L}\\p{N}_])' || n.short || '([^\\p{L}\\p{N}_]|$)') WHERE s.status = 'scored'""",
+         AND contains(lower(s.text), n.short) AND CASE WHEN contains(lower(s.text), n.short) THEN regexp_matches(s.text, '(?i)(^|[^\\p{L}\\p{N}_])' || n.short || '([^\\p{L}\\p{N}_]|$)') ELSE false END WHERE s.status = 'scored'""",
 )
 def contamination(spark, sf):
     inputs = attributed(spark, sf)
