@@ -43,4 +43,6 @@ def load_all() -> None:
         rule_queries,
         text_queries,
         evidence_queries,
+        investor_queries,
+        forecast_queries,
     )
