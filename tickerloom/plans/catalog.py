@@ -45,4 +45,7 @@ def load_all() -> None:
         evidence_queries,
         investor_queries,
         forecast_queries,
+        ingest_queries,
+        storage_queries,
+        stream_queries,
     )
