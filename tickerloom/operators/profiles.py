@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tickerloom.domain import BENCHMARK, PROFILE_MIN_HISTORY, PROFILE_WINDOW, SESSIONS_PER_YEAR
 from tickerloom.functions.columns import clean, ratio
-from tickerloom.operators.blocks import session_numbers
 from tickerloom.operators.ranks import percentile_rank
 from tickerloom.session import cut_lineage
 
@@ -18,10 +17,9 @@ PRICE = "Adj Close"
 
 def calendar(bars: DataFrame) -> DataFrame:
     """All session dates of any ticker with the date of the session before."""
-    days = bars.select("Date").distinct().withColumn("_all", F.lit("all"))
-    numbered = session_numbers(days, "_all", "Date").drop("_all")
-    following = numbered.select(F.col("Date").alias("previous"), (F.col("session_no") + 1).alias("session_no"))
-    return numbered.join(following, "session_no", "left").select("Date", "previous")
+    # distinct dates only: at most one row per calendar day, however many bars there are
+    order = Window.partitionBy(F.lit(1)).orderBy("Date")
+    return bars.select("Date").distinct().select("Date", F.lag("Date").over(order).alias("previous"))
 
 
 def session_returns(bars: DataFrame) -> DataFrame:
