@@ -97,14 +97,29 @@ def kept(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def _decimal(value: Column, pattern: str) -> Column:
+    # the decimal formatter rounds the exact binary value half to even and is reused per task
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def signed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%+.{digits}f", value)
+    zeros = "0" + ("." + "0" * digits if digits else "")
+    return _decimal(value, f"+{zeros};-{zeros}")
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    return _decimal(value, "0" + ("." + "0" * digits if digits else ""))
 
 
 def percent(value: Column) -> Column:
     """Fraction as a whole percentage, such as 35%."""
-    return F.format_string("%.0f%%", value * 100)
+    return F.concat(_decimal(value * 100, "0"), F.lit("%"))
+
+
+def fill(template: str, *values: Column) -> Column:
+    """A message with its %s places filled by text columns, as one concat."""
+    pieces = [F.lit(p.replace("%%", "%")) for p in template.split("%s")]
+    out = [pieces[0]]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        out += [F.coalesce(value, F.lit("None")), piece]
+    return F.concat(*out)

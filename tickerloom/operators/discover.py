@@ -60,7 +60,7 @@ def diversification(investors: DataFrame, assets: DataFrame, candidates: DataFra
     warning = F.when(
         concentrated,
         F.concat(
-            percent(F.bround("t.share", 2)), F.lit(" of the assets you follow are in "), F.col("t.sector"),
+            percent(F.col("t.share")), F.lit(" of the assets you follow are in "), F.col("t.sector"),
             F.lit(". Consider diversifying across other sectors to reduce single-industry risk."),
         ),
     )

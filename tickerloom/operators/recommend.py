@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.domain import INTERESTS, RISK_LABELS
-from tickerloom.functions.columns import percent, ratio
+from tickerloom.functions.columns import fill, percent, ratio
 from tickerloom.operators.ranks import exact_median
 from tickerloom.operators.retrieval import STOP_WORDS
 from tickerloom.operators.rules import volatility_limit
@@ -149,12 +149,12 @@ def risk_reason(volatility: Column, risk_level: Column) -> Column:
     labels = F.create_map(*[F.lit(x) for kv in RISK_LABELS.items() for x in kv])
     label = F.coalesce(F.try_element_at(labels, risk_level), F.initcap(F.replace(risk_level, F.lit("_"), F.lit(" "))))
     limit = volatility_limit(risk_level)
-    swing, cap = percent(F.bround(volatility, 2)), percent(limit)
+    swing, cap = percent(volatility), percent(limit)
     return (
         F.when(volatility.isNull(), "Not enough price history yet to compare with your risk level")
-        .when(volatility <= limit, F.format_string("Yearly price swings of %s fit your %s risk level (up to %s)", swing, label, cap))
+        .when(volatility <= limit, fill("Yearly price swings of %s fit your %s risk level (up to %s)", swing, label, cap))
         .otherwise(
-            F.format_string("Yearly price swings of %s are above your %s risk level (up to %s), which lowers its rank", swing, label, cap)
+            fill("Yearly price swings of %s are above your %s risk level (up to %s), which lowers its rank", swing, label, cap)
         )
     )
 

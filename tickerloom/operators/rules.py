@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.domain import DEFAULT_PROFILE, VOLATILITY_LIMITS
-from tickerloom.functions.columns import fixed, kept, percent, signed
+from tickerloom.functions.columns import fill, fixed, kept, percent, signed
 
 # --- fixed values: thresholds, codes and message formats -------------------------
 NEGATIVE_RETURN = 0.0
@@ -60,16 +60,16 @@ MESSAGES = {
 
 def say(key: str, *values: Column) -> Column:
     """A message; placeholders get already formatted text."""
-    return F.format_string(MESSAGES[key], *values) if values else F.lit(MESSAGES[key].replace("%%", "%"))
+    return fill(MESSAGES[key], *values) if values else F.lit(MESSAGES[key].replace("%%", "%"))
 
 
 def plus(value: Column, digits: int) -> Column:
     """Signed number, exact ties to even."""
-    return signed(F.bround(value, digits), digits)
+    return signed(value, digits)
 
 
 def plain(value: Column, digits: int) -> Column:
-    return fixed(F.bround(value, digits), digits)
+    return fixed(value, digits)
 
 
 # --- profile limits ----------------------------------------------------------------
@@ -163,7 +163,7 @@ def base_stance(
         F.when(bearish, say("bearish", plus(sentiment, 2))),
         F.when(width.isNull(), say("no_interval")).when(wide, say("wide", plain(width, 1))),
         F.when(loss, say("includes_loss", plus(lower, 1))),
-        F.when(concentrated, say("concentrated", percent(F.bround(sector_weight, 2)))),
+        F.when(concentrated, say("concentrated", percent(sector_weight))),
         F.when(explore, say("strong", plus(forecast_return, 1))),
         F.when(explore, say("bullish", plus(sentiment, 2))),
         F.when(explore, say("fits", vol_text, display)),

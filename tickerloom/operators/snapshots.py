@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.domain import RISK_TIERS
-from tickerloom.functions.columns import first_text, kept
+from tickerloom.functions.columns import fill, first_text, kept
 from tickerloom.operators import rules
 from tickerloom.operators.explain import explain
 from tickerloom.operators.fundamentals import fundamentals_signals
@@ -145,7 +145,7 @@ def build_snapshots(rows: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("sector_weight"),
     )
     d = rules.hybrid_signal(d)
-    note = F.when(~has, F.lit(PENDING_NOTE)).when(~sure, F.format_string(NEUTRAL_NOTE, rules.plus(forecast["return_10d"], 1)))
+    note = F.when(~has, F.lit(PENDING_NOTE)).when(~sure, fill(NEUTRAL_NOTE, rules.plus(forecast["return_10d"], 1)))
     s = F.col("signal")
     d = d.withColumn("signal", s.withField("decision_trace", F.concat(kept(note), s["decision_trace"])))
     d = explain(d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import features as fe
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
+from tickerloom.session import cut_lineage
 from tickerloom.sources import landing, standins
 
 W = "(PARTITION BY ticker ORDER BY d)"
@@ -212,7 +213,7 @@ def market_context(spark, sf):
 
 
 def input_frame(spark, sf, as_of=None):
-    bars = standins.bars(spark, sf)
+    bars = cut_lineage(standins.bars(spark, sf))  # read by the features, the market context and the input check
     f = fe.feature_dataset(bars, standins.universe(spark, sf), None, standins.FEATURES_START)
     return fe.model_inputs(f, bars, as_of)
 

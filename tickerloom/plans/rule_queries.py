@@ -9,6 +9,7 @@ from tickerloom.operators import profiles, rules
 from tickerloom.operators.asof import visible_facts
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
+from tickerloom.session import balanced
 from tickerloom.sources import standins
 
 AS_OF = standins.AS_OF_DATE
@@ -77,7 +78,10 @@ def cases(spark, sf):
         .otherwise("Income")
     )
     fr = F.col("l_discount") * 100 - 3
-    return standins.table(spark, sf, "lineitem").select(
+    lines = standins.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"
+    )
+    return balanced(lines).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

@@ -12,7 +12,7 @@ from tickerloom.operators import text as tx
 from tickerloom.operators.quality import compare
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
-from tickerloom.session import cut_lineage
+from tickerloom.session import balanced, cut_lineage
 from tickerloom.sources import standins
 
 AS_OF_S = standins.AS_OF_S
@@ -159,7 +159,8 @@ cte(
 def headed_documents(spark, sf):
     """The corpus with item headings put before lines that start with T."""
     body = clean_lines(F.regexp_replace("text", r"(?m)^T", "Item 7. T"))
-    return standins.table(spark, sf, "documents").select("doc_id", body.alias("text")).select(
+    docs = balanced(standins.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", body.alias("text")).select(
         F.col("doc_id").cast("string").alias("document_id"), "text", sha(F.col("text")).alias("content_hash")
     )
 

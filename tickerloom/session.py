@@ -38,6 +38,16 @@ def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "tickerlo
     return configure(spark)
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when the files give fewer splits than there are cores.
+
+    A large table has far more splits than cores and passes through unchanged; a single
+    small file would otherwise run heavy row-wise work on one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder the cluster names.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.domain import BENCHMARK, MACRO_LAG_DAYS, RISK_TIERS, VOLATILITY_INDEX
+from tickerloom.session import balanced
 
 # 2001-07-01 and 2001-08-20 00:00 UTC, in epoch seconds
 EPOCH_S = 993945600
@@ -303,7 +304,7 @@ def iso(seconds: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw source records with text stamps, revisions, syndicated copies and faults."""
     d = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents")
+    docs = balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_doc")
     j = docs.join(labels, docs.doc_id == labels.l_doc, "left")
     kind = (F.floor(d / 4) % 4).cast("int")
