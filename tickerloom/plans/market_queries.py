@@ -258,3 +258,21 @@ def model_inputs(spark, sf):
         F.col("label_end_date").cast("string").alias("label_end_date"),
         "is_training_row",
     )
+
+
+@query(
+    "feature_dataset",
+    with_ctes("step1", "eligible", "context", "macro_wide")
+    + f"""SELECT ticker, count(*) AS n, count(target) AS training_rows, any_value(sector) AS sector, count(cpi) AS with_cpi, round(avg(x.vix), 4) AS mean_vix_close, round(avg(m.dff), 5) AS mean_rate
+          FROM step1 s JOIN eligible USING (ticker) LEFT JOIN context x ON s.d = x.d LEFT JOIN macro_wide m ON m.d = s.d WHERE s.d >= DATE '{standins.FEATURES_START}' GROUP BY 1""",
+)
+def feature_dataset(spark, sf):
+    """Features, market context, point-in-time macro values and metadata, per ticker."""
+    from tickerloom.operators.asof import macro_days
+
+    bars = cut_lineage(standins.bars(spark, sf))
+    f = fe.feature_dataset(bars, standins.universe(spark, sf), macro_days(standins.macro(spark, sf), bars), standins.FEATURES_START)
+    return f.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_training_row").alias("training_rows"), F.any_value("sector").alias("sector"),
+        F.count("inflation_cpi_yoy").alias("with_cpi"), r(F.avg("vix_close"), 4).alias("mean_vix_close"), r(F.avg("federal_funds_rate"), 5).alias("mean_rate"),
+    )

@@ -345,3 +345,24 @@ def stance_requests(spark, sf):
     )
     p = profiles.asset_profiles(standins.bars(spark, sf), standins.universe(spark, sf))
     return rules.asset_stance(requests, p).select("o_orderkey", "status", "stance")
+
+
+@query(
+    "forecast_assessments",
+    with_ctes("profiles", "investors")
+    + """SELECT investor_id, ticker, status, CASE WHEN status <> 'unavailable' THEN CASE WHEN fr < 0 OR vol > lim THEN 'CAUTION' ELSE 'MONITOR' END END AS stance FROM (
+           SELECT *, CASE WHEN vol IS NULL THEN 'unavailable' WHEN investor_id % 2 = 0 OR DATE '2001-11-06' - as_of > 7 THEN 'historical' ELSE 'evaluated' END AS status FROM (
+             SELECT i.investor_id, i.ticker, (i.investor_id % 7 - 2) / 100.0::DOUBLE * 100 AS fr, p.vol, p.as_of, CASE i.risk_level WHEN 'very_conservative' THEN 0.15 WHEN 'conservative' THEN 0.20 WHEN 'moderate' THEN 0.35 WHEN 'growth' THEN 0.45 ELSE 0.55 END::DOUBLE AS lim
+             FROM (SELECT investor_id, risk_level, unnest(followed) AS ticker FROM investors) i LEFT JOIN (SELECT * FROM profiles WHERE rec) p USING (ticker)))""",
+)
+def assessments(spark, sf):
+    """Each investor's followed tickers with a dated forecast, judged for that investor's risk level."""
+    inv = standins.investors(spark, sf)
+    pred = (F.col("investor_id") % 7 - 2) / F.lit(100.0)
+    f = inv.select("investor_id", F.explode("followed_tickers").alias("ticker")).select(
+        "investor_id", "ticker", pred.alias("predicted_return_10d"), (pred - 0.01).alias("lower_return"), F.lit(2.0).alias("uncertainty_width_pp"),
+        (F.col("investor_id") % 2 == 0).alias("stale_snapshot"),
+    )
+    p = profiles.asset_profiles(standins.bars(spark, sf), standins.universe(spark, sf))
+    a = rules.assess_forecasts(f, p, inv, F.lit("2001-11-06").cast("date"))
+    return a.select("investor_id", "ticker", F.col("assessment_status").alias("status"), "stance")

@@ -60,7 +60,7 @@ def screened(spark, sf):
 
 def prepared(spark, sf):
     """The prepared documents as a stored table: later steps read it several times."""
-    return cut_lineage(tx.syndicated(tx.newest_revisions(screened(spark, sf))))
+    return cut_lineage(tx.syndicated(cut_lineage(tx.newest_revisions(screened(spark, sf)))))
 
 
 @query(
@@ -464,3 +464,23 @@ def manifest(spark, sf):
 )
 def snippets(spark, sf):
     return standins.pages(spark, sf).select("page_id", tx.snippet(F.col("html")).alias("snippet"))
+
+
+@query("sentiment_gate", "SELECT 'none' AS kind, count(*) AS n FROM documents WHERE false GROUP BY 1")
+def sentiment_gate(spark, sf):
+    docs = prepared(spark, sf)
+    inputs = tx.attributed_text(docs, profiles.read_universe(standins.universe(spark, sf)))
+    p = tx.sentiment_problems(tx.scored(inputs, score_cache(inputs)), docs)
+    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "filing_coverage_check",
+    with_ctes("raw_docs")
+    + "SELECT DISTINCT document_id AS id FROM (SELECT document_id, doc_id, unnest(tickers) AS t FROM raw_docs WHERE source_type = 'sec') WHERE t = 'ZZZ' OR t IN ('B03', 'B07')",
+)
+def coverage_check(spark, sf):
+    """Every document carries number 1; the coverage record of two tickers says 2 and one ticker has none."""
+    docs = standins.documents(spark, sf).withColumn("cik", F.lit(1))
+    record = tickers(spark, sf).select("ticker", F.when(F.col("ticker").isin("B03", "B07"), 2).otherwise(1).alias("cik"))
+    return tx.coverage_problems(docs, record).select("id")
