@@ -15,6 +15,7 @@ from tickerloom.functions.columns import fill, percent, ratio
 from tickerloom.operators.ranks import exact_median
 from tickerloom.operators.retrieval import STOP_WORDS
 from tickerloom.operators.rules import volatility_limit
+from tickerloom.session import cut_lineage
 
 # --- fixed values: weights and thresholds -----------------------------------------------
 INTEREST_WEIGHT = 0.5
@@ -97,15 +98,16 @@ def attributes(assets: DataFrame) -> DataFrame:
     )
     base = assets.select("ticker", F.array_distinct(labels).alias("labels"), *[F.col(f"risk.{n}").alias(n) for n in RISK_FEATURES])
     long = base.unpivot("ticker", RISK_FEATURES, "feature", "value")
-    medians = {n: exact_median(long.filter(F.col("feature") == n), ["feature"], "value").select("median").scalar() for n in RISK_FEATURES}
-    filled = base.select("ticker", "labels", *[F.coalesce(F.col(n), medians[n], F.lit(0.0)).alias(n) for n in RISK_FEATURES])
-    limits = filled.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(n) for n in RISK_FEATURES])
-    packed = filled.withColumn("_l", limits.select(F.struct(*RISK_FEATURES)).scalar())
-    scaled = [
-        F.coalesce(ratio(F.col(n) - F.col(f"_l.{n}.lo"), F.nullif(F.col(f"_l.{n}.hi") - F.col(f"_l.{n}.lo"), F.lit(0.0))), F.lit(0.0))
-        for n in RISK_FEATURES
-    ]
-    d = packed.select("ticker", "labels", F.array(*scaled).alias("numbers"))
+    # four medians and four ranges, one per risk feature, are all that reaches the driver
+    medians = {row["feature"]: row["median"] for row in exact_median(long, ["feature"], "value").collect()}
+    filled = base.select("ticker", "labels", *[F.coalesce(F.col(n), F.lit(medians.get(n, 0.0))).alias(n) for n in RISK_FEATURES])
+    limits = filled.agg(*[F.min(n).alias(f"lo_{n}") for n in RISK_FEATURES], *[F.max(n).alias(f"hi_{n}") for n in RISK_FEATURES]).first()
+
+    def unit(n: str) -> Column:
+        low, high = limits[f"lo_{n}"], limits[f"hi_{n}"]
+        return (F.col(n) - low) / (high - low) if low is not None and high > low else F.lit(0.0)
+
+    d = filled.select("ticker", "labels", F.array(*[unit(n) for n in RISK_FEATURES]).alias("numbers"))
     squares = F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x * x)
     return d.withColumn("norm", F.sqrt(F.size("labels") + squares))
 
@@ -186,9 +188,9 @@ def with_signature(investors: DataFrame) -> DataFrame:
 
 def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10) -> DataFrame:
     """Best ``limit`` assets per investor with score and reasons."""
-    sims = interest_similarity(assets)
-    attrs = attributes(assets)
-    s = signatures(investors)
+    sims = cut_lineage(interest_similarity(assets))
+    attrs = cut_lineage(attributes(assets))
+    s = cut_lineage(signatures(investors))
     asked = s.select("signature", F.explode("interests").alias("interest"))
     follows = s.select("signature", F.posexplode("followed_tickers").alias("pos", "followed")).join(
         assets.select(F.col("ticker").alias("followed")), "followed", "left_semi"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.domain import MIN_SIMILARITY, RRF_DAMPING, SNIPPET_CHARS
 from tickerloom.functions.columns import first_text, one_spaced
+from tickerloom.session import cut_lineage
 
 # --- fixed values: words carrying no search meaning -----------------------------------
 STOP_WORDS = (
@@ -194,7 +195,8 @@ def evidence(hits: DataFrame) -> DataFrame:
 def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, depth: int = 20) -> DataFrame:
     """Cited evidence rows (query_id, rank, ...) for every query that does not abstain."""
     hashes = chunks.select("chunk_id", "content_hash")
-    v = vector_search(queries, chunks, vectors, depth).join(hashes, "chunk_id")
+    # at most ``depth`` rows per query, read by the abstention test and by the fusion
+    v = cut_lineage(vector_search(queries, chunks, vectors, depth).join(hashes, "chunk_id"))
     asked = answered(queries, v)
     w = keyword_search(asked, chunks, depth).join(hashes, "chunk_id")
     kept = v.join(asked.select("query_id"), "query_id", "left_semi")

@@ -11,6 +11,7 @@ from tickerloom.operators import sentiment as se
 from tickerloom.operators import snapshots as sn
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
+from tickerloom.session import cut_lineage
 from tickerloom.sources import standins
 
 AS_OF_S = standins.AS_OF_S
@@ -142,7 +143,7 @@ def _title_sql() -> str:
                 FROM fused f JOIN raw_docs d USING (doc_id, document_id)))""",
 )
 def hybrid_retrieval(spark, sf):
-    chunks = evidence_chunks(spark, sf)
+    chunks = cut_lineage(evidence_chunks(spark, sf))
     e = rt.retrieve(search_queries(spark, sf), chunks, standins.chunk_vectors(spark, sf, chunks))
     return e.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", r("similarity"), r("rrf", 8), "title", "snippet")
 
@@ -276,8 +277,8 @@ cte(
 
 
 def snapshot_inputs(spark, sf):
-    documents = se.dated(standins.documents(spark, sf))
-    chunks = evidence_chunks(spark, sf)
+    documents = cut_lineage(se.dated(standins.documents(spark, sf)))
+    chunks = cut_lineage(evidence_chunks(spark, sf))
     return dict(
         profiles=profiles.asset_profiles(standins.bars(spark, sf), standins.universe(spark, sf)),
         documents=documents,
