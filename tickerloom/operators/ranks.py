@@ -22,8 +22,7 @@ def cumulative_counts(df: DataFrame, group: list[str], value: str, ranges: int =
     bounds = counts.groupBy(*group).agg(
         F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("n").alias("total")
     )
-    keyed = counts.join(bounds, group) if group else counts.crossJoin(bounds)
-    keyed = keyed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    keyed = counts.join(bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     by_range = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy(*group, "_range")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.domain import MACRO_LAG_DAYS
 from tickerloom.operators import asof, quality
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
@@ -179,8 +180,7 @@ def macro_audit(spark, sf):
     joined = spans.select(
         F.explode(F.sequence("valid_from", "valid_to")).alias("Date"), "series_id", F.col("value").alias("joined"), "valid_from"
     ).join(dates, "Date")
-    series = points.select("series_id").distinct()
-    grid = series.join(dates, how="cross")
+    grid = dates.withColumn("series_id", F.explode(F.array(*[F.lit(x) for x in MACRO_LAG_DAYS])))
     known = points.select("series_id", F.col("available_date").alias("Date"), "value")
     second = asof.asof_backward(grid, known, "Date", ["series_id"], "value")
     j = joined.join(second, ["series_id", "Date"])

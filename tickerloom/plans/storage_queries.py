@@ -85,7 +85,11 @@ def manifest_check(spark, sf):
     return st.manifest_problems(declared, counts, hashes)
 
 
-@query("snapshot_identity")
+@query(
+    "snapshot_identity",
+    """SELECT 'ss_' || left(sha256(string_agg(rh, '' ORDER BY r)), 20) AS version FROM (SELECT left(h, 2) AS r, sha256(string_agg(h, '' ORDER BY h)) AS rh
+       FROM (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents) GROUP BY 1)""",
+)
 def identity(spark, sf):
     d = standins.table(spark, sf, "documents")
     return st.snapshot_identity(d.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256")))
