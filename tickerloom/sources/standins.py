@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.domain import BENCHMARK, MACRO_LAG_DAYS, RISK_TIERS, VOLATILITY_INDEX
-from tickerloom.session import balanced
+from tickerloom.session import balanced, cut_lineage
 
 # 2001-07-01 and 2001-08-20 00:00 UTC, in epoch seconds
 EPOCH_S = 993945600
@@ -95,7 +95,8 @@ def _brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: 25 brand tickers, a market fund over all brands, a range index."""
-    days = _brand_days(spark, sf_dir)
+    # three branches below, and every operator that reads bars twice, share this stored aggregate
+    days = cut_lineage(_brand_days(spark, sf_dir))
     quarter_pay = (F.month("Date") % 3 == 0) & (F.dayofmonth("Date") == 15)
     split_day = (F.month("Date") == 7) & (F.dayofmonth("Date") == 4)
 
