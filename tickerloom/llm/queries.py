@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tickerloom.llm import op1_decontaminate as op1
 from tickerloom.llm.op2_bpe import op2_bpe
 
-QUERIES = {"op2_bpe": op2_bpe}
+QUERIES = {"op1_decontaminate": op1.op1_decontaminate, "op2_bpe": op2_bpe}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_decontaminate": op1.ORACLE}
