@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import op1_decontaminate as op1
-from tickerloom.llm.op2_bpe import op2_bpe
+from tickerloom.llm import (
+    op1_decontaminate,
+    op2_bpe,
+    op3_quality,
+    op7_rules,
+)
 
-QUERIES = {"op1_decontaminate": op1.op1_decontaminate, "op2_bpe": op2_bpe}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate.op1_decontaminate,
+    "op2_bpe": op2_bpe.op2_bpe,
+    "op3_quality": op3_quality.op3_quality,
+    "op7_rules": op7_rules.op7_rules,
+}
 
-ORACLES = {"op1_decontaminate": op1.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE}
