@@ -18,13 +18,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, train_rows: int, features: Callable, schema: str) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, train_rows: int, features: Callable, schema: str, each_class: bool = False) -> pd.DataFrame:
     """Pandas frame of (doc_id, y, features) of at most ``train_rows`` labelled rows for which ``usable`` holds.
 
-    Conflicting or repeated labels of one id count as their maximum; rows without a label are left out.
+    With ``each_class`` the bound holds for each of the labels 0 and 1.  Conflicting or repeated labels of one id count as their maximum; rows without a label are left out.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = own.filter(usable).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    known = own.filter(usable).groupBy("doc_id").agg(F.max("y").alias("y"))
+    least = lambda part: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = least(known.filter("y = 1")).unionByName(least(known.filter("y = 0"))) if each_class else least(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(chosen, "doc_id").mapInArrow(features, f"doc_id long, y int, {schema}")
     return rows.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)

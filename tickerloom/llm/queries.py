@@ -6,6 +6,7 @@ from tickerloom.llm import (
     op1_decontaminate,
     op2_bpe,
     op3_quality,
+    op5_toxicity,
     op7_rules,
 )
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op2_bpe": op2_bpe.op2_bpe,
     "op3_quality": op3_quality.op3_quality,
+    "op5_toxicity": op5_toxicity.op5_toxicity,
     "op7_rules": op7_rules.op7_rules,
 }
 
