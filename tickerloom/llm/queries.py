@@ -7,6 +7,7 @@ from tickerloom.llm import (
     op2_bpe,
     op3_quality,
     op5_toxicity,
+    op6_substrings,
     op7_rules,
 )
 
@@ -15,7 +16,8 @@ QUERIES = {
     "op2_bpe": op2_bpe.op2_bpe,
     "op3_quality": op3_quality.op3_quality,
     "op5_toxicity": op5_toxicity.op5_toxicity,
+    "op6_substrings": op6_substrings.op6_substrings,
     "op7_rules": op7_rules.op7_rules,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE}
