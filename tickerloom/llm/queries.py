@@ -9,6 +9,7 @@ from tickerloom.llm import (
     op5_toxicity,
     op6_substrings,
     op7_rules,
+    op8_suffixes,
 )
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity.op5_toxicity,
     "op6_substrings": op6_substrings.op6_substrings,
     "op7_rules": op7_rules.op7_rules,
+    "op8_suffixes": op8_suffixes.op8_suffixes,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE}
