@@ -26,7 +26,7 @@ from tickerloom.llm.labelled import sample
 
 WORD_BITS, CHAR_BITS, GRAM = 17, 17, 4
 BUCKETS = (1 << WORD_BITS) + (1 << CHAR_BITS)
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 THRESHOLD = 0.3
 MIN_WORDS = 50
 
