@@ -10,6 +10,7 @@ from tickerloom.llm import (
     op6_substrings,
     op7_rules,
     op8_suffixes,
+    op9_jaccard,
 )
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_substrings": op6_substrings.op6_substrings,
     "op7_rules": op7_rules.op7_rules,
     "op8_suffixes": op8_suffixes.op8_suffixes,
+    "op9_jaccard": op9_jaccard.op9_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE, "op9_jaccard": op9_jaccard.ORACLE}
