@@ -6,6 +6,7 @@ from tickerloom.llm import (
     op1_decontaminate,
     op2_bpe,
     op3_quality,
+    op4_token_files,
     op5_toxicity,
     op6_substrings,
     op7_rules,
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op2_bpe": op2_bpe.op2_bpe,
     "op3_quality": op3_quality.op3_quality,
+    "op4_token_files": op4_token_files.op4_token_files,
     "op5_toxicity": op5_toxicity.op5_toxicity,
     "op6_substrings": op6_substrings.op6_substrings,
     "op7_rules": op7_rules.op7_rules,
