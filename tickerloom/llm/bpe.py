@@ -14,6 +14,7 @@ first, as the library does.  Very long pieces take O(n log n).
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,15 +188,15 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def loaded(shared) -> Bpe:
-    """The vocabulary of a broadcast file, parsed once in each worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
+def loaded(shared, make=Bpe):
+    """``make(file text)`` of a broadcast vocabulary file, parsed once in each worker and kept across its tasks."""
+    key = (make.__name__, zlib.crc32(shared.value.encode()))
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe(shared.value)
+        _LOADED[key] = make(shared.value)
     return _LOADED[key]
 
 

@@ -312,16 +312,6 @@ class Pieces:
         return [b"".join(map(get, ps)) + end for ps in cut]
 
 
-_PIECES: dict[int, Pieces] = {}
-
-
-def _pieces(shared) -> Pieces:
-    if shared.id not in _PIECES:
-        _PIECES.clear()
-        _PIECES[shared.id] = Pieces(shared.value)
-    return _PIECES[shared.id]
-
-
 def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes all documents in ascending id order into segments; the stored table (part, first, n_tokens, segment)."""
     spark = docs.sparkSession
@@ -337,7 +327,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, doc_id:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, first, held, size = TaskContext.get().partitionId(), 0, [], 0
-        pieces = _pieces(shared)
+        pieces = bpe.loaded(shared, Pieces)
 
         def segment() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(p for _, ps in held for p in ps), "<u4").astype(np.int32)
