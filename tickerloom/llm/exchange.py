@@ -1,7 +1,7 @@
 """Chunks of documents and key exchanges: how windows of all documents meet without leaving any task unbounded.
 
 ``chunked`` packs whole documents into chunks of a few MB, one row each, and writes them once to the shared
-folder; a longer document is a chunk of its own.  A step then works in three moves:
+folder, bucketed by chunk; a longer document is a chunk of its own.  A step then works in three moves:
 
 1. every chunk posts its keys, already distinct inside the chunk, as one packed row per bucket of the key's hash;
 2. each bucket answers (``ask``): a group holds a key at most once per chunk, so a key that a third of the
@@ -87,9 +87,16 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The chunk table of all documents, stored; other columns of ``docs`` are not read."""
+    """The chunk table of all documents, stored; other columns of ``docs`` are not read.
+
+    It is bucketed by chunk, so the texts stay where they are when answers come back: only answers are shuffled.
+    """
+    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(source.mapInArrow(_chunk_rows, CHUNK_SCHEMA))
+    name = f"tickerloom_chunks_{uuid.uuid4().hex}"
+    rows = source.mapInArrow(_chunk_rows, CHUNK_SCHEMA)
+    rows.write.bucketBy(buckets(spark), "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -199,3 +206,21 @@ def repeated_keys(chunks: np.ndarray, sizes: np.ndarray, payloads: list[bytes])
     cuts = np.searchsorted(own[hit], np.arange(len(parts) + 1))
     found = keys[hit]
     return [(int(c), found[a:b].tobytes()) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def key_counts(kind: str) -> Callable[[np.ndarray, np.ndarray, list[bytes]], list[tuple[int, bytes]]]:
+    """Answer for messages of (key u8, count of type ``kind``): each chunk's keys with a total of two or more, (u8, total u4)."""
+
+    def answer(chunks: np.ndarray, sizes: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
+        parts = [unpacked(p, int(n), f"<u8,{kind}") for n, p in zip(sizes, payloads, strict=True)]
+        keys, times = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order, bounds = A.groups(keys)
+        total = np.empty(keys.size, np.int64)
+        total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), bounds[:-1]), np.diff(bounds))
+        own = np.repeat(np.arange(len(parts)), sizes)
+        hit = total > 1
+        cuts = np.searchsorted(own[hit], np.arange(len(parts) + 1))
+        keys, total = keys[hit], np.minimum(total[hit], 2**31).astype("<u4")
+        return [(int(c), packed([keys[a:b], total[a:b]])) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if b > a]
+
+    return answer

@@ -129,20 +129,6 @@ def signatures(token: np.ndarray, count: np.ndarray, share: int = SHARE) -> np.n
     return np.unique(np.concatenate(out))
 
 
-def _counts(chunks: np.ndarray, sizes: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
-    """Answer: each chunk's sampled tokens that at least two sets hold, with their number."""
-    parts = [X.unpacked(p, int(n), "<u8,u1") for n, p in zip(sizes, payloads, strict=True)]
-    keys, times = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    order, bounds = A.groups(keys)
-    total = np.empty(keys.size, np.int64)
-    total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), bounds[:-1]), np.diff(bounds))
-    own = np.repeat(np.arange(len(parts)), sizes)
-    hit = total > 1
-    cuts = np.searchsorted(own[hit], np.arange(len(parts) + 1))
-    keys, total = keys[hit], np.minimum(total[hit], 2**31).astype("<u4")
-    return [(int(c), X.packed([keys[a:b], total[a:b]])) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if b > a]
-
-
 def _nodes(chunk: X.Chunk, answers: list[bytes], share: int) -> pa.RecordBatch:
     """The surviving sets of a chunk, each once, with tokens and signatures."""
     sets = Sets(chunk)
@@ -258,7 +244,7 @@ def node_table(chunks: DataFrame, share: int = SHARE) -> DataFrame:
         keys, times = np.unique(sets.token[own], return_counts=True)
         return X.posted(chunk.key, A.mix(keys), [keys, np.minimum(times, 255).astype(np.uint8)], count)
 
-    answers = X.ask(X.post(chunks, tokens), _counts)
+    answers = X.ask(X.post(chunks, tokens), X.key_counts("u1"))
     found = X.reply(chunks, answers, lambda chunk, payloads: _nodes(chunk, payloads, share), NODE_SCHEMA)
     return X.stored(found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("signatures").alias("signatures")))
 

@@ -5,6 +5,9 @@ removed.  Texts are UTF-8 bytes; strings never cross documents and are judged on
 
 1. Blocking.  Of every ``length``-byte string the least hash of its ``ANCHOR``-byte substrings is its lead:
    equal strings have equal leads.  One exchange of distinct leads (see ``exchange``) finds those that repeat.
+   A lead with more than ``HOT`` distinct surroundings (a passage that very many documents hold, each with its own
+   text beside it) is split: one more exchange keeps only those of its strings that repeat themselves, and
+   these are dealt by a second lead, the greatest anchor hash, as well.
 2. Runs of strings whose lead repeats are segments (up to 84 bytes for the usual lengths).  Equal segments of
    one chunk are one entry under its smallest document; copies in larger documents are settled at home, so a
    passage that a third of the documents hold is one entry a chunk.  Entries meet by lead.
@@ -36,6 +39,7 @@ LENGTH = 50
 ANCHOR = 16
 SHARD_BYTES = 256 << 10
 BATCH_BYTES = 1 << 20
+HOT = 512
 
 
 # --- one batch: transforms of shards and their merge ---------------------------------------------
@@ -135,24 +139,89 @@ def runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 # --- chunk side ---------------------------------------------------------------------------------
 
 
-def _leads(chunk: X.Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of all strings, their leads, hashes of anchors)."""
-    hashes = A.Spans(chunk.buf).windows(ANCHOR)
-    starts = A.window_starts(chunk.off, length)
-    return starts, X.sliding_min(hashes, length - ANCHOR + 1)[starts], hashes
-
-
-def _segments(chunk: X.Chunk, length: int, found: np.ndarray, count: int) -> pa.RecordBatch:
-    """Messages: entries by bucket of their lead, and ranges settled at home under a negative size."""
-    starts, leads, _ = _leads(chunk, length)
-    hit = X.member(leads, found)
-    starts, leads = starts[hit], leads[hit]
-    owner = np.searchsorted(chunk.off, starts, side="right") - 1
-    new = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (leads[1:] != leads[:-1]) | (owner[1:] != owner[:-1]))) if starts.size else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    begin, key, ids = starts[first], leads[first], chunk.ids[owner[first]]
-    stop = starts[np.append(first[1:], starts.size) - 1] + length if first.size else begin
-    content = A.mix(A.Spans(chunk.buf)(begin, stop) + (stop - begin).astype(np.uint64))
+class Strings:
+    """All ``length``-byte strings of a chunk by start, with their leads."""
+
+    def __init__(self, chunk: X.Chunk, length: int):
+        self.chunk, self.length = chunk, length
+        self.spans = A.Spans(chunk.buf)
+        self.anchors = self.spans.windows(ANCHOR)
+        self.starts = A.window_starts(chunk.off, length)
+        self.lead = X.sliding_min(self.anchors, length - ANCHOR + 1)[self.starts]
+
+    def keep(self, marks: np.ndarray) -> None:
+        self.starts, self.lead = self.starts[marks], self.lead[marks]
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        return self.spans(self.starts[which], self.starts[which] + self.length)
+
+    def segments(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, stop, key, document) of the runs of consecutive strings with one key in one document."""
+        starts = self.starts
+        owner = np.searchsorted(self.chunk.off, starts, side="right") - 1
+        new = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if starts.size else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        stop = starts[np.append(first[1:], starts.size) - 1] + self.length if first.size else starts
+        return starts[first], stop, key[first], owner[first]
+
+    def contents(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return A.mix(self.spans(begin, stop) + (stop - begin).astype(np.uint64))
+
+
+def _lead_message(chunk: X.Chunk, length: int, count: int) -> pa.RecordBatch:
+    """Distinct leads with the number of their distinct segments; two at least if a segment occurs twice."""
+    strings = Strings(chunk, length)
+    begin, stop, key, _ = strings.segments(strings.lead)
+    order, bounds = A.groups(strings.contents(begin, stop))
+    head = order[bounds[:-1]]
+    times = np.where(np.diff(bounds) > 1, 2, 1)
+    keys, at = np.unique(key[head], return_inverse=True)
+    several = np.zeros(keys.size, np.int64)
+    np.maximum.at(several, at, times)
+    several = np.maximum(several, np.bincount(at, minlength=keys.size))
+    return X.posted(chunk.key, keys, [keys, np.minimum(several, 65535).astype("<u2")], count)
+
+
+def _known(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(repeated leads, hot leads, repeated strings of hot leads), each sorted, from tagged answers."""
+    kinds: dict[int, list[bytes]] = {0: [], 1: []}
+    for a in answers:
+        kinds[a[0]].append(a[1:])
+    parts = [X.unpacked(p, len(p) // 12, "<u8,<u4") for p in kinds[0]]
+    lead = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    times = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+    return np.sort(lead), np.sort(lead[times > HOT]), np.sort(np.frombuffer(b"".join(kinds[1]), "<u8"))
+
+
+def _tagged(answer, tag: int):
+    return lambda chunks, sizes, payloads: [(c, bytes([tag]) + p) for c, p in answer(chunks, sizes, payloads)]
+
+
+def _hot_message(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
+    """Distinct strings of hot leads, with a mark on those that occur twice in this chunk."""
+    _, hot, _ = _known(answers)
+    strings = Strings(chunk, length)
+    keys, times = np.unique(strings.hashes(X.member(strings.lead, hot)), return_counts=True)
+    return X.posted(chunk.key, keys, [keys, (times > 1).astype(np.uint8)], count)
+
+
+def _segments(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
+    """Messages: entries by bucket of their key, and ranges settled at home under a negative size."""
+    known, hot, repeated = _known(answers)
+    strings = Strings(chunk, length)
+    strings.keep(X.member(strings.lead, known))
+    is_hot = X.member(strings.lead, hot)
+    live = ~is_hot
+    live[is_hot] = X.member(strings.hashes(is_hot), repeated)
+    strings.keep(live)
+    is_hot = is_hot[live]
+    key = strings.lead.copy()
+    if is_hot.any():
+        other = ~X.sliding_min(~strings.anchors, length - ANCHOR + 1)[strings.starts[is_hot]]
+        key[is_hot] = A.mix(key[is_hot] + other * np.uint64(0x9E3779B97F4A7C15))
+    begin, stop, key, owner = strings.segments(key)
+    ids = chunk.ids[owner]
+    content = strings.contents(begin, stop)
     order = np.lexsort((begin, ids, content))
     c = content[order]
     head = np.concatenate(([True], c[1:] != c[:-1])) if c.size else np.zeros(0, bool)
@@ -265,15 +334,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
     chunks = X.chunked(docs, doc_id, text)
     count = X.buckets(docs.sparkSession)
 
-    def leads(chunk: X.Chunk) -> pa.RecordBatch:
-        starts, lead, hashes = _leads(chunk, length)
-        keys = np.unique(lead)
-        own, times = np.unique(hashes[A.window_starts(chunk.off, ANCHOR)], return_counts=True)
-        return X.posted(chunk.key, keys, [keys, X.member(keys, own[times > 1]).astype(np.uint8)], count)
-
-    def segments(chunk: X.Chunk, answers: list[bytes]) -> pa.RecordBatch:
-        return _segments(chunk, length, np.sort(np.frombuffer(b"".join(answers), "<u8")), count)
-
     def finish(chunk: X.Chunk, answers: list[bytes]) -> pa.RecordBatch:
         size = chunk.buf.size
         edge = np.zeros(size + 1, np.int64)
@@ -295,6 +355,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    found = X.ask(X.post(chunks, leads), X.repeated_keys)
-    late = X.ask(X.reply(chunks, found, segments, X.MESSAGE_SCHEMA), _ranges(length))
+    found = X.stored(X.ask(X.post(chunks, lambda c: _lead_message(c, length, count)), _tagged(X.key_counts("<u2"), 0)))
+    hot = X.ask(X.reply(chunks, found, lambda c, answers: _hot_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_keys, 1))
+    messages = X.reply(chunks, found.unionByName(hot), lambda c, answers: _segments(c, length, answers, count), X.MESSAGE_SCHEMA)
+    late = X.ask(messages, _ranges(length))
     return X.reply(chunks, late, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
