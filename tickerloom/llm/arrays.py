@@ -79,7 +79,7 @@ def _powers(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             both.append(np.multiply.accumulate(steps))
         have = (both[0], both[1])
-        if size <= 16 << 20:
+        if size <= 4 << 20:
             _POWERS[kind] = have
     return have
 
@@ -104,7 +104,16 @@ class Spans:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    return Spans(buf, kind)(starts, ends)
+    """Hashes of sorted, disjoint spans; long buffers go piece by piece, as a span's hash does not depend on its place."""
+    if buf.size <= 2 * SLICE_BYTES:
+        return Spans(buf, kind)(starts, ends)
+    cuts = np.searchsorted(starts, np.arange(0, buf.size + SLICE_BYTES, SLICE_BYTES))
+    out = [np.zeros(0, np.uint64)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            lo, hi = int(starts[a]), int(ends[b - 1])
+            out.append(Spans(buf[lo:hi], kind)(starts[a:b] - lo, ends[a:b] - lo))
+    return np.concatenate(out)
 
 
 def owner(at: np.ndarray) -> np.ndarray:

@@ -31,14 +31,20 @@ BITS = 17
 DIM = 8
 WINDOW = 8
 GRAMS = (3, 4, 5, 6)
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1500
 TRAIN_WORDS = 20_000
 PRIOR = -3.0
 MIN_DOCS = 5
+SPANS_AT_ONCE = 50_000
 
 
 def subwords(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets): hashed n-grams of <word> and of the word itself, for each span."""
+    """(buckets, offsets): hashed n-grams of <word> and of the word itself, for each span; spans go in blocks."""
+    parts = [_subwords(buf, starts[i : i + SPANS_AT_ONCE], ends[i : i + SPANS_AT_ONCE]) for i in range(0, max(starts.size, 1), SPANS_AT_ONCE)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in parts]))))
+
+
+def _subwords(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = ends - starts + 2
     off = np.concatenate(([0], np.cumsum(size)))
     wrapped = np.empty(int(off[-1]), np.uint8)
@@ -57,7 +63,7 @@ def subwords(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     rows, keys = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(rows, kind="stable")
     buckets = (A.mix(keys) >> np.uint64(64 - BITS)).astype(np.int32)[order]
-    return buckets, np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=starts.size))))
+    return buckets, np.bincount(rows, minlength=starts.size)
 
 
 class Bags:
@@ -101,7 +107,7 @@ class Bags:
         seen = np.zeros(1 << BITS, np.int64)
         doc_of = np.repeat(self.win_doc, self.win_stop - self.win_start)
         pairs = np.unique(doc_of << 32 | self.word)
-        for part in np.array_split(pairs, max(1, pairs.size // 200_000)):
+        for part in np.array_split(pairs, max(1, pairs.size // 20_000)):
             words = part & 0xFFFFFFFF
             take = np.repeat(self.sub_off[words] - np.concatenate(([0], np.cumsum(n[words])[:-1])), n[words]) + np.arange(n[words].sum())
             both = np.unique(np.repeat(part >> 32, n[words]) << BITS | self.buckets[take])
