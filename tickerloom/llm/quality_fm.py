@@ -130,3 +130,14 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, columns unchanged; nothing is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, "text"):
+                yield part.filter(pa.array(machine.score(*features(Slice(part.column("text")))) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from tickerloom.llm import (
     op7_rules,
     op8_suffixes,
     op9_jaccard,
+    op10_licences,
 )
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op7_rules": op7_rules.op7_rules,
     "op8_suffixes": op8_suffixes.op8_suffixes,
     "op9_jaccard": op9_jaccard.op9_jaccard,
+    "op10_licences": op10_licences.op10_licences,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE, "op9_jaccard": op9_jaccard.ORACLE}

@@ -26,6 +26,7 @@ may fall inside a character.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
@@ -329,8 +330,12 @@ def _ranges(length: int):
     return answer
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` joins the remaining bytes."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, text_md5) of every row; ``kept`` joins the remaining bytes.
+
+    ``text_md5`` is that of the input text, so that rows of one id find their own result.  With ``as_text``
+    ``kept`` is a string, without the bytes of characters that a cut left incomplete.
+    """
     chunks = X.chunked(docs, doc_id, text)
     count = X.buckets(docs.sparkSession)
 
@@ -350,13 +355,17 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
         n_spans = np.diff(np.concatenate(([0], np.cumsum(opens)))[chunk.off])
         kept = chunk.buf[~gone].tobytes()
         cut = (chunk.off - before[chunk.off]).tolist()
+        left = [kept[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        shown = pa.array([b.decode("utf-8", "ignore") for b in left], pa.string()) if as_text else pa.array(left, pa.binary())
+        whole, edges = chunk.buf.tobytes(), chunk.off.tolist()
+        md5 = [hashlib.md5(whole[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays(
-            [X.ids_out(chunk.ids), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array([kept[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [X.ids_out(chunk.ids), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], shown, pa.array(md5, pa.string())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_md5"],
         )
 
     found = X.stored(X.ask(X.post(chunks, lambda c: _lead_message(c, length, count)), _tagged(X.key_counts("<u2"), 0)))
     hot = X.ask(X.reply(chunks, found, lambda c, answers: _hot_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_keys, 1))
     messages = X.reply(chunks, found.unionByName(hot), lambda c, answers: _segments(c, length, answers, count), X.MESSAGE_SCHEMA)
     late = X.ask(messages, _ranges(length))
-    return X.reply(chunks, late, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return X.reply(chunks, late, finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, text_md5 string")
