@@ -118,9 +118,14 @@ def unpacked(payload: bytes, n: int, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Even buckets even for keys that are minima of hashes and so lie close together."""
+    return ((A.mix(hashes) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+
+
 def posted(chunk: int, hashes: np.ndarray, columns: list[np.ndarray], count: int) -> pa.RecordBatch:
-    """One message row for each bucket that gets some of the keys; keys are dealt by the high half of their hash."""
-    to = ((hashes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int32)
+    """One message row for each bucket that gets some of the keys."""
+    to = bucket_of(hashes, count).astype(np.int32)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(count + 1))
     filled = np.flatnonzero(np.diff(cuts))

@@ -38,8 +38,8 @@ from tickerloom.llm import exchange as X
 
 LENGTH = 50
 ANCHOR = 16
-SHARD_BYTES = 256 << 10
-BATCH_BYTES = 1 << 20
+SHARD_BYTES = 64 << 10
+BATCH_BYTES = 256 << 10
 HOT = 512
 
 
@@ -231,7 +231,7 @@ def _segments(chunk: X.Chunk, length: int, answers: list[bytes], count: int) ->
     home = ids[order] == least
     copies = order[~home]
     entries, places, of = order[head], begin[order[home]], entry[home]
-    to = ((key[entries] >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    to = X.bucket_of(key[entries], count)
     by = np.argsort(to, kind="stable")
     entries, to = entries[by], to[by]
     rank = np.empty_like(by)
@@ -248,7 +248,7 @@ def _segments(chunk: X.Chunk, length: int, answers: list[bytes], count: int) ->
         lo, hi = edges[b], edges[b + 1]
         p_lo, p_hi = np.searchsorted(of, [lo, hi])
         text = data[cut[lo] : cut[hi]].tobytes()
-        part = X.packed([size[lo:hi].astype("<i4"), ids[entries[lo:hi]].astype("<i8"), ((key[entries[lo:hi]] >> np.uint64(8)) & np.uint64(0xFFFF)).astype("<u2"), (of[p_lo:p_hi] - lo).astype("<i4"), places[p_lo:p_hi].astype("<i4")])
+        part = X.packed([size[lo:hi].astype("<i4"), ids[entries[lo:hi]].astype("<i8"), (A.mix(key[entries[lo:hi]]) & np.uint64(0xFFFFFFFF)).astype("<u4"), (of[p_lo:p_hi] - lo).astype("<i4"), places[p_lo:p_hi].astype("<i4")])
         out_bucket.append(int(b))
         out_n.append(int(hi - lo))
         out_payload.append(struct.pack("<ii", p_hi - p_lo, len(text)) + part + pa.compress(text, codec="zstd", asbytes=True))
@@ -276,7 +276,7 @@ def _ranges(length: int):
             n_places, n_bytes = struct.unpack_from("<ii", payload)
             at = 8
             arrays = []
-            for kind, m in (("<i4", n), ("<i8", n), ("<u2", n), ("<i4", n_places), ("<i4", n_places)):
+            for kind, m in (("<i4", n), ("<i8", n), ("<u4", n), ("<i4", n_places), ("<i4", n_places)):
                 arrays.append(np.frombuffer(payload, kind, m, at))
                 at += m * np.dtype(kind).itemsize
             text = pa.decompress(payload[at:], decompressed_size=n_bytes, codec="zstd", asbytes=True)
@@ -300,9 +300,11 @@ def _ranges(length: int):
         group[same] = batch
         size = np.array([len(c) for c in distinct])
         spans: dict[int, list[tuple[int, int]]] = {}
+        _, at, many = np.unique(group, return_inverse=True, return_counts=True)
         order = np.argsort(group, kind="stable")
+        order = order[many[at[order]] > 1]  # a lead with one distinct segment has nothing to be merged with
         g = group[order]
-        edge = np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), g.size)
+        edge = np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), g.size) if g.size else np.zeros(1, np.int64)
         start = 0
         for stop in edge[1:]:  # leads of one group stay together
             if stop < g.size and size[order[start:stop]].sum() < BATCH_BYTES:
