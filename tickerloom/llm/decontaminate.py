@@ -61,12 +61,13 @@ def item_sketches(items: DataFrame, share: float = SHARE, width: int = WIDTH) ->
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_shingles, found, containment) of every pair with containment >= ``share``."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), word_list(F.col(text).cast("string")).alias("w"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     t = items.select(F.col("item_id"), word_list(F.col("text").cast("string")).alias("w")).filter(F.size("w") > 0)
-    met = d.select("doc_id", F.explode(shingle_hashes(F.col("w"), width)).alias("h")).join(item_sketches(t, share, width), "h")
+    met = d.select("doc_id", word_list(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"), width)).alias("h")).join(item_sketches(t, share, width), "h")
     pairs = met.select("doc_id", "item_id").distinct()
     full = t.select("item_id", shingle_texts(F.col("w"), width).alias("item_set"))
-    near = d.join(pairs, "doc_id").select("doc_id", "item_id", shingle_texts(F.col("w"), width).alias("doc_set"))
+    found_in = pairs.withColumnRenamed("doc_id", "id")
+    near = d.join(found_in, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "item_id", word_list(F.col("text")).alias("w")).select("doc_id", "item_id", shingle_texts(F.col("w"), width).alias("doc_set"))
     n, found = F.size("item_set"), F.size(F.array_intersect("doc_set", "item_set"))
     checked = near.join(full, "item_id").select("doc_id", "item_id", n.cast("long").alias("n"), found.cast("long").alias("f"))
     held = checked.filter(F.col("f") >= F.lit(share) * F.col("n"))

@@ -27,6 +27,7 @@ from tickerloom.llm.labelled import sample
 BUCKETS = 1 << 16
 FACTORS = 8
 TRAIN_ROWS = 6000
+LEAST_STEPS = 600
 
 
 def features(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,6 +70,7 @@ class Machine:
     def fit(self, off, columns, values, y, epochs: int = 10, rate: float = 0.1, penalty: float = 1e-4, batch: int = 64, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         n = y.size
+        epochs = max(epochs, -(-LEAST_STEPS * batch // n))
         gw, gv, g0 = np.full(self.w.shape, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
         for _ in range(epochs):
             order = rng.permutation(n)

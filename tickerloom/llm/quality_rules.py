@@ -28,6 +28,7 @@ WORD_BITS, CHAR_BITS, GRAM = 17, 17, 4
 BUCKETS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
+LEAST_STEPS = 600
 MIN_WORDS = 50
 
 
@@ -62,6 +63,7 @@ class Regression:
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 2.0, batch: int = 32, seed: int = 5) -> None:
         """``docs``: (columns, mean values) of each row, as ``sparse`` gives them."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(docs), 1)))
         g, g0 = np.full(BUCKETS, 1e-4, np.float32), 1e-4
         for _ in range(epochs):
             order = rng.permutation(len(docs))

@@ -36,6 +36,7 @@ TRAIN_WORDS = 20_000
 PRIOR = -3.0
 MIN_DOCS = 5
 SPANS_AT_ONCE = 50_000
+LEAST_STEPS = 12
 
 
 def subwords(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +192,8 @@ class Model:
                 chosen = chosen[use[bags.win_doc[chosen]]]
             label = y[bags.win_doc[chosen]]
             weight = np.where(label == 1, 0.5 / max((label == 1).mean(), 1e-6), 0.5 / max((label == 0).mean(), 1e-6)).astype(np.float32)
-            order = rng.permutation(chosen.size)
-            for s in range(0, chosen.size, batch):
+            order = np.concatenate([rng.permutation(chosen.size) for _ in range(max(1, LEAST_STEPS * batch // max(chosen.size, 1)))])
+            for s in range(0, order.size, batch):
                 part = order[s : s + batch]
                 self.step(*bags.subwords_of(chosen[part]), label[part], weight[part], state, rate)
 
