@@ -14,11 +14,11 @@ whole sequence is the one shingle).  Two documents link when 100 * |intersection
    class with it, inside both prefixes.  M grows with the set size in levels; sets near a border index both
    levels, so any two sets that can link meet in one.  Sets under ``LEVEL_0`` tokens index single tokens.
 4. Candidates and verification.  Sets that are equal are one node.  Nodes that share a signature are compared
-   by exact intersection.  Only components are asked for, so pairs are compared only while their nodes lie
-   in different components: first each node with the pivot it shares most signatures with, then with the
-   first node of each shared signature, then, in groups that still span components, all such pairs of small
-   groups and, in large ones, pivots in doubling numbers until each pair was compared or is connected.
-   No cap ends this early.
+   by exact intersection.  Only components are asked for, so a pair is compared only while its nodes lie in
+   different components.  Each signature's nodes stand in order of company (how many nodes they meet in
+   all); the first is the pivot all others are held against, each node with its most shared pivot first.
+   Signatures whose nodes still span components go on with their next 2, 4, 8 ... nodes as pivots until every
+   pair was compared or is connected: no cap ends this early.
 
 Memory: a bucket or task holds a key once a chunk; groups are never collected.  Hot pivots are split by Spark's
 skew join.  Components come from label propagation with pointer jumping on stored tables.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm import arrays as A
@@ -46,7 +46,6 @@ SHARE = 80
 SAMPLED = 5 / 16
 FREQUENT = 32
 LEVEL_0 = 32
-SMALL_GROUP = 64
 
 NODE_SCHEMA = "f1 long, f2 long, n int, doc_id long, tokens binary, signatures array<long>"
 
@@ -181,58 +180,55 @@ def verified(nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
 
 def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
     """(node, component) of all nodes that are in a component of several; see the module's step 4."""
-    index = X.stored(nodes.select("node", "n", F.explode("signatures").alias("sig")))
-    size = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1")
-    shared = X.stored(index.join(size, "sig"))
-    fits = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
-    sizes = nodes.select(F.col("node").alias("first"), F.col("n").alias("m"))
-    stars = shared.filter("node != first").groupBy("node", "n", "first").agg(F.count(F.lit(1)).alias("times"))
-    stars = X.stored(stars.join(sizes, "first").filter(fits).select("node", "first", "times"))
-    best = stars.groupBy("node").agg(F.max_by("first", F.struct(F.col("times"), -F.col("first"))).alias("first"))
-    label = X.stored(connected(verified(nodes, best.select(F.col("node").alias("a"), F.col("first").alias("b")), share)))
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(label.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-
-    def merge(pairs: DataFrame) -> bool:
-        """Compares pairs of different components; true if some linked."""
+    index = nodes.select("node", "n", F.explode("signatures").alias("sig"))
+    groups = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = X.stored(index.join(groups, "sig"))
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    shared = X.stored(shared.join(weight, "node"))
+    label = None
+
+    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+        if label is None:
+            return rows.withColumn(name, F.col(node))
+        own = label.select(F.col("node").alias(node), F.col("component").alias("_c"))
+        return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+    def settle(candidates: DataFrame) -> None:
+        """Compares (a, b, times) pairs until each was compared or is connected; first the most promising of each a."""
         nonlocal label
-        fresh = X.stored(verified(nodes, pairs, share))
-        if fresh.isEmpty():
-            return False
-        stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        label = X.stored(connected(stars.unionByName(fresh)))
-        return True
-
-    other = label.select(F.col("node").alias("first"), F.col("component").alias("d"))
-    rest = labelled(stars).join(other, "first", "left").filter(F.col("c") != F.coalesce("d", "first"))
-    merge(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    split = lambda rows: rows.join(rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig"), "sig")
-
-    small = split(labelled(shared.filter(f"size > 2 and size <= {SMALL_GROUP}")))
-    left = small.select("sig", F.col("node").alias("a"), "n", "c", "first")
-    right = small.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = left.join(right, "sig").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.col("a") != F.col("first")) & fits)
-    merge(pairs.select("a", "b").distinct())
-
-    done, many = 1, 8
+        left, most = X.stored(candidates), 1
+        while True:
+            open_ = labelled(labelled(left, "a", "_x"), "b", "_y").filter("_x != _y").drop("_x", "_y")
+            rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+            left = X.stored(open_.withColumn("rank", rank))
+            if left.isEmpty():
+                return
+            fresh = X.stored(verified(nodes, left.filter(F.col("rank") <= most).select("a", "b"), share))
+            if not fresh.isEmpty():
+                stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
+                label = X.stored(connected(fresh if stars is None else stars.unionByName(fresh)))
+            left, most = left.filter(F.col("rank") > most).drop("rank"), 2 * most
+
+    def split(rows: DataFrame) -> DataFrame:
+        """Rows of signatures whose nodes lie in several components, with the component ``c``."""
+        rows = labelled(rows, "node", "c")
+        spans = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
+        return rows.join(spans, "sig")
+
+    fits = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
+    done, many = 0, 1
     while True:
-        large = X.stored(split(labelled(shared.filter(f"size > {SMALL_GROUP} and size > {done}"))))
-        if large.isEmpty():
+        # pivots of a signature: its nodes with the most company first, then by id
+        rows = X.stored(split(shared.filter(F.col("size") > done)))
+        if rows.isEmpty():
             break
-        bound = F.expr(f"rank > {done} and rank <= {done + many}")
-        pivots = _ranked(large, done + many).filter(bound).select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = large.join(pivots, "sig").filter((F.col("node") != F.col("b")) & (F.col("c") != F.col("d")) & fits)
-        merge(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        done, many = done + many, many * 2
-    return label
-
-
-def _ranked(rows: DataFrame, most: int) -> DataFrame:
-    """Rank of a node inside its signature by id; the filter on it lets Spark keep group heads before the shuffle."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= most)
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
+        heads = rows.select("sig", "node", "n", "c", "weight").withColumn("rank", rank).filter(F.col("rank") <= done + many).filter(F.col("rank") > done)
+        heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("c").alias("d"))
+        met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & (F.col("c") != F.col("d")) & fits)
+        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+        done, many = done + many, 2 * many
+    return label if label is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
 def node_table(chunks: DataFrame, share: int = SHARE) -> DataFrame:
