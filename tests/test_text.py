@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tickerloom.functions.html import visible_text
+from tickerloom.functions.html import with_visible_text
 from tickerloom.operators import evalmetrics as em
 from tickerloom.operators import explain as ex
 from tickerloom.operators import retrieval as rt
@@ -15,13 +15,30 @@ def column(spark, value, fn):
     return spark.createDataFrame([(value,)], "v string").select(fn(F.col("v"))).first()[0]
 
 
-def test_visible_text():
-    html = (
+def test_visible_text(spark):
+    pages = {
         "<html><head><title>x</title></head><body><p>One <b>two</b></p><div style='display:none'>no</div><input hidden>"
-        "<table><tr><td>a</td><td>b</td></tr></table><script>s()</script>Tail &amp; end</body></html>"
-    )
-    assert visible_text(html) == "One two\na b\nTail & end"
-    assert visible_text(None) is None
+        "<table><tr><td>a</td><td>b</td></tr></table><script>s()</script>Tail &amp; end</body></html>": "One two\na b\nTail & end",
+        "<div hidden>a<p>b</p><br>c</div>d": "d",
+        "<div>a<span hidden>b</div>c": "a\nc",
+        "a</p>b<br/>c": "ab\nc",
+        "<ix:header><p>x</p></ix:header>y<style>p{}</style><!-- z -->w": "yw",
+        "<p style=\"color:red; visibility : collapse !important\">x</p><p style='/*display:none*/'>y</p>": "y",
+        "<p title='a > hidden b'>q</p><p data-x=\"1\"hidden>r</p>": "q",
+        "1 &lt; 2 &#65;&#x1F600; &unknown; & &eacute;": "1 < 2 A\U0001f600 &unknown; & é",
+        "<noscript>n</noscript><template>t<div>u</div></template>v <hr hidden> w": "v w",
+        "plain  text": "plain  text",
+        "a < b": "a < b",
+    }
+    rows = spark.createDataFrame([*[(h,) for h in pages], (None,), ("",)], "html string")
+    got = {r.html: r.text for r in with_visible_text(rows, "html", "text").collect()}
+    assert got == {**pages, None: None, "": ""}
+
+
+def test_long_page_is_one_fold(spark):
+    body = "".join(f"<div class='c{i}'><p>w{i}</p><span hidden>h{i}</span></div>" for i in range(3000))
+    row = with_visible_text(spark.createDataFrame([(body,)], "html string"), "html", "text").first()
+    assert row.text == "\n".join(f"w{i}" for i in range(3000))
 
 
 def test_canonical_url(spark):
