@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import forecast as fc
@@ -114,9 +115,11 @@ def test_training_selects_calibrates_and_refuses_overlap(spark):
     m = fc.train_model(frame, "2020-07-01", "2020-09-15", "2020-12-01", model="auto", min_training_rows=100, grid=[(1, 0.1, 2)], refit=True)
     assert m.metadata["selected_model"].startswith("Ridge")
     assert len(m.metadata["selection"]) == 5
-    out = m.predict(frame).select("Date", "lower_return", "upper_return", "prediction").toPandas()
+    out = m.predict(m.servable(frame)).select("Date", "lower_return", "upper_return", "prediction").toPandas()
     assert out["Date"].min() == dt.date(2020, 12, 1) and (out["lower_return"] < out["upper_return"]).all()
-    e = fc.evaluate(m.predict(frame), 0.0, 0.0, True).first()
+    with pytest.raises(ValueError, match="calibration window"):
+        m.predict(frame)
+    e = fc.evaluate(m.predict(m.servable(frame)), 0.0, 0.0, True).first()
     assert e["MAE_pp"] < e["mean_baseline_MAE_pp"]
     parts = fc.purged_partitions(frame, "2020-07-01", "2020-09-15", "2020-12-01")
     late = parts.filter("part = 'training'").agg(F.max("label_end_date")).first()[0]

@@ -3,8 +3,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.columns import with_ema
 from tickerloom.operators import blocks
 from tickerloom.operators import features as fe
 from tickerloom.operators import quality as qa
@@ -59,6 +61,17 @@ def test_long_history_means_are_exact_across_blocks(spark):
     np.testing.assert_allclose(got["macd_signal"], want["macd_signal"], rtol=1e-9, atol=1e-10)
 
 
+def test_means_with_missing_prices(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"T{k}", i, None if i in gone else float(100 + rng.normal(0, 5))) for k, gone in enumerate([(0, 20), (0, 1, 2, 30, 31, 59), (), tuple(range(60))]) for i in range(60)]
+    d = spark.createDataFrame(rows, "ticker string, pos long, price double")
+    w = Window.partitionBy("ticker").orderBy("pos")
+    got = with_ema(d, w, "pos", {"m12": ("price", 12), "m9": ("price", 9)}).toPandas().sort_values(["ticker", "pos"])
+    for _, g in got.groupby("ticker"):
+        for n in (12, 9):
+            np.testing.assert_allclose(g[f"m{n}"].astype(float), g["price"].astype(float).ewm(span=n, adjust=False).mean(), rtol=1e-11)
+
+
 def test_model_inputs_contract(spark):
     rising = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 100.0 + i, 0.0 if i == 270 else 10.0) for i in range(310)]
     rows = [(d, t, p, p, p, p, p, v, 0.0, 0.0) for t in ("AAA", "SPY", "^VIX") for d, p, v in rising]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -53,19 +53,37 @@ def pct_change(value: Column, window: WindowSpec, n: int = 1) -> Column:
     return ratio(value, F.lag(value, n).over(window)) - 1
 
 
-def ema(value: Column, position: Column, window: WindowSpec, span: int) -> Column:
-    """Recursive exponential mean, y0 = x0 and y = a*x + (1-a)*y', as one running sum.
+def with_ema(df: DataFrame, window: WindowSpec, position: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds recursive exponential means, name -> (value column, span), as running sums.
 
-    y_i = q^i * sum_j(c_j * x_j * q^-j) with c_0 = 1 and c_j = a.  ``position`` is the
-    row number inside the window partition, from 0; q^-j stays in double range for the
+    With the gap k to the last valid row, the weight of a valid value is a / (a + q^k) (1 for the first), so
+    without nulls y = a*x + q*y'.  Writing P for the running product of the remaining weights,
+    y_i = P_i * sum_j(w_j * x_j / P_j) over valid rows; a null row carries the last mean on.
+    ``position`` is the row number inside the window partition; 1 / P stays in double range for the
     partition lengths the halo blocks produce (see operators.blocks).
     """
-    a = 2.0 / (span + 1)
-    q = 1.0 - a
-    weight = F.when(position == 0, F.lit(1.0)).otherwise(F.lit(a))
-    term = weight * value * F.pow(F.lit(q), -position)
-    running = F.sum(term).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return F.pow(F.lit(q), position) * running
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    out = df
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        seen = F.last(F.when(F.col(value).isNotNull(), F.col(position)), ignorenulls=True).over(before)
+        out = out.withColumn(f"_gap_{value}", F.col(position) - seen)
+    weights, helpers = {}, {}
+    for name, (value, span) in wanted.items():
+        a = 2.0 / (span + 1)
+        gap, valid = F.col(f"_gap_{value}"), F.col(value).isNotNull()
+        left = F.pow(F.lit(1.0 - a), gap)
+        weights[name] = F.when(gap.isNull(), F.lit(1.0)).when(gap == 1, F.lit(a)).otherwise(a / (a + left))
+        # q^n for the n rows without a gap is exact to the last digit; only rows after a gap go through logarithms
+        helpers[f"_even_{name}"] = F.count_if(valid & (gap == 1)).over(so_far)
+        helpers[f"_log_{name}"] = F.coalesce(F.sum(F.when(valid & (gap > 1), F.ln(left / (a + left)))).over(so_far), F.lit(0.0))
+    out = out.withColumns(helpers)
+    means = {}
+    for name, (value, span) in wanted.items():
+        q, even, log = F.lit(1.0 - 2.0 / (span + 1)), F.col(f"_even_{name}"), F.col(f"_log_{name}")
+        term = weights[name] * F.col(value) * F.pow(q, -even) * F.exp(-log)
+        means[name] = F.pow(q, even) * F.exp(log) * F.sum(term).over(so_far)
+    return out.withColumns(means).drop(*helpers, *[f"_gap_{v}" for v, _ in wanted.values()])
 
 
 def split_words(value: Column) -> Column:

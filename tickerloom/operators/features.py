@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tickerloom.domain import BENCHMARK, HORIZON, SESSIONS_PER_YEAR, VOLATILITY_INDEX
-from tickerloom.functions.columns import ema, full_frame, pct_change, ratio, rolling_mean, rolling_std
+from tickerloom.functions.columns import full_frame, pct_change, ratio, rolling_mean, rolling_std, with_ema
 from tickerloom.operators.blocks import EMA_HALO, block_window, halo_blocks, lead_lag, own_rows
 
 PRICE = "Adj Close"
@@ -95,7 +95,6 @@ def technical_features(bars: DataFrame) -> DataFrame:
         *[pct_change(price, w, n).alias(f"return_{n}d") for n in (1, 5, 20)],
         F.ln(ratio(price, F.lag(price, 1).over(w))).alias("log_return_1d"),
         *[rolling_mean(price, w, n).alias(f"sma_{n}") for n in (5, 20, 50, 200)],
-        *[ema(price, F.col("_pos"), w, n).alias(f"ema_{n}") for n in (12, 26)],
         gain.alias("_gain"),
         loss.alias("_loss"),
         rolling_std(price, w, 20).alias("_std20"),
@@ -104,11 +103,11 @@ def technical_features(bars: DataFrame) -> DataFrame:
         rolling_mean(volume, w, 20).alias("volume_sma_20"),
         (ratio(F.lead(price, HORIZON).over(w), price) - 1).alias("target_return_10d"),
     )
-    step2 = step1.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+    averaged = with_ema(step1, w, "_pos", {f"ema_{n}": (PRICE, n) for n in (12, 26)})
+    step2 = averaged.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
     middle, std = F.col("sma_20"), F.col("_std20")
-    step3 = step2.select(
+    step3 = with_ema(step2, w, "_pos", {"macd_signal": ("macd", 9)}).select(
         "*",
-        ema(F.col("macd"), F.col("_pos"), w, 9).alias("macd_signal"),
         rsi(rolling_mean(F.col("_gain"), w, 14), rolling_mean(F.col("_loss"), w, 14)).alias("rsi_14"),
         true_range(w).alias("_range"),
         (rolling_std(F.col("return_1d"), w, 20) * math.sqrt(SESSIONS_PER_YEAR)).alias("rolling_volatility_20"),

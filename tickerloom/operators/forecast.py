@@ -232,7 +232,7 @@ def calibration_record(predicted: DataFrame, coverage: float = 0.9) -> dict:
     for n in ("scaled", "constant"):
         row = finite_sample_quantile(d, n, coverage).first()
         if row is None:
-            raise ValueError("Too few calibration observations for the requested coverage")
+            raise ValueError("The calibration window has too few rows for this coverage")
         quantiles[f"{n}_quantile"] = row[0]
     stats = d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Date").alias("dates"), F.max("label_end_date").alias("latest_outcome")).first()
     return {"coverage": coverage, **quantiles, **stats.asDict()}
@@ -252,11 +252,19 @@ class ForecastModel:
     calibration: dict
     metadata: dict
 
+    def servable(self, frame: DataFrame) -> DataFrame:
+        """The rows that may be forecast: origins after the calibration window, tickers known to training."""
+        late = frame.filter(F.col("Date") >= day(self.metadata["evaluation_start"]))
+        return late.join(self.metadata["eligible"].select("ticker"), "ticker", "left_semi")
+
     def predict(self, frame: DataFrame) -> DataFrame:
-        """Intervals for origins after the calibration window and tickers known to training."""
-        known = frame.filter(F.col("Date") >= day(self.metadata["evaluation_start"]))
-        known = known.join(self.metadata["eligible"].select("ticker"), "ticker", "left_semi")
-        return with_interval(self.candidate.predict(known), self.calibration["scaled_quantile"])
+        """Forecasts with intervals for every row; raises if a row may not be forecast (see ``servable``)."""
+        known = self.metadata["eligible"].select("ticker", F.lit(True).alias("_known"))
+        fault = F.when(F.col("Date") < day(self.metadata["evaluation_start"]), "origin inside the calibration window").when(F.col("_known").isNull(), "ticker unknown to training")
+        first = frame.select("ticker", "Date").join(known, "ticker", "left").withColumn("fault", fault).filter("fault IS NOT NULL").orderBy("ticker", "Date").first()
+        if first is not None:
+            raise ValueError(f"No forecast for {first['ticker']} at {first['Date']}: {first['fault']}")
+        return with_interval(self.candidate.predict(frame), self.calibration["scaled_quantile"])
 
 
 def train_model(
@@ -363,7 +371,7 @@ def walk_forward(frame: DataFrame, years: list[int], models=("boosted", "ridge",
             )
             rows = dev.filter((F.col("label_end_date") < day(f"{year + 1}-01-01")) & F.col(TARGET).isNotNull())
             meta = m.metadata
-            row = evaluate(m.predict(rows), meta["training_mean"], meta["training_median"], meta["training_majority_up"]).first()
+            row = evaluate(m.predict(m.servable(rows)), meta["training_mean"], meta["training_median"], meta["training_majority_up"]).first()
             out[name] = row.asDict() if row else None
         reports.append(out)
     return reports

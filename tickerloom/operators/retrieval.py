@@ -58,7 +58,7 @@ def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def top_per_query(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     """Best ``k`` rows per query with 0-based rank; the head is taken before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:

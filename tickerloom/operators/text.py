@@ -262,17 +262,24 @@ def quoted(text: Column) -> Column:
 
 
 def company_pattern(ticker: Column, name: Column) -> Column:
-    """Regular expression that finds a company by name or by explicit symbol notation."""
-    short = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)^the\s+", ""), LEGAL_SUFFIX, ""))
-    names = F.array_distinct(F.when(F.length(short) >= 4, F.array(name, short)).otherwise(F.array(name)))
-    names = F.transform(F.filter(names, lambda n: F.length(n) >= 4), quoted)
-    company = F.concat(F.lit(r"(?iU:\b(?:"), F.array_join(names, "|"), F.lit(r")\b)|"))
-    t = quoted(ticker)
-    symbol = F.concat(F.lit(r"\$"), t, F.lit(r"\b|\("), t, F.lit(r"\)|(?:NASDAQ|NYSE):\s*"), t, F.lit(r"\b"))
-    bare = F.when(
-        F.length(ticker) >= 3, F.concat(F.lit("|(?<![A-Za-z0-9])"), t, F.lit("(?![A-Za-z0-9])"))
-    ).otherwise("")
-    return F.concat(F.when(F.size(names) > 0, company).otherwise(""), F.lit("(?:"), symbol, bare, F.lit(")"))
+    """Regular expression that finds a company by name or by explicit symbol notation.
+
+    A row of alternatives, each with the least length its plain text needs: the full and the short name
+    (any case, as whole words), the cash-tag, bracket and exchange notations, and the bare symbol.
+    """
+    article_free = F.regexp_replace(name, r"(?i)^the\s+", "")
+    brief = F.trim(F.regexp_replace(article_free, LEGAL_SUFFIX, ""))
+    rows = [
+        (name, 4, r"(?iU:\b", r"\b)"),
+        (brief, 4, r"(?iU:\b", r"\b)"),
+        (ticker, 0, r"\$", r"\b"),
+        (ticker, 0, r"\(", r"\)"),
+        (ticker, 0, r"(?:NASDAQ|NYSE):\s*", r"\b"),
+        (ticker, 3, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"),
+    ]
+    return F.array_join(
+        F.array_compact(F.array(*[F.when(F.length(plain) >= least, F.concat(F.lit(front), quoted(plain), F.lit(back))) for plain, least, front, back in rows])), "|"
+    )
 
 
 def sentences(text: Column) -> Column:

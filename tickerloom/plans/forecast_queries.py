@@ -162,7 +162,7 @@ def ridge_forecast(spark, sf):
     """Ridge selected on inner error, calibrated, evaluated; tested against the closed form."""
     frame = cut_lineage(input_frame(spark, sf))
     m = fc.train_model(frame, T, C, E, model="ridge")
-    e = fc.evaluate(m.predict(frame), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"])
+    e = fc.evaluate(m.predict(m.servable(frame)), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"])
     return e.withColumn("model", F.lit(m.metadata["selected_model"]))
 
 
@@ -170,7 +170,7 @@ def ridge_forecast(spark, sf):
 def boosted_forecast(spark, sf):
     frame = cut_lineage(input_frame(spark, sf))
     m = fc.train_model(frame, T, C, E, model="boosted", grid=[(2, 0.1, 10)])
-    e = fc.evaluate(m.predict(frame), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"])
+    e = fc.evaluate(m.predict(m.servable(frame)), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"])
     return e.withColumn("model", F.lit(m.metadata["selected_model"]))
 
 

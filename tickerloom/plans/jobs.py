@@ -59,11 +59,11 @@ def read_feature_snapshot(spark: SparkSession, path: str, manifest: dict) -> Dat
 def result_package(spark: SparkSession, path: str, model: fc.ForecastModel, frame: DataFrame, as_of: str, report: dict) -> dict:
     """Write features, forecasts, report and manifest to a new folder; an existing one is refused."""
     if exists(spark, path):
-        raise ValueError("Choose a new output directory; existing runs are preserved")
+        raise ValueError("The run folder exists already and is left as it is")
     newest = frame.groupBy("ticker").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "ticker"]), "Date").alias("f")).select("ticker", "f.*")
     features = newest.select("ticker", "Date", *fe.MODEL_INPUTS)
     write_table(features.coalesce(1), f"{path}/features", sort=["ticker"])
-    forecasts = fc.latest_forecasts(model.predict(newest), F.lit(as_of).cast("date"))
+    forecasts = fc.latest_forecasts(model.predict(model.servable(newest)), F.lit(as_of).cast("date"))
     kept = forecasts.select("ticker", "Date", F.col("prediction").alias("predicted_return_10d"), "lower_return", "upper_return", "uncertainty_width_pp", "data_age_days", "stale", "status")
     write_table(kept.withColumn("model", F.lit(model.candidate.name)), f"{path}/forecasts", "csv")
     manifest = {
@@ -90,7 +90,7 @@ def retrain(
         raise ValueError("Model inputs break their contract")
     m = fc.train_model(frame, tuning, calibration, evaluation, model=model, grid=grid)
     known = frame.filter(F.col(fc.TARGET).isNotNull())
-    row = fc.evaluate(m.predict(known), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"]).first()
+    row = fc.evaluate(m.predict(m.servable(known)), m.metadata["training_mean"], m.metadata["training_median"], m.metadata["training_majority_up"]).first()
     report = {
         "calibration": m.calibration,
         "selection": m.metadata["selection"],
