@@ -5,9 +5,10 @@ removed.  Texts are UTF-8 bytes; strings never cross documents and are judged on
 
 1. Blocking.  Of every ``length``-byte string the least hash of its ``ANCHOR``-byte substrings is its lead:
    equal strings have equal leads.  One exchange of distinct leads (see ``exchange``) finds those that repeat.
-   A lead with more than ``HOT`` distinct surroundings (a passage that very many documents hold, each with its own
-   text beside it) is split: one more exchange keeps only those of its strings that repeat themselves, and
-   these are dealt by a second lead, the greatest anchor hash, as well.
+   A second exchange does the same for pairs of the lead and a second lead, the greatest anchor hash: of leads
+   that repeat by chance hardly any string stays.  A lead with more than ``HOT`` distinct surroundings (a passage
+   that very many documents hold, each with its own text beside it) asks for its whole strings instead and is
+   dealt by both leads.
 2. Runs of strings whose lead repeats are segments (up to 84 bytes for the usual lengths).  Equal segments of
    one chunk are one entry under its smallest document; copies in larger documents are settled at home, so a
    passage that a third of the documents hold is one entry a chunk.  Entries meet by lead.
@@ -156,6 +157,11 @@ class Strings:
     def hashes(self, which: np.ndarray) -> np.ndarray:
         return self.spans(self.starts[which], self.starts[which] + self.length)
 
+    def pair(self) -> np.ndarray:
+        """Hash of lead and second lead."""
+        other = ~X.sliding_min(~self.anchors, self.length - ANCHOR + 1)[self.starts]
+        return A.mix(self.lead + other * np.uint64(0x9E3779B97F4A7C15))
+
     def segments(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, stop, key, document) of the runs of consecutive strings with one key in one document."""
         starts = self.starts
@@ -184,7 +190,7 @@ def _lead_message(chunk: X.Chunk, length: int, count: int) -> pa.RecordBatch:
 
 
 def _known(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated leads, hot leads, repeated strings of hot leads), each sorted, from tagged answers."""
+    """(repeated leads, hot leads, repeated keys of the second exchange), each sorted, from tagged answers."""
     kinds: dict[int, list[bytes]] = {0: [], 1: []}
     for a in answers:
         kinds[a[0]].append(a[1:])
@@ -198,11 +204,22 @@ def _tagged(answer, tag: int):
     return lambda chunks, sizes, payloads: [(c, bytes([tag]) + p) for c, p in answer(chunks, sizes, payloads)]
 
 
-def _hot_message(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
-    """Distinct strings of hot leads, with a mark on those that occur twice in this chunk."""
-    _, hot, _ = _known(answers)
+def _second(strings: Strings, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keeps the strings of known leads; (keys of the second exchange, marks of hot leads)."""
+    strings.keep(X.member(strings.lead, known))
+    keys, is_hot = strings.pair(), X.member(strings.lead, hot)
+    keys[is_hot] = strings.hashes(is_hot)
+    return keys, is_hot
+
+
+def _second_message(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
+    """Distinct keys of the second exchange, with a mark on those that occur twice in this chunk."""
+    known, hot, _ = _known(answers)
     strings = Strings(chunk, length)
-    keys, times = np.unique(strings.hashes(X.member(strings.lead, hot)), return_counts=True)
+    keys, _ = _second(strings, known, hot)
+    # consecutive strings of one pair are one occurrence of it
+    _, _, key, _ = strings.segments(keys)
+    keys, times = np.unique(key, return_counts=True)
     return X.posted(chunk.key, keys, [keys, (times > 1).astype(np.uint8)], count)
 
 
@@ -210,16 +227,11 @@ def _segments(chunk: X.Chunk, length: int, answers: list[bytes], count: int) ->
     """Messages: entries by bucket of their key, and ranges settled at home under a negative size."""
     known, hot, repeated = _known(answers)
     strings = Strings(chunk, length)
-    strings.keep(X.member(strings.lead, known))
-    is_hot = X.member(strings.lead, hot)
-    live = ~is_hot
-    live[is_hot] = X.member(strings.hashes(is_hot), repeated)
+    second, is_hot = _second(strings, known, hot)
+    live = X.member(second, repeated)
     strings.keep(live)
     is_hot = is_hot[live]
-    key = strings.lead.copy()
-    if is_hot.any():
-        other = ~X.sliding_min(~strings.anchors, length - ANCHOR + 1)[strings.starts[is_hot]]
-        key[is_hot] = A.mix(key[is_hot] + other * np.uint64(0x9E3779B97F4A7C15))
+    key = np.where(is_hot, strings.pair(), strings.lead)
     begin, stop, key, owner = strings.segments(key)
     ids = chunk.ids[owner]
     content = strings.contents(begin, stop)
@@ -367,7 +379,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
         )
 
     found = X.stored(X.ask(X.post(chunks, lambda c: _lead_message(c, length, count)), _tagged(X.key_counts("<u2"), 0)))
-    hot = X.ask(X.reply(chunks, found, lambda c, answers: _hot_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_keys, 1))
-    messages = X.reply(chunks, found.unionByName(hot), lambda c, answers: _segments(c, length, answers, count), X.MESSAGE_SCHEMA)
+    second = X.ask(X.reply(chunks, found, lambda c, answers: _second_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_keys, 1))
+    messages = X.reply(chunks, found.unionByName(second), lambda c, answers: _segments(c, length, answers, count), X.MESSAGE_SCHEMA)
     late = X.ask(messages, _ranges(length))
     return X.reply(chunks, late, finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, text_md5 string")
