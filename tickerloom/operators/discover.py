@@ -125,13 +125,17 @@ def search_assets(assets: DataFrame, text: str, limit: int = 8) -> DataFrame:
     return assets.filter(F.col("recommendation_eligible") & hit).select("ticker", "name", "asset_type", "sector").orderBy("ticker").limit(limit)
 
 
-def search_many(assets: DataFrame, requests: DataFrame, limit: int = 8, prefix: int = 1) -> DataFrame:
-    """Top matches for many ticker-prefix requests (request_id, text): an equi-join on the first letters."""
-    key = F.upper(F.substring(F.trim("text"), 1, prefix))
-    a = assets.filter("recommendation_eligible").select("ticker", "name", F.upper(F.substring("ticker", 1, prefix)).alias("_k"))
-    j = requests.withColumn("_k", key).join(a, "_k").filter(F.startswith(F.upper("ticker"), F.upper(F.trim("text"))))
-    w = Window.partitionBy("request_id").orderBy("ticker")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_k")
+def search_many(assets: DataFrame, requests: DataFrame, limit: int = 8) -> DataFrame:
+    """Top matches for many ticker-prefix requests (request_id, text).
+
+    Every ticker stands under each of its prefixes (as many as it has letters); a prefix keeps its first
+    ``limit`` tickers before the shuffle, and requests meet them by an equi-join on the whole prefix.
+    """
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("ticker")), lambda n: F.upper(F.substring(F.col("ticker"), F.lit(1), n)))
+    a = assets.filter(F.col("recommendation_eligible") & (F.length("ticker") > 0)).select("ticker", "name", F.explode(prefixes).alias("_k"))
+    w = Window.partitionBy("_k").orderBy("ticker")
+    heads = a.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return requests.withColumn("_k", F.upper(F.trim("text"))).join(heads, "_k").drop("_k")
 
 
 def eligible_subset(tickers: DataFrame, assets: DataFrame) -> DataFrame:

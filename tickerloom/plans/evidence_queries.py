@@ -214,14 +214,14 @@ def guard(spark, sf):
 @query(
     "explanations_with_rewrites",
     r"""SELECT conv_id, turn, sha256(CASE WHEN NOT regexp_matches(lower(rw), '\bbuy now\b') THEN rw ELSE 'Monitor — keep on your radar for T' || conv_id || '.' || chr(10) || 'Why this signal:' || chr(10) || '- turn ' || turn || chr(10)
-          || CASE WHEN turn % 2 = 0 THEN 'Supporting evidence:' || chr(10) || '[1] ' || role || ' — news, 2001-01-02' || chr(10) || '    “' || substr(text, 1, 40) || '”' ELSE 'No recent news or filing evidence was found for T' || conv_id || '; this explanation reflects the deterministic signal only.' END END) AS text_hash
+          || CASE WHEN turn % 2 = 0 THEN 'Supporting evidence:' || chr(10) || '[1] ' || role || ' — news, 2001-01-02' || chr(10) || '    “' || text || '”' ELSE 'No recent news or filing evidence was found for T' || conv_id || '; this explanation reflects the deterministic signal only.' END END) AS text_hash
         FROM (SELECT *, text || CASE WHEN turn % 3 <> 0 THEN ' Buy now.' ELSE '' END AS rw FROM conversations)""",
 )
 def explanations(spark, sf):
     """Template or accepted rewrite for every conversation turn."""
     t = standins.table(spark, sf, "conversations")
     item = F.struct(
-        F.col("role").alias("title"), F.lit("news").alias("source_type"), F.lit("2001-01-02T00:00:00Z").alias("published_at"), F.substring("text", 1, 40).alias("snippet"),
+        F.col("role").alias("title"), F.lit("news").alias("source_type"), F.lit("2001-01-02T00:00:00Z").alias("published_at"), F.col("text").alias("snippet"),
         F.lit("").alias("source_url"),
     )
     signal = F.struct(

@@ -53,8 +53,10 @@ def select_filings(rows: DataFrame, as_of: Column) -> DataFrame:
     foreign = F.coalesce(F.col("annual_form").isin(*FOREIGN_ANNUAL), F.lit(False))
     kind = F.when(foreign, F.col("annual_form")).otherwise(DOMESTIC_ANNUAL)
     w = Window.partitionBy("cik", "form").orderBy(F.desc("accepted"), F.desc("accessionNumber"))
-    capped = j.filter((F.col("form") == kind) | (~foreign & (F.col("form") == "10-Q"))).withColumn("_rn", F.row_number().over(w))
-    capped = capped.filter(F.col("_rn") <= F.when(F.col("form") == "10-Q", 4).otherwise(2)).drop("_rn")
+    # two literal limits, so that heads are taken before the shuffle
+    quarterly = j.filter(~foreign & (F.col("form") == "10-Q")).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 4)
+    yearly = j.filter((F.col("form") == kind) & (F.col("form") != "10-Q")).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+    capped = quarterly.unionByName(yearly).drop("_rn")
     current = F.when(foreign, "6-K").otherwise("8-K")
     recent = j.filter((F.col("form") == current) & (F.col("accepted") >= as_of - F.make_dt_interval(F.lit(CURRENT_DAYS))))
     return capped.unionByName(recent).drop("annual_form")
