@@ -198,6 +198,14 @@ def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
+def member_of_runs(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """``member`` for values that come in runs: each run is looked up once."""
+    if not values.size:
+        return np.zeros(0, bool)
+    head = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return np.repeat(member(values[head], sorted_set), np.diff(np.append(head, values.size)))
+
+
 def repeated_keys(chunks: np.ndarray, sizes: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
     """Answer for messages of (key u8, repeated-inside-the-chunk u1): each chunk's keys that repeat anywhere."""
     parts = [unpacked(p, int(n), "<u8,u1") for n, p in zip(sizes, payloads, strict=True)]
@@ -229,3 +237,34 @@ def key_counts(kind: str) -> Callable[[np.ndarray, np.ndarray, list[bytes]], lis
         return [(int(c), packed([keys[a:b], total[a:b]])) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if b > a]
 
     return answer
+
+
+def repeated_marks(count: int) -> Callable[[np.ndarray, np.ndarray, list[bytes]], list[tuple[int, bytes]]]:
+    """As ``repeated_keys``, but a chunk gets one bit for each key it posted to the bucket; ``marked`` reads them."""
+
+    def answer(chunks: np.ndarray, sizes: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
+        parts = [unpacked(p, int(n), "<u8,u1") for n, p in zip(sizes, payloads, strict=True)]
+        keys = np.concatenate([k for k, _ in parts])
+        order, bounds = A.groups(keys)
+        size = np.diff(bounds)
+        many = (size > 1) | np.logical_or.reduceat(np.concatenate([f for _, f in parts])[order] > 0, bounds[:-1])
+        hit = np.zeros(keys.size, bool)
+        hit[order] = np.repeat(many, size)
+        bucket = int(bucket_of(keys[:1], count)[0]).to_bytes(4, "little")
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        return [(int(c), bucket + np.packbits(hit[a:b]).tobytes()) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if hit[a:b].any()]
+
+    return answer
+
+
+def marked(keys: np.ndarray, answers: list[bytes], count: int) -> np.ndarray:
+    """The keys, as they were posted, whose bit is set."""
+    to = bucket_of(keys, count)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(count + 1))
+    out = np.zeros(keys.size, bool)
+    for a in answers:
+        b = int.from_bytes(a[:4], "little")
+        mine = order[cuts[b] : cuts[b + 1]]
+        out[mine] = np.unpackbits(np.frombuffer(a, np.uint8, -1, 4), count=mine.size).astype(bool)
+    return keys[out]

@@ -53,8 +53,8 @@ def cyclic(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(off[:-1], size), np.repeat(size, size)
 
 
-def shard_order(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rotations of all strings of a shard in order, by prefix doubling; every string ends with a 0."""
+def shard_order(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rotations of all strings of a shard in order, by prefix doubling; their first 8 symbols); every string ends with a 0."""
     first, size = cyclic(off)
     inside = np.arange(symbols.size) - first
     key = np.zeros(symbols.size, np.uint64)
@@ -68,16 +68,20 @@ def shard_order(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         k *= 2
     order = np.empty(symbols.size, np.int64)
     order[rank] = np.arange(symbols.size)
-    return order
+    return order, key[order]
 
 
-def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, block): in merged order, the index into the joined shard orders and the block of common prefix ``depth``."""
-    symbols = np.concatenate(transforms)
+def merged_blocks(transforms: list[np.ndarray], heads: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, block): in merged order, the index into the joined shard orders and the block of common prefix ``depth``.
+
+    The sorted ``heads`` (first 8 symbols) of the shards are merged as runs; refinement goes on from there.
+    """
+    symbols, head = np.concatenate(transforms), np.concatenate(heads)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [t.size for t in transforms])
-    place = np.arange(symbols.size)
-    block = np.zeros(symbols.size, np.int32)
-    for _ in range(depth):
+    place = np.argsort(head, kind="stable")
+    head, shard = head[place], shard[place]
+    block = np.cumsum(np.concatenate(([False], head[1:] != head[:-1])), dtype=np.int32)
+    for _ in range(depth - 8):
         c = symbols[place]
         order = np.argsort(c, kind="stable")
         c, block, shard = c[order], block[order], shard[order]
@@ -103,28 +107,29 @@ def late_windows(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[
             held, size = [], 0
     if held:
         shards.append(held)
-    transforms, content, offset = [], [], []
+    transforms, heads, content, offset = [], [], [], []
     for members in shards:
         off = np.concatenate(([0], np.cumsum([len(contents[i]) + 1 for i in members])))
         symbols = np.zeros(off[-1], np.uint8)
         text = np.ones(off[-1], bool)
         text[off[1:] - 1] = False
         symbols[text] = np.frombuffer(b"".join(contents[i] for i in members), np.uint8) + 1  # no UTF-8 byte is 255
-        order = shard_order(symbols, off)
+        order, head = shard_order(symbols, off)
+        heads.append(head)
         first, n = cyclic(off)
         inside = np.arange(symbols.size) - first
         transforms.append(symbols[first + (inside - 1) % n][order])
         content.append(np.repeat(np.array(members), np.diff(off))[order])
         offset.append(inside[order])
-    place, block = merged_blocks(transforms, length)
+    place, block = merged_blocks(transforms, heads, length)
     content, offset = np.concatenate(content)[place], np.concatenate(offset)[place]
     whole = offset + length <= np.array([len(c) for c in contents])[content]
     content, offset, block = content[whole], offset[whole], block[whole]
     if not content.size:
         return content, offset
-    head = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     doc = docs[content]
-    least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, doc.size)))
+    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, doc.size)))
     late = doc > least
     return content[late], offset[late]
 
@@ -189,49 +194,52 @@ def _lead_message(chunk: X.Chunk, length: int, count: int) -> pa.RecordBatch:
     return X.posted(chunk.key, keys, [keys, np.minimum(several, 65535).astype("<u2")], count)
 
 
-def _known(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated leads, hot leads, repeated keys of the second exchange), each sorted, from tagged answers."""
+def _known(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(repeated leads, hot leads, both sorted, answers of the second exchange) from tagged answers."""
     kinds: dict[int, list[bytes]] = {0: [], 1: []}
     for a in answers:
         kinds[a[0]].append(a[1:])
     parts = [X.unpacked(p, len(p) // 12, "<u8,<u4") for p in kinds[0]]
     lead = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     times = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
-    return np.sort(lead), np.sort(lead[times > HOT]), np.sort(np.frombuffer(b"".join(kinds[1]), "<u8"))
+    return np.sort(lead), np.sort(lead[times > HOT]), kinds[1]
 
 
 def _tagged(answer, tag: int):
     return lambda chunks, sizes, payloads: [(c, bytes([tag]) + p) for c, p in answer(chunks, sizes, payloads)]
 
 
-def _second(strings: Strings, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keeps the strings of known leads; (keys of the second exchange, marks of hot leads)."""
-    strings.keep(X.member(strings.lead, known))
-    keys, is_hot = strings.pair(), X.member(strings.lead, hot)
+def _second(strings: Strings, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keeps the strings of known leads; (keys of the second exchange, pairs, marks of hot leads)."""
+    strings.keep(X.member_of_runs(strings.lead, known))
+    pairs, is_hot = strings.pair(), X.member_of_runs(strings.lead, hot)
+    keys = pairs.copy()
     keys[is_hot] = strings.hashes(is_hot)
-    return keys, is_hot
+    return keys, pairs, is_hot
 
 
 def _second_message(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
     """Distinct keys of the second exchange, with a mark on those that occur twice in this chunk."""
     known, hot, _ = _known(answers)
     strings = Strings(chunk, length)
-    keys, _ = _second(strings, known, hot)
-    # consecutive strings of one pair are one occurrence of it
-    _, _, key, _ = strings.segments(keys)
-    keys, times = np.unique(key, return_counts=True)
+    keys, _, _ = _second(strings, known, hot)
+    keys, times = _distinct(strings, keys)
     return X.posted(chunk.key, keys, [keys, (times > 1).astype(np.uint8)], count)
 
 
+def _distinct(strings: Strings, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their numbers; consecutive strings of one key are one occurrence."""
+    return np.unique(strings.segments(keys)[2], return_counts=True)
+
+
 def _segments(chunk: X.Chunk, length: int, answers: list[bytes], count: int) -> pa.RecordBatch:
     """Messages: entries by bucket of their key, and ranges settled at home under a negative size."""
-    known, hot, repeated = _known(answers)
+    known, hot, answers = _known(answers)
     strings = Strings(chunk, length)
-    second, is_hot = _second(strings, known, hot)
-    live = X.member(second, repeated)
+    second, pairs, is_hot = _second(strings, known, hot)
+    live = X.member_of_runs(second, X.marked(_distinct(strings, second)[0], answers, count))
     strings.keep(live)
-    is_hot = is_hot[live]
-    key = np.where(is_hot, strings.pair(), strings.lead)
+    key = np.where(is_hot[live], pairs[live], strings.lead)
     begin, stop, key, owner = strings.segments(key)
     ids = chunk.ids[owner]
     content = strings.contents(begin, stop)
@@ -379,7 +387,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
         )
 
     found = X.stored(X.ask(X.post(chunks, lambda c: _lead_message(c, length, count)), _tagged(X.key_counts("<u2"), 0)))
-    second = X.ask(X.reply(chunks, found, lambda c, answers: _second_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_keys, 1))
+    second = X.ask(X.reply(chunks, found, lambda c, answers: _second_message(c, length, answers, count), X.MESSAGE_SCHEMA), _tagged(X.repeated_marks(count), 1))
     messages = X.reply(chunks, found.unionByName(second), lambda c, answers: _segments(c, length, answers, count), X.MESSAGE_SCHEMA)
     late = X.ask(messages, _ranges(length))
     return X.reply(chunks, late, finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, text_md5 string")
