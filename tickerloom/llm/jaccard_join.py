@@ -17,7 +17,7 @@ whole sequence is the one shingle).  Two documents link when 100 * |intersection
    by exact intersection.  Only components are asked for, so a pair is compared only while its nodes lie in
    different components.  Each signature's nodes stand in order of company (how many nodes they meet in
    all); the first is the pivot all others are held against, each node with its most shared pivot first.
-   Signatures whose nodes still span components go on with their next 2, 4, 8 ... nodes as pivots until every
+   Signatures whose nodes still span components go on with their next 8, 64, 512 ... nodes as pivots until every
    pair was compared or is connected: no cap ends this early.
 
 Memory: a bucket or task holds a key once a chunk; groups are never collected.  Hot pivots are split by Spark's
@@ -207,7 +207,7 @@ def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
             if not fresh.isEmpty():
                 stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
                 label = X.stored(connected(fresh if stars is None else stars.unionByName(fresh)))
-            left, most = left.filter(F.col("rank") > most).drop("rank"), 2 * most
+            left, most = left.filter(F.col("rank") > most).drop("rank"), 8 * most
 
     def split(rows: DataFrame) -> DataFrame:
         """Rows of signatures whose nodes lie in several components, with the component ``c``."""
@@ -227,7 +227,7 @@ def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
         heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("c").alias("d"))
         met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & (F.col("c") != F.col("d")) & fits)
         settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
-        done, many = done + many, 2 * many
+        done, many = done + many, 8 * many
     return label if label is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
