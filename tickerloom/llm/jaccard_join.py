@@ -193,21 +193,23 @@ def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
         own = label.select(F.col("node").alias(node), F.col("component").alias("_c"))
         return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    def settle(candidates: DataFrame) -> None:
-        """Compares (a, b, times) pairs until each was compared or is connected; first the most promising of each a."""
+    def settle(candidates: DataFrame, heads: list[int]) -> None:
+        """Compares (a, b, times) pairs unless they are connected: in steps the ``heads`` most promising of each a, then all."""
         nonlocal label
-        left, most = X.stored(candidates), 1
-        while True:
+        left = X.stored(candidates)
+        for most in [*heads, None]:
             open_ = labelled(labelled(left, "a", "_x"), "b", "_y").filter("_x != _y").drop("_x", "_y")
             rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
             left = X.stored(open_.withColumn("rank", rank))
             if left.isEmpty():
                 return
-            fresh = X.stored(verified(nodes, left.filter(F.col("rank") <= most).select("a", "b"), share))
+            now = left if most is None else left.filter(F.col("rank") <= most)
+            fresh = X.stored(verified(nodes, now.select("a", "b"), share))
             if not fresh.isEmpty():
                 stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
                 label = X.stored(connected(fresh if stars is None else stars.unionByName(fresh)))
-            left, most = left.filter(F.col("rank") > most).drop("rank"), 8 * most
+            if most is not None:
+                left = left.filter(F.col("rank") > most).drop("rank")
 
     def split(rows: DataFrame) -> DataFrame:
         """Rows of signatures whose nodes lie in several components, with the component ``c``."""
@@ -226,7 +228,7 @@ def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
         heads = rows.select("sig", "node", "n", "c", "weight").withColumn("rank", rank).filter(F.col("rank") <= done + many).filter(F.col("rank") > done)
         heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("c").alias("d"))
         met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & (F.col("c") != F.col("d")) & fits)
-        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), [1] if done == 0 else [])
         done, many = done + many, 8 * many
     return label if label is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
