@@ -311,6 +311,40 @@ def test_licence_scan(spark, nothing):
     assert licences.scan(nothing, model).collect() == []
 
 
+def test_licence_scan_reads_wrapped_notices_titles_and_tags(spark):
+    rng = np.random.default_rng(6)
+    plain = [(i, "\n".join(sentence(rng, 12) for _ in range(6))) for i in range(40)]
+    gnu = "This {} is free software{} you can redistribute it and/or modify\n{}it under the terms of the GNU {}General Public License as published by\n{}the Free Software Foundation"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n{0}of this software and associated documentation files (the \"Software\"), to deal\n{0}in the Software without restriction"
+    notices = {
+        "Copyright (c) 2020 A\n\n" + mit.format(""): ["mit"],
+        "// " + mit.format("// "): ["mit"],
+        "/*\n * " + mit.format(" * ") + "\n */": ["mit"],
+        mit.format("").replace("\n", " ") + " " + sentence(rng, 150): ["mit"],
+        "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:": ["bsd"],
+        gnu.format("program", ":", "", "", ""): ["gpl"],
+        "# " + gnu.format("program", ":", "# ", "", "# "): ["gpl"],
+        gnu.format("program", ":", "", "Affero ", ""): ["agpl"],
+        gnu.format("library", ";", "", "Lesser ", ""): ["lgpl"],
+        "Licensed under the Apache\nLicense, Version 2.0.\nReleased under the\nMIT License.": ["apache-2.0", "mit"],
+        "MIT License": ["mit"],
+        "The MIT License (MIT)": ["mit"],
+        "Apache License\nVersion 2.0, January 2004": ["apache-2.0"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": ["gpl"],
+        "SPDX-License-Identifier: GPL-2.0-only": ["gpl"],
+        "/* SPDX-License-Identifier: MPL-2.0 */": ["mpl"],
+        "# SPDX-License-Identifier: (LGPL-2.1+ OR BSD-2-Clause)": ["bsd", "lgpl"],
+        "SPDX-License-Identifier: CC-BY-SA-4.0": ["cc-by-sa"],
+    }
+    unsure = ["Wobble License", "Licensed under", "Distributed under the terms\nof the Wobble Thing\nLicense, version 2."]
+    docs = spark.createDataFrame(plain + [(100 + i, t) for i, t in enumerate([*notices, *unsure])], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs, licences.train(docs)).collect()}
+    assert {t: got[100 + i].families for i, t in enumerate(notices)} == notices
+    assert [got[100 + i].n_licensed for i in (1, 10, 13)] == [2, 1, 1] and got[109].first_family == "apache-2.0"
+    assert all(got[100 + len(notices) + i].families == [] and got[100 + len(notices) + i].n_unknown > 0 for i in range(len(unsure)))
+    assert all(got[i].n_licensed == 0 and got[i].n_unknown == 0 for i in range(40))
+
+
 def test_pipeline_stages_equal_plain_versions(spark, sf):
     import corpus_pipeline as P
 
