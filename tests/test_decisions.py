@@ -148,3 +148,20 @@ def test_random_draws_are_seeded_and_complete(spark):
     a = rc.random_draws(c, 5, draws=20)
     assert a.count() == 100 and a.groupBy("draw").agg(F.count_distinct("ticker").alias("n")).filter("n <> 5").isEmpty()
     assert a.exceptAll(rc.random_draws(c, 5, draws=20)).isEmpty()
+
+
+def test_assets_without_volatility_stay_in_recommendations_and_boards(spark, sf):
+    """Most histories of the smallest tables are shorter than a year."""
+    from tickerloom.plans import catalog
+
+    catalog.load_all()
+    from tickerloom.plans import investor_queries as iq
+
+    cat = iq.catalogue(spark, sf)
+    short = {r.ticker for r in cat.filter("risk.volatility_1y IS NULL").collect()}
+    eligible = iq.all_assets(spark, sf).filter("recommendation_eligible")
+    assert short and {r.ticker for r in cat.collect()} == {r.ticker for r in eligible.collect()}
+    rec = iq.recommendations(spark, sf).collect()
+    assert all(("Not enough price history yet" in r.reasons) == (r.ticker in short) for r in rec) and any(r.ticker in short for r in rec)
+    assert sum(r.unknown for r in iq.risk_check(spark, sf).collect()) > 0
+    assert iq.graded_catalogue(spark, sf).count() == cat.count() - len(short)

@@ -16,9 +16,14 @@ from tickerloom.sources import standins
 
 
 def catalogue(spark, sf):
-    """Recommendable assets with known volatility; stored, because the recommender reads them many times."""
+    """Recommendable assets, also those without volatility yet; stored, because the recommender reads them many times."""
     p = profiles.asset_profiles(standins.bars(spark, sf), standins.universe(spark, sf))
-    return cut_lineage(p.filter("recommendation_eligible AND risk.volatility_1y IS NOT NULL"))
+    return cut_lineage(p.filter("recommendation_eligible"))
+
+
+def graded_catalogue(spark, sf):
+    """The evaluation grades by volatility, so it is over the recommendable assets that have one, as in the reference."""
+    return catalogue(spark, sf).filter("risk.volatility_1y IS NOT NULL")
 
 
 def all_assets(spark, sf):
@@ -134,7 +139,7 @@ cte(
        FROM investors i LEFT JOIN ideal USING (investor_id) LEFT JOIN got USING (investor_id)""",
 )
 def metrics(spark, sf):
-    inv, cat = standins.investors(spark, sf), catalogue(spark, sf)
+    inv, cat = standins.investors(spark, sf), graded_catalogue(spark, sf)
     rec = cut_lineage(rc.recommend(inv, cat, 5))
     m = rc.ranking_metrics(rec, inv, cat, 5)
     return m.select("investor_id", *[r(n) for n in ("precision", "ndcg", "risk_compat", "diversification")])
@@ -151,7 +156,7 @@ def metrics(spark, sf):
        FROM both_ JOIN grades USING (investor_id, ticker) GROUP BY 1""",
 )
 def systems(spark, sf):
-    inv, cat = standins.investors(spark, sf), catalogue(spark, sf)
+    inv, cat = standins.investors(spark, sf), graded_catalogue(spark, sf)
     frames = []
     for name, rec in (("content_based", rc.recommend(inv, cat, 5)), ("interest_only", rc.interest_only(inv, cat, 5))):
         frames.append(rc.ranking_metrics(cut_lineage(rec), inv, cat, 5).withColumn("system", F.lit(name)))
