@@ -82,3 +82,19 @@ def test_incremental_embedding_and_snapshot_upsert(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "vec")).select("chunk_id").collect()) == ["c1", "c2", "c3"]
     final = {r["ticker"]: r["stance"] for r in spark.read.parquet(str(tmp_path / "snap/version=1")).collect()}
     assert final == {"A": "MONITOR", "B": "CAUTION", "C": "EXPLORE"}
+
+
+def test_open_trailing_windows_come_out_and_are_updated(spark, tmp_path):
+    schema = "ticker string, score double, relevance double, ts timestamp"
+
+    def run(rows):
+        frame = spark.createDataFrame(rows, "ticker string, score double, relevance double, t string")
+        frame.select("ticker", "score", "relevance", F.col("t").cast("timestamp").alias("ts")).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = inc.trailing_sentiment(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ts")
+        return inc.newest_windows(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt").collect()
+
+    first = run([("A", 1.0, 1.0, "2024-05-01 10:00:00"), ("A", 0.0, 1.0, "2024-05-01 10:00:00"), ("B", 0.5, 1.0, "2024-05-01 11:00:00")])
+    assert sorted((r.ticker, r.article_count) for r in first) == [("A", 2)] * 7 + [("B", 1)] * 7
+    second = run([("A", 0.5, 1.0, "2024-05-01 12:00:00"), ("C", -1.0, 1.0, "2024-05-01 13:00:00")])
+    assert sorted((r.ticker, r.article_count) for r in second) == [("A", 3)] * 7 + [("B", 1)] * 7 + [("C", 1)] * 7
+    assert len({(r.as_of, r.ticker) for r in second}) == 21

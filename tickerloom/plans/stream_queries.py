@@ -56,3 +56,17 @@ def trailing(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.unix_seconds("as_of").alias("as_of_s"), "ticker", "article_count", r("score"))
+
+
+@query(
+    "stream_trailing_sentiment_current",
+    """WITH e AS (SELECT 'T' || CAST(user_id % 20 AS VARCHAR) AS ticker, (event_id % 21 - 10) / 10.0::DOUBLE AS s, (event_id % 9 + 1) / 10.0::DOUBLE AS rel, ts FROM events),
+       w AS (SELECT *, date_trunc('day', ts) + to_days(CAST(k AS INTEGER)) AS fin FROM (SELECT *, unnest(generate_series(1, 7)) AS k FROM e))
+       SELECT CAST(epoch(fin) AS BIGINT) AS as_of_s, ticker, count(*) AS article_count, round(sum(wt * s) / sum(wt), 6) AS score FROM (SELECT *, exp(-ln(2) * (epoch(fin) - epoch(ts)) / 3600.0::DOUBLE / 24) * rel AS wt FROM w)
+       GROUP BY 1, 2""",
+)
+def trailing_current(spark, sf):
+    """Every window, the open ones with what has arrived so far."""
+    base = scratch(spark, "current")
+    out = inc.newest_windows(inc.trailing_sentiment(rec(event_stream(spark, sf)), "ts"), f"{base}/out", f"{base}/ckpt")
+    return out.select(F.unix_seconds("as_of").alias("as_of_s"), "ticker", "article_count", r("score"))

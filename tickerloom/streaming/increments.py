@@ -82,3 +82,27 @@ def upsert_snapshots(store: str) -> Callable[[DataFrame, int], None]:
         merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
 
     return handle
+
+
+def upsert_windows(store: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler of update mode: newest values by (as_of, ticker), open windows too, in versioned folders."""
+    from tickerloom.operators.storage import upsert
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            batch.write.mode("overwrite").parquet(f"{store}/version=0")
+            return
+        before = batch.sparkSession.read.parquet(f"{store}/version={batch_id - 1}")
+        upsert(before, batch.select(*before.columns), ["as_of", "ticker"]).drop("change").write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+
+    return handle
+
+
+def newest_windows(stream: DataFrame, store: str, checkpoint: str) -> DataFrame:
+    """All windows of the trailing stream after everything that has arrived, also those the watermark has not closed."""
+    q = run_available(stream, checkpoint, upsert_windows(store), mode="update")
+    q.awaitTermination()
+    spark = stream.sparkSession
+    found = spark.read.parquet(store)
+    version = found.agg(F.max("version")).first()[0]
+    return spark.read.schema(stream.schema).parquet(f"{store}/version={version or 0}")
