@@ -165,3 +165,24 @@ def test_assets_without_volatility_stay_in_recommendations_and_boards(spark, sf)
     assert all(("Not enough price history yet" in r.reasons) == (r.ticker in short) for r in rec) and any(r.ticker in short for r in rec)
     assert sum(r.unknown for r in iq.risk_check(spark, sf).collect()) > 0
     assert iq.graded_catalogue(spark, sf).count() == cat.count() - len(short)
+
+
+def test_boosted_forecast_tries_every_grid_point(spark, monkeypatch):
+    from tickerloom.plans import catalog
+
+    catalog.load_all()
+    from tickerloom.plans import forecast_queries as fq
+
+    class Seen(Exception):
+        pass
+
+    def trained(*args, **kwargs):
+        raise Seen(kwargs["model"], list(kwargs["grid"]))
+
+    monkeypatch.setattr(fq, "cut_lineage", lambda d: d)
+    monkeypatch.setattr(fq, "input_frame", lambda *a: None)
+    monkeypatch.setattr(fq.fc, "train_model", trained)
+    with pytest.raises(Seen) as seen:
+        fq.boosted_forecast(spark, None)
+    points = list(itertools.product([(1, 0.03), (2, 0.03), (3, 0.03), (2, 0.1)], [10, 50, 150]))
+    assert seen.value.args == ("boosted", [(d, s, n) for (d, s), n in points])
