@@ -1,13 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each written and read back before the next.
 
 1. quality: the factorisation machine scores every text; documents it rejects go.
-2. near_duplicates: n-gram Jaccard components; the smallest id of each group stays (of rows with one id, one).
+2. near_duplicates: n-gram Jaccard components; of each group one row stays, of the smallest id (a null id is the largest).
 3. repeated_strings: every byte covered by a 50-byte string of an earlier document goes.
 4. decontamination: documents that hold a benchmark item go.
 5. tokens: byte-level BPE, encoded and decoded.
 
 Stages 1 to 4 return the columns of ``documents``; stage 5 returns (doc_id, n_tokens, ids_sha256,
-decoded_sha256).  Each works on all rows its predecessor kept.  The first stage is a trained model, so SQL
+decoded_sha256).  Stages 2 and 4 decide by id and text, so rows of one id or without an id have decisions of their
+own.  Each works on all rows its predecessor kept.  The first stage is a trained model, so SQL
 cannot give the rows; the tests hold every stage against a plain version.
 """
 
@@ -31,11 +32,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_fm.accepted(docs.select(*COLUMNS), machine, QUALITY_THRESHOLD)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_key``, a number of their id and text."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the one whose id names it; rows with a null id or no words stay."""
-    groups = jaccard_join.components(docs)
-    gone = groups.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component: of the smallest id in it; rows with no words stay."""
+    rows = keyed(docs)
+    groups = jaccard_join.components(rows, doc_id="_key").filter("n_shingles > 0")
+    members = stored(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    firsts = members.join(rows.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first._key")
+    one = rows.join(firsts, "_key").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return one.unionByName(rows.join(members, "_key", "left_anti").select(*COLUMNS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +58,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_key")
+    return rows.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

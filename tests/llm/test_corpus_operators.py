@@ -377,3 +377,16 @@ def test_pipeline_stages_equal_plain_versions(spark, sf):
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "repeated_strings", "decontamination", "tokens"]
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_pipeline_decides_by_id_and_text(spark, sf):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(12)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first().text
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_duplicates(spark, frame([(3, a), (3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, d), (8, ""), (8, "")]), sf)
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(3, a), (5, b), (0, c), (0, d), (8, ""), (8, "")])
+    clean = P.decontamination(spark, frame([(None, item), (None, a), (7, f"{b} {item}"), (7, c), (9, item)]), sf)
+    assert sorted(((r.doc_id or 0, r.text) for r in clean.collect())) == sorted([(0, a), (7, c)])

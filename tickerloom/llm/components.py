@@ -10,7 +10,7 @@ from tickerloom.llm.exchange import stored
 
 def _digest(pairs: DataFrame) -> tuple:
     """Order-free fingerprint of a table of distinct pairs; equal in two rounds once the stars are final."""
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum("v")).first())
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
 
 
 def connected(edges: DataFrame) -> DataFrame:
