@@ -13,6 +13,9 @@ from tickerloom.llm import (
     op8_suffixes,
     op9_jaccard,
     op10_licences,
+    op11_turn_repair,
+    op12_whitening,
+    op13_chat_format,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes.op8_suffixes,
     "op9_jaccard": op9_jaccard.op9_jaccard,
     "op10_licences": op10_licences.op10_licences,
+    "op11_turn_repair": op11_turn_repair.op11_turn_repair,
+    "op12_whitening": op12_whitening.op12_whitening,
+    "op13_chat_format": op13_chat_format.op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": op1_decontaminate.ORACLE, "op6_substrings": op6_substrings.ORACLE, "op9_jaccard": op9_jaccard.ORACLE}
