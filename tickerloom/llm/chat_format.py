@@ -72,9 +72,8 @@ def _counted(vocabulary: str, role: int, text: int) -> Callable:
     return run
 
 
-def counted(conversations: DataFrame, vocabulary: str) -> DataFrame:
-    """(conv_id, turn, role, text, tokens): the tokens of each turn as formatted, by the library of the vocabulary file."""
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def counted(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """(conv_id, turn, role, text) in their order with ``tokens`` of each turn as formatted, by the library of the vocabulary file."""
     return rows.mapInArrow(_counted(vocabulary, 2, 3), T.StructType([*rows.schema.fields, T.StructField("tokens", T.LongType())]))
 
 
@@ -149,7 +148,8 @@ def windows(conversations: DataFrame, vocabulary: str, budget: int = BUDGET, his
     if history >= stretch:
         raise ValueError("a stretch must be longer than the history")
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    placed = running(counted(conversations, vocabulary), "conv_id", order, "tokens").withColumn("stretch", F.expr(f"before div {stretch}"))
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    placed = running(rows, "conv_id", order, "tokens", lambda dealt: counted(dealt, vocabulary)).withColumn("stretch", F.expr(f"before div {stretch}"))
     opening = (F.col("position") == 0) & (F.col("role") == "system")
     columns = ["conv_id", "stretch", "position", "own", "role", "text", "tokens"]
     later = (F.col("before") + history >= (F.col("stretch") + 1) * stretch) & ~opening

@@ -75,14 +75,16 @@ def _within(weight: int, first: int) -> Callable:
     return run
 
 
-def running(rows: DataFrame, key: str, order: list[Column], weight: str) -> DataFrame:
+def running(rows: DataFrame, key: str, order: list[Column], weight: str, weigh: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows, stored, with ``position`` (0, 1, ...) and ``before`` (sum of ``weight`` over earlier rows) inside their key.
 
+    ``weigh`` may add a costly weight row by row; it runs once, on the dealt rows, not again for the samples that find the ranges.
     Rows equal in ``key`` and ``order`` stand in any order: they are spread over partitions by a number of their own.  Null keys are one key.
     """
     dealt = rows.withColumn("_row", F.monotonically_increasing_id())
     by = [F.col(key).asc_nulls_first(), *order, F.col("_row")]
     dealt = dealt.repartitionByRange(buckets(rows.sparkSession), *by).sortWithinPartitions(*by).drop("_row")
+    dealt = weigh(dealt) if weigh else dealt
     schema = T.StructType([*dealt.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_opening", T.BooleanType()), T.StructField("_position", T.LongType()), T.StructField("_before", T.LongType())])
     local = stored(dealt.mapInArrow(_within(dealt.columns.index(weight), dealt.columns.index(key)), schema))
     ended = local.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.max("_opening").alias("opening"))
@@ -91,4 +93,4 @@ def running(rows: DataFrame, key: str, order: list[Column], weight: str) -> Data
     begun = begun.filter("opening and _n is not null").select("_part", F.lit(True).alias("_opening"), "_n", "_w")  # one row a partition at most
     met = local.join(F.broadcast(begun), ["_part", "_opening"], "left")
     place = lambda own, add: F.col(own) + F.coalesce(F.col(add), F.lit(0))
-    return met.select(*rows.columns, place("_position", "_n").alias("position"), place("_before", "_w").alias("before"))
+    return met.select(*dealt.columns, place("_position", "_n").alias("position"), place("_before", "_w").alias("before"))
