@@ -41,6 +41,58 @@ def test_long_page_is_one_fold(spark):
     assert row.text == "\n".join(f"w{i}" for i in range(3000))
 
 
+REFERENCES = [
+    "it&#146;s &#147;ok&#148; &#151; x",
+    "A&nbsp B &copy 2020 &amp C",
+    "a&#0;b&#x80;c&#55296;d&#1114112;e&#1;f&#128512;g&#99999999999;h&#xD800;i&#x00000041;j&#xFDD0;k&#129;",
+    "&notit; &notin; &ampx &#x;&#; &;& &CounterClockwiseContourIntegral; &acE; &copy2020; &unknown; &amp;amp;",
+]
+
+
+def test_references_follow_the_standard(spark):
+    import html
+
+    rows = spark.createDataFrame([(x,) for x in REFERENCES], "html string")
+    got = {r.html: r.text for r in with_visible_text(rows, "html", "text").collect()}
+    assert got == {x: " ".join(html.unescape(x).split()) for x in REFERENCES}
+
+
+def test_visible_text_and_its_twin(spark):
+    """Both read odd pages alike: raw blocks, unclosed and crossed elements, attributes, references."""
+    import duckdb
+    import pandas as pd
+
+    from tickerloom.functions.columns import sha
+    from tickerloom.plans.html_sql import PAGE_TEXT
+
+    pages = {
+        "<script>var s='</style>';secret</script>after": "after",
+        "<style>a</script>b</style>c": "c",
+        "<SCRIPT>x</script >y<script>never closed": "y",
+        "<p>a<p>b<p>c</p></p>d</p>e": "a\nb\nc\nd\ne",
+        "<div hidden><div hidden>a</div>b</div>c": "c",
+        "<b><i>x</b>y</i>z<p hidden=''>q</p><p title=\"hidden\">r</p>": "xyz\nr",
+        "<p style='/* */display:none'>n</p><p STYLE=\"color:red;VISIBILITY:hidden;\">n</p>m": "m",
+        "a&lt;p&gt;b<br>&nbsp;&nbsp;c<!-- x --><!doctype y>d": "a<p>b\ncd",
+        "plain": "plain",
+        "a <b": "a <b",
+    }
+    pages |= {x: None for x in REFERENCES}
+    own = with_visible_text(spark.createDataFrame([*enumerate(pages)], "page_id long, html string"), "html", "text")
+    for r in own.collect():
+        assert pages[r.html] in (None, r.text)
+    got = {tuple(r) for r in own.select("page_id", F.length("text"), sha(F.col("text"))).collect()}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame([*enumerate(pages)], columns=["page_id", "html"]))
+    assert got == set(con.execute(PAGE_TEXT).fetchall())
+
+
+def test_many_pieces_in_one_page(spark):
+    body = "".join(f"<p>w{i}<b>&amp;</b>" for i in range(20_000))
+    row = with_visible_text(spark.createDataFrame([(body,)], "html string"), "html", "text").first()
+    assert row.text == "\n".join(f"w{i}&" for i in range(20_000))
+
+
 def test_canonical_url(spark):
     url = "HTTPS://News.Example.com/a/b//?utm_source=x&id=7&empty=&GCLID=1&q=a+b#frag"
     assert column(spark, url, tx.canonical_url) == "https://news.example.com/a/b?id=7&q=a+b"

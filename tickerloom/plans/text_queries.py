@@ -11,6 +11,7 @@ from tickerloom.operators import sentiment as se
 from tickerloom.operators import text as tx
 from tickerloom.operators.quality import compare
 from tickerloom.plans.catalog import query, r
+from tickerloom.plans.html_sql import PAGE_TEXT
 from tickerloom.plans.sqlbase import cte, with_ctes
 from tickerloom.session import balanced, cut_lineage
 from tickerloom.sources import standins
@@ -89,9 +90,9 @@ def canonical(spark, sf):
     return standins.pages(spark, sf).select("page_id", tx.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("page_visible_text")
+@query("page_visible_text", PAGE_TEXT)
 def page_text(spark, sf):
-    """HTML pages to visible text, every page whole; compared with a parser fixture in the tests."""
+    """HTML pages to visible text, every page whole."""
     p = with_visible_text(standins.pages(spark, sf).select("page_id", "html"), "html", "text")
     return p.select("page_id", F.length("text").alias("chars"), sha(F.col("text")).alias("text_hash"))
 
