@@ -97,7 +97,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     Web style: words are required, OR joins alternatives, a minus excludes, quotes keep order.
     """
-    text = F.col("query")
+    text = F.coalesce("query", F.lit(""))  # a null query asks for nothing
     phrases = F.regexp_extract_all(text, F.lit(r'(?<!-)"([^"]+)"'), F.lit(1))
     rest = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', " "), r"\s+OR\s+", "|")
     items = F.filter(F.split(one_spaced(rest), " "), lambda x: x != "")
@@ -192,13 +192,16 @@ def evidence(hits: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, depth: int = 20) -> DataFrame:
-    """Cited evidence rows (query_id, rank, ...) for every query that does not abstain."""
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, depth: int = 20, keyword=keyword_search) -> DataFrame:
+    """Cited evidence rows (query_id, rank, ...) for every query that does not abstain.
+
+    ``keyword(queries, chunks, depth)`` finds the keyword hits: a scan of the chunks, or a search of stored postings.
+    """
     hashes = chunks.select("chunk_id", "content_hash")
     # at most ``depth`` rows per query, read by the abstention test and by the fusion
     v = cut_lineage(vector_search(queries, chunks, vectors, depth).join(hashes, "chunk_id"))
     asked = answered(queries, v)
-    w = keyword_search(asked, chunks, depth).join(hashes, "chunk_id")
+    w = keyword(asked, chunks, depth).join(hashes, "chunk_id")
     kept = v.join(asked.select("query_id"), "query_id", "left_semi")
     fused = fuse(kept, w, k)
     fields = ["chunk_id", "title", "source_type", "source_url", "published", "text", "form"]

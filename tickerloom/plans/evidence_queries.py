@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import explain as ex
-from tickerloom.operators import profiles
+from tickerloom.operators import postings, profiles
 from tickerloom.operators import retrieval as rt
 from tickerloom.operators import sentiment as se
 from tickerloom.operators import snapshots as sn
+from tickerloom.operators import text as tx
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.sqlbase import cte, with_ctes
-from tickerloom.session import cut_lineage
+from tickerloom.plans.text_queries import headed_documents
+from tickerloom.session import cut_lineage, stored_table
 from tickerloom.sources import standins
 
 AS_OF_S = standins.AS_OF_S
@@ -34,7 +36,7 @@ def evidence_chunks(spark, sf):
 def query_vectors(spark, sf):
     """Two stored vectors per ticker number stand in for encoded query texts."""
     v = standins.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    no = F.substring("ticker", 2, 2).cast("int")
+    no = F.substring("ticker", 2, 2).try_cast("int")
     t = profiles.read_universe(standins.universe(spark, sf)).filter(F.col("ticker").rlike(r"^B\d\d$"))
     keys = t.select("ticker", F.explode(F.array(F.lit("news"), F.lit("sec"))).alias("kind"), no.alias("no"))
     keys = keys.withColumn("vec_id", F.when(F.col("kind") == "news", F.col("no")).otherwise(F.col("no") + 30).cast("bigint"))
@@ -148,6 +150,82 @@ def hybrid_retrieval(spark, sf):
     return e.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", r("similarity"), r("rrf", 8), "title", "snippet")
 
 
+# --- prepared chunks through stored postings -------------------------------------------------
+
+
+def prepared_chunks(spark, sf):
+    """The chunks of the headed corpus with their document's tickers and dates; a chunk is the unit that is searched."""
+    d = se.dated(standins.documents(spark, sf))
+    known = d.select(F.col("ingest_seq").alias("doc_no"), "tickers", "published", "source_type", "source_url", "title", "form")
+    chunks = tx.chunk_documents(headed_documents(spark, sf)).withColumn("doc_no", F.col("document_id").cast("bigint"))
+    return chunks.join(known, "doc_no").withColumn("ingest_seq", F.col("doc_no") + F.col("start_char"))
+
+
+cte(
+    "chunk_rows",
+    ["chunks", "headed"],
+    """
+    SELECT *, sha256(t) AS ch, list_transform(list_filter(regexp_extract_all(lower(t), '[a-z0-9]+'), lambda w: NOT list_contains({stop}, w)), lambda w: CASE WHEN len(w) >= 5 THEN regexp_replace(w, '(ing|ed|ly|es|s)$', '') ELSE w END) AS ts
+    FROM (SELECT doc_id, l::BIGINT AS l, sha256(CAST(doc_id AS VARCHAR) || ':' || h || ':' || l || ':' || r) AS chunk_id, substr(body, CAST(l + 1 AS BIGINT), CAST(r - l AS BIGINT)) AS t FROM chunks JOIN headed USING (doc_id))""".replace("{stop}", _STOP),
+)
+cte(
+    "chunk_pairs",
+    ["asks", "raw_docs", "chunk_rows"],
+    f"""
+    SELECT q.query_id, q.qv, q.no, q.a, q.b, q.c, k.chunk_id, k.ch, k.ts, (k.doc_id + k.l) % (SELECT count(*) FROM embeddings) AS vec_id FROM asks q
+      JOIN (SELECT doc_id, source_type, pub, unnest(tickers) AS ticker FROM raw_docs) d ON d.ticker = q.ticker AND d.source_type = q.kind AND d.pub <= {AS_OF_S} JOIN chunk_rows k USING (doc_id)""",
+)
+cte(
+    "chunk_keyword_hits",
+    ["chunk_pairs"],
+    """
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM (
+      SELECT *, (CASE WHEN no % 3 = 2 OR a = b THEN ta / (ta + 1.0::DOUBLE) ELSE ta / (ta + 1.0::DOUBLE) + tb / (tb + 1.0::DOUBLE) END) / (1 + ln(n::DOUBLE)) AS score FROM (
+        SELECT p.*, len(list_filter(ts, lambda x: x = p.a)) AS ta, len(list_filter(ts, lambda x: x = p.b)) AS tb, len(list_filter(ts, lambda x: x = p.c)) AS tc, len(ts) AS n FROM chunk_pairs p)
+      WHERE CASE no % 3 WHEN 0 THEN ta + tb > 0 WHEN 1 THEN ta > 0 AND tb > 0 ELSE ta > 0 AND tc = 0 END) QUALIFY rank < 20""",
+)
+cte(
+    "chunk_vector_hits",
+    ["chunk_pairs"],
+    """
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) - 1 AS rank FROM (
+      SELECT p.*, list_dot_product(e.embedding::DOUBLE[], p.qv::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(p.qv::DOUBLE[], p.qv::DOUBLE[]))) AS sim
+      FROM chunk_pairs p JOIN embeddings e USING (vec_id)) QUALIFY rank < 20""",
+)
+
+
+@query(
+    "chunk_keyword_search",
+    with_ctes("chunk_keyword_hits") + "SELECT query_id, chunk_id, rank::BIGINT AS rank, round(score, 6) AS keyword_score FROM chunk_keyword_hits",
+)
+def chunk_keyword_search(spark, sf):
+    """Keyword search over prepared chunks, reading only the posting lists of the words asked for."""
+    chunks = stored_table(prepared_chunks(spark, sf))
+    hits = postings.search(search_queries(spark, sf), postings.build(chunks), chunks)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), r("keyword_score"))
+
+
+@query(
+    "chunk_retrieval",
+    with_ctes("chunk_vector_hits", "chunk_keyword_hits")
+    .rstrip() + """, ok AS (SELECT query_id FROM chunk_vector_hits GROUP BY 1 HAVING max(sim) >= 0.2),
+    u AS (SELECT query_id, chunk_id, ch, rank, sim, 0 AS l FROM chunk_vector_hits WHERE query_id IN (SELECT query_id FROM ok)
+          UNION ALL SELECT query_id, chunk_id, ch, rank, NULL, 1 FROM chunk_keyword_hits WHERE query_id IN (SELECT query_id FROM ok)),
+    g AS (SELECT query_id, ch, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(l * 1000 + rank) AS fs FROM u GROUP BY 1, 2),
+    rep AS (SELECT query_id, ch, chunk_id, sim FROM u QUALIFY row_number() OVER (PARTITION BY query_id, ch ORDER BY sim IS NULL, l, rank) = 1)
+    SELECT query_id, rank::BIGINT AS rank, chunk_id, round(sim, 6) AS similarity, round(rrf, 8) AS rrf FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, fs) - 1 AS rank FROM g JOIN rep USING (query_id, ch)) WHERE rank < 5""",
+)
+def chunk_retrieval(spark, sf):
+    """Hybrid evidence from prepared chunks: vectors and stored postings, fused per story."""
+    chunks = stored_table(prepared_chunks(spark, sf))
+    index = postings.build(chunks)
+    e = rt.retrieve(
+        search_queries(spark, sf), chunks, standins.chunk_vectors(spark, sf, chunks), keyword=lambda q, c, depth: postings.search(q, index, c, depth)
+    )
+    return e.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", r("similarity"), r("rrf", 8))
+
+
 @query(
     "embedding_coverage",
     with_ctes("raw_docs")
@@ -241,7 +319,7 @@ def explanations(spark, sf):
 
 def forecast_rows(spark, sf):
     t = profiles.read_universe(standins.universe(spark, sf)).filter(F.col("ticker").rlike(r"^B\d\d$"))
-    no = F.substring("ticker", 2, 2).cast("int")
+    no = F.substring("ticker", 2, 2).try_cast("int")
     pred = (no % 9 - 3) / F.lit(100.0)
     return t.select(
         F.lower("ticker").alias("ticker"),
