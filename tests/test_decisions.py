@@ -67,19 +67,34 @@ def test_fundamentals_expected_values(spark):
     assert stale is None
 
 
-def test_neighbours_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(rc, "FOLLOWED_BLOCK", 3)
-    rng = np.random.default_rng(5)
+def label_rows(seed):
+    """Assets with few and many labels, light and heavy numbers, copies, none of either."""
+    rng = np.random.default_rng(seed)
     rows = [(f"T{i:02d}", [f"s{i % 4}", f"t{i % 3}"], [float(x) for x in rng.random(4)]) for i in range(20)]
+    rows += [(f"U{i:02d}", sorted({f"s{int(k)}" for k in rng.integers(0, 12, int(rng.integers(0, 7)))}), [float(x) for x in rng.random(4) * rng.choice([0, 0.2, 1], 4)]) for i in range(40)]
+    return [*rows, ("V0", ["s1"], [1.0] * 4), ("V1", ["z"], [1.0] * 4), ("V2", [], [0.0] * 4), ("V3", ["z"], [0.0] * 4)]
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.5, 0.8, 0.95])
+def test_neighbours_equal_all_pairs(spark, floor):
+    rows = label_rows(int(floor * 100))
     a = spark.createDataFrame(rows, "ticker string, labels array<string>, numbers array<double>")
     a = a.withColumn("norm", F.sqrt(F.size("labels") + F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x * x)))
-    got = {(r["followed"], r["ticker"]) for r in rc.neighbours(a, a.select("ticker")).collect()}
+    got = [(r["followed"], r["ticker"]) for r in rc.neighbours(a, a.select("ticker").filter("ticker <> 'T03'"), floor).collect()]
     want = set()
     for x, y in itertools.product(rows, rows):
         dot = len(set(x[1]) & set(y[1])) + np.dot(x[2], y[2])
-        if dot / np.sqrt((2 + np.dot(x[2], x[2])) * (2 + np.dot(y[2], y[2]))) >= 0.5:
+        lengths = np.sqrt(len(x[1]) + np.dot(x[2], x[2])) * np.sqrt(len(y[1]) + np.dot(y[2], y[2]))
+        if x[0] != "T03" and lengths and dot / lengths >= floor:
             want.add((x[0], y[0]))
-    assert got == want
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_neighbour_prefixes_leave_common_labels_out(spark):
+    rows = [(f"T{i}", ["type:stock", f"theme:{i % 50}", f"theme:{(i + 1) % 50}"], [0.1] * 4) for i in range(200)]
+    a = spark.createDataFrame(rows, "ticker string, labels array<string>, numbers array<double>")
+    a = a.withColumn("norm", F.sqrt(F.size("labels") + F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x * x)))
+    assert rc.with_prefix(a, 0.8).filter(F.array_contains("prefix", "type:stock")).count() == 0
 
 
 def model_frame(spark, n=400, tickers=("A", "B")):

@@ -24,7 +24,6 @@ RISK_WEIGHT = 0.2
 MIN_INTEREST_SIMILARITY = 0.1
 MIN_FOLLOW_SIMILARITY = 0.5
 RISK_FEATURES = ["volatility_1y", "beta", "max_drawdown_1y", "dividend_yield"]
-FOLLOWED_BLOCK = 256
 
 
 def interest_table(spark: SparkSession) -> DataFrame:
@@ -114,32 +113,70 @@ def attributes(assets: DataFrame) -> DataFrame:
 
 def cosine(a_labels, a_numbers, a_norm, b_labels, b_numbers, b_norm) -> Column:
     dot = sum((F.get(a_numbers, F.lit(i)) * F.get(b_numbers, F.lit(i)) for i in range(len(RISK_FEATURES))), F.lit(0.0))
-    return (F.size(F.array_intersect(a_labels, b_labels)) + dot) / (a_norm * b_norm)
+    return F.try_divide(F.size(F.array_intersect(a_labels, b_labels)) + dot, a_norm * b_norm)
+
+
+def _squares(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def with_prefix(attrs: DataFrame, floor: float) -> DataFrame:
+    """Adds ``squares`` (of the numbers), ``prefix`` and ``heavy``.
+
+    Labels stand in one order for all assets, rare ones first, the numbers after them.  The prefix is the shortest head
+    for which the rest is shorter than ``floor`` times the whole vector; two assets whose prefixes have nothing in common share only features
+    of one rest, so their product stays below ``floor`` times both lengths.  ``heavy`` assets need the numbers in their
+    prefix as well.
+    """
+    each = attrs.select("ticker", F.explode("labels").alias("label"))
+    counts = each.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(counts, "label").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("n", "label")))["label"].alias("ordered"))
+    room = F.lit(floor * floor * (1 - 1e-9)) * F.col("norm") * F.col("norm") - F.col("squares")
+    size = F.size("ordered")
+    length = F.when(room <= 0, size).otherwise(F.least(size, F.greatest(F.lit(0), (F.floor(size - room) + 1).cast("int"))))
+    d = attrs.withColumn("squares", _squares(F.col("numbers"))).join(ordered, "ticker", "left").withColumn("ordered", F.coalesce("ordered", F.array().cast("array<string>")))
+    return d.select("ticker", "labels", "numbers", "norm", "squares", F.slice("ordered", F.lit(1), length).alias("prefix"), (room <= 0).alias("heavy"))
+
+
+def _cell(numbers: Column) -> Column:
+    """The cell of a point of the unit cube, halved along each axis."""
+    halves = [F.when(F.get(numbers, F.lit(i)) >= 0.5, 1 << i).otherwise(0) for i in range(len(RISK_FEATURES))]
+    return sum(halves, F.lit(0))
+
+
+def _cells_in_reach(numbers: Column, norm: Column, floor: float) -> Column:
+    """Cells that can hold a point whose numbers alone give the floor: product with the upper corner against the lower corner's length."""
+    axes = range(len(RISK_FEATURES))
+
+    def reaches(cell: Column) -> Column:
+        bit = [F.shiftright(cell, i).bitwiseAND(F.lit(1)) for i in axes]
+        upper = sum((F.get(numbers, F.lit(i)) * (bit[i] + 1) / 2 for i in axes), F.lit(0.0))
+        lower = F.sqrt(sum((bit[i] * 0.25 for i in axes), F.lit(0.0)))
+        return upper >= F.lit(floor) * norm * lower - 1e-9
+
+    return F.filter(F.sequence(F.lit(0), F.lit((1 << len(RISK_FEATURES)) - 1)), reaches)
 
 
 def neighbours(attrs: DataFrame, followed: DataFrame, floor: float = MIN_FOLLOW_SIMILARITY) -> DataFrame:
-    """(followed, ticker, similarity) at or above the floor, exact.
+    """(followed, ticker, similarity) at or above the floor, exact: a prefix-filtered cosine join.
 
-    The followed side is packed into blocks of bounded size; each asset meets every block
-    once and only qualifying pairs leave the comparison.
+    Assets meet through one posting for each label of their prefix; heavy ones also through the cells of their numbers.  A pair is met by the
+    first label its prefixes share, and compared in full only if its lengths allow the floor.
     """
-    wanted = attrs.join(followed.select("ticker").distinct(), "ticker", "left_semi")
-    blocks = F.ceil(wanted.agg(F.count(F.lit(1))).scalar() / FOLLOWED_BLOCK)
-    packed = (
-        wanted.withColumn("block", F.pmod(F.xxhash64("ticker"), F.greatest(F.lit(1), blocks)))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("ticker", "labels", "numbers", "norm")).alias("members"))
-    )
-    spread = attrs.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), blocks) - 1)))
-    sims = F.transform(
-        "members",
-        lambda m: F.named_struct(
-            F.lit("followed"), m["ticker"],
-            F.lit("similarity"), cosine(F.col("labels"), F.col("numbers"), F.col("norm"), m["labels"], m["numbers"], m["norm"]),
-        ),
-    )
-    j = spread.join(packed, "block")
-    return j.select("ticker", F.explode(F.filter(sims, lambda x: x["similarity"] >= floor)).alias("s")).select("s.followed", "ticker", "s.similarity")
+    d = with_prefix(attrs, floor)
+    own_cell = F.when(F.col("heavy"), F.array(F.concat(F.lit("#"), _cell(F.col("numbers")).cast("string"))))
+    reached = F.when(F.col("heavy"), F.transform(_cells_in_reach(F.col("numbers"), F.col("norm"), floor), lambda c: F.concat(F.lit("#"), c.cast("string"))))
+    keys = lambda cells: F.explode(F.concat(F.transform("prefix", lambda x: F.concat(F.lit("="), x)), F.coalesce(cells, F.array().cast("array<string>"))))
+    left = d.withColumn("key", keys(reached)).alias("a")
+    right = d.join(followed.select("ticker").distinct(), "ticker", "left_semi").withColumn("key", keys(own_cell)).alias("b")
+    most = F.least(F.size("a.labels"), F.size("b.labels")) + F.sqrt(F.col("a.squares") * F.col("b.squares"))
+    allowed = most >= F.lit(floor) * F.col("a.norm") * F.col("b.norm") - 1e-9
+    met = left.join(right, (F.col("a.key") == F.col("b.key")) & allowed)
+    shared = F.try_element_at(F.array_intersect("a.prefix", "b.prefix"), F.lit(1))
+    first = F.col("a.key") == F.concat(F.lit("="), shared)
+    met = met.filter(F.when(shared.isNull(), F.startswith("a.key", F.lit("#"))).otherwise(first))
+    sim = cosine(*[F.col(f"{t}.{n}") for t in ("a", "b") for n in ("labels", "numbers", "norm")])
+    return met.select(F.col("b.ticker").alias("followed"), F.col("a.ticker").alias("ticker"), sim.alias("similarity")).filter(F.col("similarity") >= floor)
 
 
 def risk_fit(volatility: Column, risk_level: Column) -> Column:
