@@ -97,6 +97,35 @@ def test_neighbour_prefixes_leave_common_labels_out(spark):
     assert rc.with_prefix(a, 0.8).filter(F.array_contains("prefix", "type:stock")).count() == 0
 
 
+def shop(spark):
+    """Assets with many ties and few, some without volatility, and investors with and without follows."""
+    from tickerloom.domain import INTERESTS, RISK_TIERS
+
+    rng = np.random.default_rng(8)
+    sectors = sorted({x for i in INTERESTS for x in i[2]})
+    themes = sorted({x for i in INTERESTS for x in i[3]})
+    pick = lambda values, n=1: [values[int(k)] for k in rng.integers(0, len(values), n)]
+    assets = []
+    for i in range(90):
+        risk = tuple(None if rng.random() < 0.1 else float(np.round(rng.random(), 1 if i % 2 else 3)) for _ in range(4))
+        assets.append((f"A{i:02d}", f"Asset {i}", pick(["stock", "etf"])[0], pick([None, "growth", "index fund"])[0], pick(sectors[:4] if i % 2 else sectors)[0], pick(themes, i % 3), risk))
+    kinds = "ticker string, name string, asset_type string, category string, sector string, themes array<string>, risk struct<volatility_1y double, beta double, max_drawdown_1y double, dividend_yield double>"
+    names = [i[0] for i in INTERESTS]
+    people = []
+    for i in range(40):
+        follows = [] if i % 3 == 0 else [f"A{int(k):02d}" for k in rng.integers(0, 95, 1 + i % 3)]
+        people.append((i, pick(RISK_TIERS)[0], sorted(set(pick(names, i % 4))), pick(["stock", "etf", "both"])[0], follows))
+    return spark.createDataFrame(assets, kinds), spark.createDataFrame(people, "investor_id int, risk_level string, interests array<string>, asset_types string, followed_tickers array<string>")
+
+
+def test_recommendations_follow_k_not_the_catalogue(spark):
+    """Heads of one row, widened until the bound falls below the k-th score, give what whole lists give."""
+    assets, people = shop(spark)
+    rows = lambda **more: sorted(map(str, rc.recommend(people, assets, 4, **more).collect()))
+    whole = rows(head=1000)
+    assert rows(head=1) == whole and rows(head=6) == whole and len(whole) > 100
+
+
 def model_frame(spark, n=400, tickers=("A", "B")):
     rng = np.random.default_rng(0)
     rows = []

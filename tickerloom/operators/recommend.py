@@ -223,18 +223,23 @@ def with_signature(investors: DataFrame) -> DataFrame:
     return d.withColumn("signature", F.sha2(F.to_json(F.struct(*answers)), 256))
 
 
-def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10) -> DataFrame:
-    """Best ``limit`` assets per investor with score and reasons."""
-    sims = cut_lineage(interest_similarity(assets))
-    attrs = cut_lineage(attributes(assets))
-    s = cut_lineage(signatures(investors))
-    asked = s.select("signature", F.explode("interests").alias("interest"))
-    follows = s.select("signature", F.posexplode("followed_tickers").alias("pos", "followed")).join(
-        assets.select(F.col("ticker").alias("followed")), "followed", "left_semi"
-    )
-    near = neighbours(attrs, follows.select(F.col("followed").alias("ticker")))
+HEAD = 32  # rows of each sorted list that the first round reads
+WIDER = 8  # each further round reads so many times more
+
+
+def _heads(rows: DataFrame, keys: list[str], value: str, depth: int) -> DataFrame:
+    """The best ``depth`` rows of each list with ``place`` from 1, and the one after them, which bounds all others.
+
+    The rank is cut before the shuffle as well, so a list that holds every asset sends one head a task.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc(value), "ticker")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= depth + 1)
 
-    by_interest = asked.join(sims, "interest").groupBy("signature", "ticker").agg(
+
+def _scored(c: DataFrame, asked: DataFrame, follows: DataFrame, sims: DataFrame, attrs: DataFrame) -> DataFrame:
+    """Exact scores and reasons of candidate pairs (signature, ticker, risk_level and the asset's fields)."""
+    pairs = c.select("signature", "ticker")
+    by_interest = pairs.join(asked, "signature").join(sims, ["interest", "ticker"]).groupBy("signature", "ticker").agg(
         F.max("similarity").alias("interest_score"),
         F.array_sort(
             F.collect_list(
@@ -245,22 +250,12 @@ def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10) -> DataF
             )
         ).alias("matched"),
     )
-    by_follow = follows.join(near, "followed").select("signature", "ticker").distinct()
-    candidates = (
-        by_interest.filter(F.size("matched") > 0).select("signature", "ticker").unionByName(by_follow).distinct()
-    )
-    detail = assets.select(
-        "ticker", "name", "asset_type", "category", "sector", F.col("risk.volatility_1y").alias("volatility")
-    )
-    c = candidates.join(s.select("signature", "risk_level", "asset_types", "followed_tickers"), "signature").join(detail, "ticker")
-    c = c.filter(type_allowed(F.col("asset_types"), F.col("asset_type")) & ~F.array_contains("followed_tickers", F.col("ticker")))
-
     a, b = attrs.select("ticker", F.struct("labels", "numbers", "norm").alias("a")), attrs.select(
         F.col("ticker").alias("followed"), F.struct("labels", "numbers", "norm").alias("b")
     )
-    pair = c.select("signature", "ticker").join(follows, "signature").join(a, "ticker").join(b, "followed")
-    sim = cosine(*[F.col(f"a.{n}") for n in ("labels", "numbers", "norm")], *[F.col(f"b.{n}") for n in ("labels", "numbers", "norm")])
-    follow_best = pair.withColumn("sim", sim).groupBy("signature", "ticker").agg(
+    sim = cosine(*[F.col(f"{t}.{n}") for t in ("a", "b") for n in ("labels", "numbers", "norm")])
+    met = pairs.join(follows, "signature").join(a, "ticker").join(b, "followed").withColumn("sim", sim)
+    follow_best = met.groupBy("signature", "ticker").agg(
         F.max("sim").alias("follow_score"), F.max_by("followed", F.struct("sim", -F.col("pos"))).alias("closest")
     )
     c = c.join(by_interest, ["signature", "ticker"], "left").join(follow_best, ["signature", "ticker"], "left")
@@ -283,9 +278,78 @@ def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10) -> DataF
         ),
         lambda x: x.isNotNull(),
     )
-    scored = c.select("signature", "ticker", "name", "asset_type", "category", "sector", "volatility", F.bround(total, 4).alias("score"), reasons.alias("reasons"))
+    return c.select("signature", "ticker", "name", "asset_type", "category", "sector", "volatility", F.bround(total, 4).alias("score"), reasons.alias("reasons"))
+
+
+def _round(s: DataFrame, parts: dict[str, DataFrame], limit: int, depth: int) -> DataFrame:
+    """The best ``limit`` of each signature among the heads of its lists, with ``open``: whether an asset outside them could still matter.
+
+    An asset that is in no head has at most the next value of an interest's list (interest and risk together) or what no
+    interest and the best risk give, plus the next value of a followed asset's list or what lies below its floor.
+    """
+    asked, follows, detail = (parts[n] for n in ("asked", "follows", "detail"))
+    level = s.select("signature", "risk_level", "asset_types", "followed_tickers")
+    wanted = asked.join(level.select("signature", "risk_level"), "signature")
+    lists = wanted.select("interest", "risk_level").distinct().join(parts["sims"].filter(F.col("similarity") >= MIN_INTEREST_SIMILARITY), "interest")
+    lists = lists.join(detail.select("ticker", "asset_type", "volatility"), "ticker")
+    part = INTEREST_WEIGHT * F.col("similarity") + RISK_WEIGHT * risk_fit(F.col("volatility"), F.col("risk_level"))
+    by_interest = _heads(lists.withColumn("part", part), ["interest", "risk_level", "asset_type"], "part", depth)
+    by_interest = by_interest.select("interest", "risk_level", "asset_type", "ticker", "part", "place")
+    typed = parts["near"].join(detail.select("ticker", "asset_type"), "ticker").withColumn("part", F.lit(FOLLOW_WEIGHT) * F.col("similarity"))
+    by_follow = _heads(typed, ["followed", "asset_type"], "part", depth).select("followed", "asset_type", "ticker", "part", "place")
+    met = wanted.join(by_interest, ["interest", "risk_level"]).select("signature", "asset_type", "ticker", "part", "place", F.lit(0).alias("list"))
+    met = met.unionByName(follows.join(by_follow, "followed").select("signature", "asset_type", "ticker", "part", "place", F.lit(1).alias("list")))
+    met = met.join(level, "signature").filter(type_allowed(F.col("asset_types"), F.col("asset_type")))
+    inside = F.col("place") <= depth
+    c = met.filter(inside & ~F.array_contains("followed_tickers", F.col("ticker"))).select("signature", "ticker", "risk_level").distinct().join(detail, "ticker")
+    scored = _scored(c, asked, follows, parts["sims"], parts["attrs"])
     w = Window.partitionBy("signature").orderBy(F.desc("score"), "ticker")
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    after = met.filter(~inside).groupBy("signature").agg(*[F.max(F.when(F.col("list") == i, F.col("part"))).alias(f"next_{i}") for i in (0, 1)])
+    followers = follows.select("signature").distinct().withColumn("follows", F.lit(True))
+    bound = after.join(followers, "signature", "left").select(
+        "signature",
+        (
+            (
+                F.greatest(F.col("next_0"), F.lit(INTEREST_WEIGHT * MIN_INTEREST_SIMILARITY + RISK_WEIGHT))
+                + F.when(F.col("follows"), F.greatest(F.col("next_1"), F.lit(FOLLOW_WEIGHT * MIN_FOLLOW_SIMILARITY))).otherwise(0.0)
+            )
+            / (INTEREST_WEIGHT + RISK_WEIGHT + F.when(F.col("follows"), FOLLOW_WEIGHT).otherwise(0.0))
+        ).alias("bound"),
+    )
+    last = best.filter(F.col("rank") == limit).select("signature", F.col("score").alias("least"))
+    unsure = bound.join(last, "signature", "left").filter(F.col("least").isNull() | (F.col("least") <= F.bround(F.col("bound") + 1e-9, 4)))
+    return best.join(unsure.select("signature", F.lit(True).alias("open")), "signature", "full").withColumn("open", F.coalesce("open", F.lit(False)))
+
+
+def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10, head: int = HEAD) -> DataFrame:
+    """Best ``limit`` assets per investor with score and reasons: a threshold algorithm over sorted lists.
+
+    Lists belong to (interest, risk level, asset type) and (followed asset, type), so they are as many as those and not as the investors.  A
+    round scores only the heads of a signature's lists; signatures whose k-th score does not exceed the bound of what was not read
+    go to the next round with longer heads.
+    """
+    s = cut_lineage(signatures(investors))
+    parts = {
+        "sims": cut_lineage(interest_similarity(assets)),
+        "attrs": cut_lineage(attributes(assets)),
+        "detail": assets.select("ticker", "name", "asset_type", "category", "sector", F.col("risk.volatility_1y").alias("volatility")),
+    }
+    left, done, depth = s, [], head
+    known = assets.select(F.col("ticker").alias("followed"))
+    parts["near"] = cut_lineage(neighbours(parts["attrs"], s.select(F.explode("followed_tickers").alias("ticker"))))
+    while True:
+        parts["asked"] = left.select("signature", F.explode("interests").alias("interest"))
+        parts["follows"] = left.select("signature", F.posexplode("followed_tickers").alias("pos", "followed")).join(known, "followed", "left_semi")
+        made = cut_lineage(_round(left, parts, limit, depth))
+        done.append(made.filter("not open").drop("open"))
+        unsure = made.filter("open").select("signature").distinct()
+        if unsure.isEmpty():
+            break
+        left, depth = cut_lineage(left.join(unsure, "signature", "left_semi")), depth * WIDER
+    best = done[0]
+    for more in done[1:]:
+        best = best.unionByName(more)
     return with_signature(investors).select("investor_id", "signature").join(best, "signature").drop("signature")
 
 
