@@ -118,6 +118,23 @@ def test_ranks_against_pandas(spark):
     assert total == 800
 
 
+def test_ranks_over_several_levels(spark):
+    """Two and three levels of few ranges give the positions that one sort gives."""
+    from tickerloom.operators.ranks import cumulative_counts, levels_for
+
+    rng = np.random.default_rng(7)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 1500), np.round(rng.normal(size=1500), 2), strict=True)] + [(0, 0.5)] * 300 + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    want = {}
+    for g in range(3):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        want |= {(g, v): (own.count(v), own.index(v), len(own)) for v in own}
+    for ranges, levels in ((64, None), (3, 2), (4, 3)):
+        got = {(r["g"], r["v"]): (r["n"], r["before"], r["total"]) for r in cumulative_counts(df, ["g"], "v", ranges, levels).collect()}
+        assert got == want
+    assert [levels_for(p) for p in (1, 64, 65, 4096, 100_000)] == [1, 1, 2, 2, 3]
+
+
 def test_landing_keeps_the_last_copy_and_the_exchange_date(spark):
     raw = spark.createDataFrame(
         [("2020-01-02 00:00:00-05:00", "A", 1.0, None, 1), ("2020-01-02 00:00:00-05:00", "A", 2.0, 0.5, 2)],

@@ -26,6 +26,53 @@ def test_inventory_identity_and_twins(spark, tmp_path):
         st.replace_all(df.filter("false"), str(tmp_path / "none"))
 
 
+def test_files_are_hashed_in_parts(spark, tmp_path):
+    import hashlib
+
+    from tickerloom.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    bodies = {"a/one": b"x" * 10, "a/b/two": bytes(range(256)) * 5, "a/none": b"", "three": b"y" * 100}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+
+    def digest(body):
+        parts = [hashlib.sha256(body[i : i + 100]).digest() for i in range(0, max(1, len(body)), 100)]
+        return parts[0].hex() if len(parts) == 1 else hashlib.sha256(b"".join(parts)).hexdigest()
+
+    got = files.file_inventory(spark, str(tmp_path), part_bytes=100)
+    assert {r["path"].removeprefix(f"{tmp_path}/"): (r["bytes"], r["sha256"]) for r in got.collect()} == {n: (len(b), digest(b)) for n, b in bodies.items()}
+    before = got.cache()
+    before.count()
+    (tmp_path / "three").write_bytes(b"z" * 100)
+    (tmp_path / "four").write_bytes(b"")
+    (tmp_path / "a" / "one").unlink()
+    after = files.file_inventory(spark, str(tmp_path), part_bytes=100)
+    assert {(r["path"].removeprefix(f"{tmp_path}/"), r["kind"]) for r in files.inventory_conflicts(before, after).collect()} == {("three", "changed"), ("four", "new"), ("a/one", "missing")}
+
+
+def test_file_beyond_two_gigabytes(spark, tmp_path):
+    from tickerloom.sources import files
+
+    with (tmp_path / "large").open("wb") as f:
+        f.truncate((2 << 30) + 5)  # sparse: no room on the disk
+    row = files.file_inventory(spark, str(tmp_path)).first()
+    assert row["bytes"] == (2 << 30) + 5 and len(row["sha256"]) == 64
+
+
+def test_identity_is_of_the_multiset(spark):
+    of = lambda rows: st.snapshot_identity(spark.createDataFrame(rows, "path string, sha256 string").repartition(3)).first()[0]
+    assert of([("a", "1"), ("b", "2")]) == of([("b", "2"), ("a", "1")])
+    assert len({of([("a", "1")]), of([("a", "1")] * 2), of([("a", "1"), ("b", "2")]), of([])}) == 4
+
+
+def test_table_specs(spark):
+    from tickerloom.sources import files
+
+    rows = files.table_specs({"t": spark.range(3), "u": spark.createDataFrame([("x", 1.0)], "a string, b double")}).collect()
+    assert [(r["table"], r["rows"]) for r in rows] == [("t", 3), ("u", 1)] and '"bigint"' in rows[0]["columns"]
+
+
 def test_verification_finds_changed_rows(spark):
     a = spark.createDataFrame([(1, float("nan")), (2, 1.0), (2, 1.0)], "id int, v double")
     assert {r["side"]: r["n"] for r in st.content_differences(a, a).collect()} == {"missing": 0, "extra": 0}

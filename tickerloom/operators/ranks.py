@@ -1,8 +1,10 @@
 """Exact ranks and order statistics without a single-task sort.
 
 Equal values are counted first (this combines map-side, so one hot value costs nothing).
-Distinct values are cut into ranges at approximate quantiles; only range totals, a fixed
-number per group, are summed in one window, and exact positions are found inside ranges.
+Distinct values are cut into ranges at approximate quantiles, level by level: each level cuts every range of the one above
+into as many again.  There are as many levels as the session's shuffle partitions ask for, so that a range of the last level
+is no more than a partition's share of the distinct values, whatever their number.  Only range totals, a fixed number per
+range above, are summed in windows, and exact positions are found inside the last ranges.
 """
 
 from __future__ import annotations
@@ -15,26 +17,35 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def cumulative_counts(df: DataFrame, group: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+def levels_for(partitions: int, ranges: int = RANGES) -> int:
+    """Levels after which there are at least as many ranges as partitions."""
+    levels, reached = 1, ranges
+    while reached < partitions:
+        levels, reached = levels + 1, reached * ranges
+    return levels
+
+
+def cumulative_counts(df: DataFrame, group: list[str], value: str, ranges: int = RANGES, levels: int | None = None) -> DataFrame:
     """(group, value, n, before, total): copies of each value and how many are smaller."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    levels = levels or levels_for(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
+    keyed = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    bounds = counts.groupBy(*group).agg(
-        F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("n").alias("total")
-    )
-    keyed = counts.join(bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    by_range = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy(*group, "_range")
-        .agg(F.sum("n").alias("_m"))
-        .select(*group, "_range", F.coalesce(F.sum("_m").over(by_range), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        keyed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(starts, [*group, "_range"])
-        .select(*group, value, "n", (F.col("_start") + F.col("_in")).alias("before"), "total")
-    )
+    keys, before = list(group), F.lit(0)
+    for level in range(levels):
+        own = f"_range{level}"
+        # the totals of all ranges above are known already; only the first level adds the group's
+        total = [F.sum("n").alias("total")] if level == 0 else []
+        bounds = keyed.groupBy(*keys).agg(F.percentile_approx(value, cuts, 2000).alias("_cuts"), *total)
+        keyed = keyed.join(bounds, keys).withColumn(own, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        earlier = Window.partitionBy(*keys).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        starts = keyed.groupBy(*keys, own).agg(F.sum("n").alias("_m"))
+        starts = starts.select(*keys, own, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias(f"_start{level}"))
+        keys = [*keys, own]
+        keyed = keyed.join(starts, keys)
+        before = before + F.col(f"_start{level}")
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    place = keyed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return place.select(*group, value, "n", (before + F.col("_in")).alias("before"), "total")
 
 
 def order_statistic(df: DataFrame, group: list[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.columns import sha
 from tickerloom.operators.blocks import session_numbers
+from tickerloom.sources.files import file_inventory  # noqa: F401
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: list[str] | None = None, sort: list[str] | None = None, mode: str = "error") -> None:
@@ -75,12 +76,6 @@ def replace_all(df: DataFrame, path: str) -> int:
 # --- inventory and identity -------------------------------------------------------------
 
 
-def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def drop_csv_twins(files: DataFrame) -> DataFrame:
     """Inventory without CSV files that have a Parquet twin of the same name."""
     stem = F.regexp_replace("path", r"\.(csv|parquet)$", "")
@@ -89,15 +84,21 @@ def drop_csv_twins(files: DataFrame) -> DataFrame:
     return d.join(twins, "_s", "left_anti").drop("_s").select(*files.columns)
 
 
-def snapshot_identity(manifest: DataFrame) -> DataFrame:
-    """Content identity of a manifest of (path, sha256): a hash of per-prefix hashes in order.
+def content_identity(entries: Column) -> Column:
+    """Aggregate: order-free identity of a multiset of texts.
 
-    Entries first combine inside 256 ranges of the path hash, then the ranges combine, so no
-    single aggregate holds the whole manifest.
+    Every entry's SHA-256 is read as eight numbers of 32 bits; the sums of each, with the count, identify the multiset.  Sums combine before any
+    shuffle, so nothing is gathered, however many entries there are.
     """
-    keyed = manifest.select(sha(F.concat_ws(":", "path", "sha256")).alias("h"))
-    ranges = keyed.groupBy(F.substring("h", 1, 2).alias("r")).agg(sha(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("rh"))
-    return ranges.agg(F.concat(F.lit("ss_"), F.substring(sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "rh"))), lambda x: x["rh"]), "")), 1, 20)).alias("version"))
+    h = sha(entries)
+    limbs = [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").cast("string") for x in limbs]
+    return sha(F.concat_ws(":", F.count(h).cast("string"), *sums))
+
+
+def snapshot_identity(manifest: DataFrame) -> DataFrame:
+    """(version): content identity of a manifest of (path, sha256)."""
+    return manifest.agg(F.concat(F.lit("ss_"), F.substring(content_identity(F.concat_ws(":", "path", "sha256")), 1, 20)).alias("version"))
 
 
 def numbered_rows(df: DataFrame, key: str, order: str, period: Column) -> DataFrame:

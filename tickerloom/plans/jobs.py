@@ -11,7 +11,7 @@ from tickerloom.domain import MODEL_START_DATE
 from tickerloom.operators import features as fe
 from tickerloom.operators import forecast as fc
 from tickerloom.operators.quality import validate_unique
-from tickerloom.operators.storage import file_inventory, write_table
+from tickerloom.operators.storage import content_identity, file_inventory, write_table
 from tickerloom.session import cut_lineage
 from tickerloom.sources.landing import completed_sessions, require_rows
 
@@ -30,9 +30,9 @@ def read_local_inputs(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[
 
 
 def content_hash(spark: SparkSession, path: str) -> str:
-    """Hash over the sorted (path, sha256) lines of an input's files; one row per file reaches the driver's aggregate."""
-    files = file_inventory(spark, path).select(F.concat_ws(":", "path", "sha256").alias("l"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)).first()[0]
+    """Identity of an input's files by name and content; only sums reach the driver."""
+    files = file_inventory(spark, path)
+    return files.agg(content_identity(F.concat_ws(":", "path", "sha256"))).first()[0]
 
 
 def unchanged(spark: SparkSession, paths: dict[str, str], hashes: dict[str, str]) -> bool:
@@ -62,7 +62,7 @@ def result_package(spark: SparkSession, path: str, model: fc.ForecastModel, fram
         raise ValueError("The run folder exists already and is left as it is")
     newest = frame.groupBy("ticker").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "ticker"]), "Date").alias("f")).select("ticker", "f.*")
     features = newest.select("ticker", "Date", *fe.MODEL_INPUTS)
-    write_table(features.coalesce(1), f"{path}/features", sort=["ticker"])
+    write_table(features, f"{path}/features", sort=["ticker"])
     forecasts = fc.latest_forecasts(model.predict(model.servable(newest)), F.lit(as_of).cast("date"))
     kept = forecasts.select("ticker", "Date", F.col("prediction").alias("predicted_return_10d"), "lower_return", "upper_return", "uncertainty_width_pp", "data_age_days", "stale", "status")
     write_table(kept.withColumn("model", F.lit(model.candidate.name)), f"{path}/forecasts", "csv")
