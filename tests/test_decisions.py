@@ -230,3 +230,46 @@ def test_boosted_forecast_tries_every_grid_point(spark, monkeypatch):
         fq.boosted_forecast(spark, None)
     points = list(itertools.product([(1, 0.03), (2, 0.03), (3, 0.03), (2, 0.1)], [10, 50, 150]))
     assert seen.value.args == ("boosted", [(d, s, n) for (d, s), n in points])
+
+
+def test_walk_forward_equals_each_fold_alone(spark):
+    """Ridge, mean and median of all folds from grouped aggregates against numpy, fold by fold."""
+    from tickerloom.operators import walkforward as wf
+    from tickerloom.operators.forecast import TARGET
+
+    frame = model_frame(spark, n=1700, tickers=("A", "B")).unionByName(model_frame(spark, n=100, tickers=("C",)))
+    frame = frame.withColumn("rsi_14", F.when(F.dayofmonth("Date") % 5 > 0, F.col("rsi_14")))
+    got = {(r["fold"], r["model"]): r for r in wf.walk_forward(frame, [2022, 2023]).collect()}
+    assert set(got) == set(itertools.product([2022, 2023], ["mean", "median", "ridge"]))
+    table = frame.toPandas()
+    table = table[table.ticker != "C"]
+    d, end, y = (table[c].to_numpy().astype("datetime64[D]") if c != TARGET else table[c].to_numpy() for c in ("Date", "label_end_date", TARGET))
+    x0 = table[MODEL_INPUTS].to_numpy(float)
+    for year in (2022, 2023):
+        t, c, e, n = (np.datetime64(v) for v in (f"{year - 1}-07-01", f"{year - 1}-10-01", f"{year}-01-01", f"{year + 1}-01-01"))
+        train, fit, inner = (d < t) & (end < t), (d < c) & (end < c), (d >= t) & (d < c) & (end < c)
+        cal, ev = (d >= c) & (d < e) & (end < e), (d >= e) & (d < n) & (end < n)
+
+        def solved(rows, alpha):
+            x = np.where(np.isnan(x0), np.nanmedian(x0[rows], axis=0), x0)
+            z = (x - x[rows].mean(0)) / x[rows].std(0)
+            w = np.linalg.solve(z[rows].T @ z[rows] + alpha * np.eye(z.shape[1]), z[rows].T @ (y[rows] - y[rows].mean()))
+            return z @ w + y[rows].mean()
+
+        alpha = min((100.0, 1000.0), key=lambda a: np.abs(y - solved(train, a))[inner].mean())
+        scale = np.maximum(table["rolling_volatility_20"].to_numpy() * np.sqrt(10 / 252), 0.005)
+        for name, p in (("ridge", solved(fit, alpha)), ("mean", np.full(len(y), y[fit].mean())), ("median", np.full(len(y), np.median(y[fit])))):
+            scores = np.sort((np.abs(y - p) / scale)[cal])
+            half = scores[int(np.ceil((cal.sum() + 1) * 0.9)) - 1] * scale
+            r = got[year, name]
+            assert r["rows"] == ev.sum()
+            assert np.isclose(r["MAE_pp"], np.abs(y - p)[ev].mean() * 100) and np.isclose(r["mean_interval_width_pp"], 2 * half[ev].mean() * 100)
+            assert np.isclose(r["interval_coverage"], (np.abs(y - p) <= half)[ev].mean())
+
+
+def test_walk_forward_with_trees(spark):
+    from tickerloom.operators import walkforward as wf
+
+    rows = wf.walk_forward(model_frame(spark, n=1300), [2022], ("median", "boosted"), grid=[(1, 0.5, 1), (2, 0.5, 3)]).collect()
+    mae = {r["model"]: r["MAE_pp"] for r in rows}
+    assert mae["boosted"] < mae["median"]

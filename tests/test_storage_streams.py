@@ -127,7 +127,7 @@ def test_incremental_embedding_and_snapshot_upsert(spark, tmp_path):
     land(1, [("c2", "B", "growth", "2020-01-02", "CAUTION"), ("c3", "C", "growth", "2020-01-02", "EXPLORE")])
     run()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "vec")).select("chunk_id").collect()) == ["c1", "c2", "c3"]
-    final = {r["ticker"]: r["stance"] for r in spark.read.parquet(str(tmp_path / "snap/version=1")).collect()}
+    final = {r["ticker"]: r["stance"] for r in inc.read_newest(spark, str(tmp_path / "snap"), inc.SNAPSHOT_KEYS).collect()}
     assert final == {"A": "MONITOR", "B": "CAUTION", "C": "EXPLORE"}
 
 
@@ -145,3 +145,45 @@ def test_open_trailing_windows_come_out_and_are_updated(spark, tmp_path):
     second = run([("A", 0.5, 1.0, "2024-05-01 12:00:00"), ("C", -1.0, 1.0, "2024-05-01 13:00:00")])
     assert sorted((r.ticker, r.article_count) for r in second) == [("A", 3)] * 7 + [("B", 1)] * 7 + [("C", 1)] * 7
     assert len({(r.as_of, r.ticker) for r in second}) == 21
+
+
+def windows(spark, rows):
+    return spark.createDataFrame(rows, "as_of string, ticker string, n int").withColumn("as_of", F.col("as_of").cast("timestamp"))
+
+
+def test_a_batch_writes_only_its_days_and_replays(spark, tmp_path):
+    store = str(tmp_path / "w")
+    write = inc.upsert_windows(store)
+    read = lambda: sorted((str(r["as_of"])[:10], r["ticker"], r["n"]) for r in inc.read_newest(spark, store, inc.WINDOW_KEYS).collect())
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    write(windows(spark, [("2024-01-01", "A", 1), ("2024-01-02", "A", 1), ("2024-01-02", "B", 1)]), 0)
+    before = files()
+    late = windows(spark, [("2024-01-02", "A", 2), ("2024-01-03", "A", 2)])
+    write(late, 1)
+    want = [("2024-01-01", "A", 1), ("2024-01-02", "A", 2), ("2024-01-02", "B", 1), ("2024-01-03", "A", 2)]
+    assert read() == want and {p: t for p, t in files().items() if p in before} == before
+    write(late, 1)
+    assert read() == want and inc.deltas(spark, store) == {"2024-01-01": [0], "2024-01-02": [0, 1], "2024-01-03": [1]}
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    store = str(tmp_path / "w")
+    write = inc.delta_writer(store, inc.WINDOW_KEYS, F.to_date("as_of"), most=3)
+    for n in range(6):
+        write(windows(spark, [("2024-01-01", "A", n), ("2024-01-01", f"T{n}", n), (f"2024-02-0{n + 1}", "B", n)]), n)
+    assert inc.deltas(spark, store)["2024-01-01"] == [3, 4, 5]  # merged once, when the fourth delta came
+    rows = {(str(r["as_of"])[:10], r["ticker"]): r["n"] for r in inc.read_newest(spark, store, inc.WINDOW_KEYS).collect()}
+    assert rows == {("2024-01-01", "A"): 5} | {("2024-01-01", f"T{n}"): n for n in range(6)} | {(f"2024-02-0{n + 1}", "B"): n for n in range(6)}
+    # a compaction that stopped before it dropped the old deltas is finished later, with the same rows
+    write(windows(spark, [("2024-01-01", "A", 9)]), 4)
+    assert inc.compact(spark, store, inc.WINDOW_KEYS, most=1) == ["2024-01-01"] and inc.deltas(spark, store)["2024-01-01"] == [5]
+
+
+def test_refreshed_snapshots(spark, tmp_path):
+    from tickerloom.plans import jobs
+
+    kind = "ticker string, risk_profile string, as_of string, stance string"
+    store = str(tmp_path / "s")
+    jobs.refresh_snapshots(spark, store, 0, spark.createDataFrame([("A", "g", "1", "x"), ("A", "g", "2", "y"), ("B", "g", "1", "z")], kind))
+    rows = jobs.refresh_snapshots(spark, store, 1, spark.createDataFrame([("A", "g", "3", "w")], kind)).collect()
+    assert sorted(tuple(r) for r in rows) == [("A", "g", "3", "w"), ("B", "g", "1", "z")]

@@ -359,24 +359,6 @@ def interval_comparison(df: DataFrame, bands: dict[str, tuple[str, str]]) -> Dat
     )
 
 
-def walk_forward(frame: DataFrame, years: list[int], models=("boosted", "ridge", "mean", "median"), grid=GRID) -> list[dict]:
-    """One report per year; the loop is over a handful of folds, each a set of cluster jobs."""
-    reports = []
-    for year in years:
-        dev = frame.filter(F.col("Date") < day(f"{year + 1}-01-01"))
-        out = {"year": year}
-        for name in models:
-            m = train_model(
-                dev, f"{year - 1}-07-01", f"{year - 1}-10-01", f"{year}-01-01", model=name, grid=list(grid) if name == "boosted" else None, refit=True
-            )
-            rows = dev.filter((F.col("label_end_date") < day(f"{year + 1}-01-01")) & F.col(TARGET).isNotNull())
-            meta = m.metadata
-            row = evaluate(m.predict(m.servable(rows)), meta["training_mean"], meta["training_median"], meta["training_majority_up"]).first()
-            out[name] = row.asDict() if row else None
-        reports.append(out)
-    return reports
-
-
 def block_bootstrap(daily: DataFrame, lengths=(10, 20, 40), repeats: int = 1000, seed: int = 42) -> DataFrame:
     """Date-block bootstrap of sum/count: 2.5 and 97.5 percent quantiles per block length.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import forecast as fc
+from tickerloom.operators import walkforward as wf
 from tickerloom.operators.features import MODEL_INPUTS
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.market_queries import _SQL_INPUTS, input_frame
@@ -166,6 +167,49 @@ def ridge_forecast(spark, sf):
     return e.withColumn("model", F.lit(m.metadata["selected_model"]))
 
 
+YEARS = [1998, 1999, 2000]
+cte(
+    "fold_dates",
+    [],
+    "SELECT y AS fold, make_date(y - 1, 7, 1) AS t, make_date(y - 1, 10, 1) AS c, make_date(y, 1, 1) AS e, make_date(y + 1, 1, 1) AS n FROM (VALUES " + ", ".join(f"({y})" for y in YEARS) + ") v(y)",
+)
+cte(
+    "fold_inputs",
+    ["inputs", "fold_dates"],
+    """SELECT * FROM inputs, fold_dates WHERE target IS NOT NULL QUALIFY sum((d < t AND label_end < t)::INT) OVER (PARTITION BY fold, ticker) >= 252""",
+)
+cte(
+    "fold_scores",
+    ["fold_inputs"],
+    """
+    WITH base AS (SELECT fold, avg(target) AS mean, median(target) AS med, avg((target > 0)::INT) > 0.5 AS up FROM fold_inputs WHERE d < c AND label_end < c GROUP BY 1),
+    said AS (SELECT fold, 'mean' AS model, mean AS p, mean, med, up FROM base UNION ALL SELECT fold, 'median', med, mean, med, up FROM base),
+    cal AS (SELECT fold, model, abs(target - p) / greatest(vol20 * sqrt(10 / 252.0::DOUBLE), 0.005) AS s FROM fold_inputs JOIN said USING (fold) WHERE d >= c AND d < e AND label_end < e),
+    q AS (SELECT fold, model, (list(s ORDER BY s))[CAST(ceil((count(*) + 1) * 0.9::DOUBLE) AS BIGINT)] AS sq FROM cal GROUP BY 1, 2)
+    SELECT fold, model, target AS y, p, p - sq * sc AS lo, p + sq * sc AS hi, mean, med, up FROM (SELECT *, greatest(vol20 * sqrt(10 / 252.0::DOUBLE), 0.005) AS sc FROM fold_inputs WHERE d >= e AND d < n AND label_end < n)
+      JOIN said USING (fold) JOIN q USING (fold, model)""",
+)
+_FOLD_NAMES = ["MAE_pp", "RMSE_pp", "R2", "direction_accuracy_pct", "balanced_accuracy_pct", "always_up_accuracy_pct", "training_majority_accuracy_pct", "interval_coverage", "mean_interval_width_pp", "mean_baseline_MAE_pp", "median_baseline_MAE_pp"]
+
+
+@query(
+    "walk_forward",
+    with_ctes("fold_scores")
+    + f"""SELECT fold, model, {_EVAL}, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS "R2", round(avg((y > 0)::INT) * 100, 6) AS always_up_accuracy_pct, round(avg(((y > 0) = up)::INT) * 100, 6) AS training_majority_accuracy_pct,
+          round(avg(abs(y - med)) * 100, 6) AS "median_baseline_MAE_pp" FROM fold_scores GROUP BY 1, 2""",
+)
+def walk_forward(spark, sf):
+    """Mean and median baselines by evaluation year, refitted and calibrated in each fold."""
+    e = wf.walk_forward(input_frame(spark, sf), YEARS, ("mean", "median"))
+    return e.select("fold", "model", "rows", *[r(n) for n in _FOLD_NAMES], r("interval_score_pp", 5))
+
+
+@query("walk_forward_ridge")
+def walk_forward_ridge(spark, sf):
+    """Ridge by evaluation year from one set of normal equations; tested against the closed form of each fold."""
+    return wf.walk_forward(input_frame(spark, sf), YEARS, ("ridge",))
+
+
 @query("boosted_forecast")
 def boosted_forecast(spark, sf):
     """Boosted trees selected over the whole grid on inner error, calibrated, evaluated."""

@@ -100,13 +100,9 @@ def retrain(
     return result_package(spark, path, m, frame, as_of, report)
 
 
-def refresh_snapshots(spark: SparkSession, store: str, version: int, snapshots: DataFrame) -> DataFrame:
-    """Nightly refresh: merge new serving rows into the newest stored version and write the next one."""
-    from tickerloom.operators.storage import upsert
-
-    rows = snapshots.dropDuplicates(["ticker", "risk_profile"])
-    if version > 0:
-        before = spark.read.parquet(f"{store}/version={version - 1}")
-        rows = upsert(before, rows.select(*before.columns), ["ticker", "risk_profile"]).drop("change")
-    rows.write.mode("error").parquet(f"{store}/version={version}")
-    return spark.read.parquet(f"{store}/version={version}")
+def refresh_snapshots(spark: SparkSession, store: str, run: int, snapshots: DataFrame) -> DataFrame:
+    """Nightly refresh: new serving rows as the delta of run number ``run``; returns the newest row of each (ticker, risk_profile)."""
+    from tickerloom.streaming.increments import SNAPSHOT_KEYS, read_newest, upsert_snapshots
+
+    upsert_snapshots(store)(snapshots, run)
+    return read_newest(spark, store, SNAPSHOT_KEYS).drop("part", "batch")
