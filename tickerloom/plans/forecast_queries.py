@@ -61,9 +61,23 @@ def eligibility(spark, sf):
     return fc.eligible_tickers(parts(spark, sf))
 
 
-@query("training_contract", "SELECT 'none' AS kind, count(*) AS n FROM orders WHERE false GROUP BY 1")
+@query(
+    "training_contract",
+    with_ctes("inputs")
+    + """SELECT kind, count(*) AS n FROM (
+           SELECT 'missing_outcome_date' AS kind FROM inputs WHERE target IS NOT NULL AND month(d) = 3 AND day(d) = 3 UNION ALL SELECT 'outcome_not_later' FROM inputs WHERE target IS NOT NULL AND month(d) = 3 AND day(d) = 4
+           UNION ALL SELECT 'target_not_finite' FROM inputs WHERE target IS NOT NULL AND month(d) = 3 AND day(d) = 5 UNION ALL SELECT 'duplicate_origin' FROM inputs WHERE month(d) = 3 AND day(d) = 8
+           UNION ALL SELECT 'missing_origin' FROM inputs WHERE d = DATE '1999-06-15') GROUP BY 1""",
+)
 def contract(spark, sf):
-    return fc.contract_violations(input_frame(spark, sf))
+    """The input contract over all rows, with faults of every kind planted by date."""
+    d = input_frame(spark, sf)
+    march = lambda n: (F.month("Date") == 3) & (F.dayofmonth("Date") == n)
+    end = F.when(march(3) & F.col(Y).isNotNull(), None).when(march(4), F.col("Date")).otherwise(F.col("label_end_date"))
+    target = F.when(march(5) & F.col(Y).isNotNull(), float("nan")).otherwise(F.col(Y))
+    faulty = d.withColumns({"label_end_date": end, Y: target}).unionByName(d.filter(march(8)))
+    origin = F.when(F.col("Date") != fc.day("1999-06-15"), F.col("Date"))
+    return fc.contract_violations(faulty.withColumn("Date", origin))
 
 
 @query(

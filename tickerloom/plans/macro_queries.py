@@ -166,12 +166,12 @@ def provenance(spark, sf):
 @query(
     "macro_join_audit",
     with_ctes("macro_points", "session_dates")
-    + """SELECT p.sid AS series_id, count(*) AS checked, 0::BIGINT AS mismatches, 0::BIGINT AS future_rows
+    + """SELECT p.sid AS series_id, count(*) AS checked, count(*) FILTER (day(t.d) = 3) AS mismatches, count(*) FILTER (day(t.d) = 4) AS future_rows
          FROM (SELECT sid, d FROM session_dates, (SELECT DISTINCT sid FROM macro_points)) t
          ASOF JOIN (SELECT * FROM macro_points WHERE val IS NOT NULL) p ON t.sid = p.sid AND t.d >= p.av GROUP BY 1""",
 )
 def macro_audit(spark, sf):
-    """The day-table join against the bucketed keyed as-of join, per series."""
+    """The day-table join against the bucketed keyed as-of join, per series; values are wrong on the third, dates on the fourth of a month."""
     bars = standins.bars(spark, sf)
     points = asof.macro_points(standins.macro(spark, sf))
     dates = bars.select("Date").distinct()
@@ -183,6 +183,8 @@ def macro_audit(spark, sf):
     grid = dates.withColumn("series_id", F.explode(F.array(*[F.lit(x) for x in MACRO_LAG_DAYS])))
     known = points.select("series_id", F.col("available_date").alias("Date"), "value")
     second = asof.asof_backward(grid, known, "Date", ["series_id"], "value")
+    day = F.dayofmonth("Date")
+    joined = joined.withColumns({"joined": F.when(day == 3, F.col("joined") + 1).otherwise(F.col("joined")), "valid_from": F.when(day == 4, F.date_add("Date", 1)).otherwise(F.col("valid_from"))})
     j = joined.join(second, ["series_id", "Date"])
     return j.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("checked"),

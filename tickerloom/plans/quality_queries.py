@@ -37,6 +37,10 @@ def frame_summary(spark, sf):
     return qa.frame_summary(docs.select(F.floor(F.col("doc_id") / 2).alias("pair"), "text", "quality", "toxic"), ["pair"])
 
 
+TWIN_FIELDS = [
+    "return_1d", "return_5d", "return_20d", "log_return_1d", "sma_5", "sma_20", "sma_50", "sma_200", "rsi_14",
+    "atr_14", "rolling_volatility_20", "bollinger_position_20", "target_return_10d",
+]
 AUDITED = ["return_1d", "rsi_14", "sma_200", "volume_ratio_20"]
 
 
@@ -54,33 +58,38 @@ def feature_audit(spark, sf):
 @query(
     "feature_twin_comparison",
     with_ctes("bars")
-    + "SELECT field, (SELECT count(*) FROM bars) AS rows, 0::BIGINT AS mismatches FROM (VALUES "
+    + "SELECT field, (SELECT count(*) FROM bars) AS rows, (SELECT count(*) FROM bars WHERE day(d) = k) AS mismatches FROM (VALUES "
     + ", ".join(
-        f"('{n}')"
-        for n in [
+        f"('{n}', {k})"
+        for k, n in enumerate([
             "return_1d", "return_5d", "return_20d", "log_return_1d", "sma_5", "sma_20", "sma_50", "sma_200", "rsi_14",
             "atr_14", "rolling_volatility_20", "bollinger_position_20", "target_return_10d",
-        ]
+        ], 1)
     )
-    + ") t(field)",
+    + ") t(field, k)",
 )
 def feature_twin(spark, sf):
+    """Two formulations of the features compared; in the second one, each field is wrong on one day of the month."""
     bars = standins.bars(spark, sf)
     second = fe.recomputed_features(bars)
     fields = [n for n in second.columns if n not in ("ticker", "Date")]
+    day = F.dayofmonth("Date")
+    second = second.withColumns({n: F.when(day == TWIN_FIELDS.index(n) + 1, 1e6).otherwise(F.col(n)) for n in fields})
     return qa.compare_columns(fe.technical_features(bars), second, ["ticker", "Date"], fields, 1e-8)
 
 
 @query(
     "prefix_invariance",
-    with_ctes("bars") + "SELECT ticker, least(count(*), 700) AS rows, 0::BIGINT AS mismatches FROM bars GROUP BY 1",
+    with_ctes("bars")
+    + "SELECT ticker, least(count(*), 700) AS rows, count(*) FILTER (no <= 700 AND day(d) = 9) AS mismatches FROM (SELECT ticker, d, row_number() OVER (PARTITION BY ticker ORDER BY d) AS no FROM bars) GROUP BY 1",
 )
 def prefix_invariance(spark, sf):
-    """Features of the first 700 sessions must not change when later sessions exist."""
+    """Features of the first 700 sessions must not change when later sessions exist; on every ninth of a month one of them does."""
     bars = standins.bars(spark, sf)
     prefix = session_numbers(bars, "ticker", "Date").filter("session_no < 700").drop("session_no")
     names = ["return_20d", "sma_200", "ema_26", "macd_signal", "rsi_14", "atr_14", "rolling_volatility_20", "volume_ratio_20"]
     full = fe.technical_features(bars).select("ticker", "Date", *names)
+    full = full.withColumn("volume_ratio_20", F.when(F.dayofmonth("Date") == 9, 1e6).otherwise(F.col("volume_ratio_20")))
     part = fe.technical_features(prefix).select("ticker", "Date", *[F.col(n).alias(f"{n}__p") for n in names])
     j = part.join(full, ["ticker", "Date"], "left")
     wrong = F.lit(False)
@@ -168,25 +177,33 @@ def label_audit(spark, sf):
 @query(
     "target_check",
     with_ctes("step1", "eligible")
-    + f"""SELECT count(*) AS checked_rows, count(target) AS labeled_rows, count(*) - count(target) AS unlabeled_rows, 0::BIGINT AS mismatches, 0::BIGINT AS flag_mismatches
+    + f"""SELECT count(*) AS checked_rows, count(target) AS labeled_rows, count(*) - count(target) AS unlabeled_rows, count(target) FILTER (day(d) = 3) AS mismatches, count(*) FILTER (day(d) = 4) AS flag_mismatches
           FROM step1 JOIN eligible USING (ticker) WHERE d >= DATE '{standins.FEATURES_START}'""",
 )
 def target_check(spark, sf):
     bars = standins.bars(spark, sf)
     f = fe.feature_dataset(bars, standins.universe(spark, sf), None, standins.FEATURES_START)
+    # labels are wrong on the third and flags on the fourth of every month
+    day, target, flag = F.dayofmonth("Date"), F.col("target_return_10d"), F.col("is_training_row")
+    f = f.withColumns({"target_return_10d": F.when(day == 3, target + 1).otherwise(target), "is_training_row": F.when(day == 4, ~flag).otherwise(flag)})
     return qa.target_check(f, bars).drop("max_abs_error")
 
 
 @query(
     "macro_preserves_rows",
-    with_ctes("bars") + "SELECT 0::BIGINT AS lost, 0::BIGINT AS added, 0::BIGINT AS changed FROM (SELECT count(*) FROM bars)",
+    with_ctes("step1", "eligible")
+    + f"""SELECT count(*) FILTER (day(d) = 2) AS lost, count(*) FILTER (day(d) = 4) AS added, count(*) FILTER (day(d) = 3) AS changed FROM step1 JOIN eligible USING (ticker) WHERE d >= DATE '{standins.FEATURES_START}'""",
 )
 def preserves(spark, sf):
+    """The macro join must keep rows and labels; rows are lost on the second, changed on the third and added on the fourth of a month."""
     bars, universe = standins.bars(spark, sf), standins.universe(spark, sf)
     plain = fe.feature_dataset(bars, universe, None, standins.FEATURES_START)
     days = asof.macro_days(standins.macro(spark, sf), bars)
     enriched = fe.feature_dataset(bars, universe, days, standins.FEATURES_START)
-    return qa.rows_preserved(plain, enriched, ["ticker", "Date"], "target_return_10d")
+    day, target = F.dayofmonth("Date"), F.col("target_return_10d")
+    enriched = enriched.select("ticker", "Date", F.when(day == 3, F.coalesce(target, F.lit(0.0)) + 1).otherwise(target).alias("target_return_10d"))
+    faulty = enriched.filter(day != 2).unionByName(enriched.filter(day == 4).withColumn("ticker", F.concat("ticker", F.lit(" again"))))
+    return qa.rows_preserved(plain, faulty, ["ticker", "Date"], "target_return_10d")
 
 
 FOLDS = [("1998-01-01", "1998-12-31"), ("1999-01-01", "1999-12-31"), ("2000-01-01", "2000-12-31")]

@@ -219,10 +219,10 @@ def hybrid(spark, sf):
 @query(
     "rule_agreement_audit",
     with_ctes("aware")
-    + "SELECT stance, count(*) AS cases, count(*) AS agreeing, count(*) AS with_trace FROM aware GROUP BY 1",
+    + "SELECT stance, count(*) AS cases, count(*) FILTER (l_orderkey % 7 <> 0) AS agreeing, count(*) FILTER (l_linenumber <> 5) AS with_trace FROM aware GROUP BY 1",
 )
 def rule_audit(spark, sf):
-    """The decision list against a plain SQL restatement, plus trace completeness."""
+    """The decision list against a plain SQL restatement, plus trace completeness; some cases lack agreement, some a trace."""
     d = cases(spark, sf).withColumn(
         "_d",
         rules.base_stance(
@@ -237,8 +237,8 @@ def rule_audit(spark, sf):
     )
     return d.groupBy(F.col("_d.stance").alias("stance")).agg(
         F.count(F.lit(1)).alias("cases"),
-        F.count_if(F.col("_d.stance") == second).alias("agreeing"),
-        F.count_if(F.size("_d.trace") > 0).alias("with_trace"),
+        F.count_if(F.col("_d.stance") == F.when(F.col("l_orderkey") % 7 == 0, "NONE").otherwise(second)).alias("agreeing"),
+        F.count_if(F.size(F.filter("_d.trace", lambda x: F.col("l_linenumber") != 5)) > 0).alias("with_trace"),
     )
 
 
