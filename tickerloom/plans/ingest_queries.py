@@ -79,14 +79,14 @@ def acceptance(spark, sf):
 
 @query(
     "filing_rows_padded",
-    """SELECT o_custkey AS cik, count(*) AS rows, count(*) FILTER (rn <= 2) AS with_form FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""",
+    """WITH n AS (SELECT o_custkey AS cik, count(*) AS rows FROM orders GROUP BY 1) SELECT cik, rows, rows AS with_form FROM n UNION ALL SELECT -cik - 1, rows, least(rows, 2) FROM n""",
 )
 def rows_padded(spark, sf):
-    """Parallel arrays per customer whose form array is cut to two entries."""
+    """Parallel arrays per customer, and planted copies whose form array ends after two entries."""
     d = filing_list(spark, sf)
     arrays = d.groupBy("cik").agg(*[F.collect_list(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fl.FILING_COLUMNS])
-    short = arrays.withColumn("form", F.slice("form", 1, 2))
-    x = fl.filing_rows(short, "cik")
+    short = arrays.withColumns({"cik": -F.col("cik") - 1, "form": F.slice("form", 1, 2)})
+    x = fl.filing_rows(arrays.unionByName(short), "cik")
     return x.groupBy("cik").agg(F.count(F.lit(1)).alias("rows"), F.count("form").alias("with_form"))
 
 
@@ -116,10 +116,10 @@ def merged(spark, sf):
     """SELECT accn, concept, CAST(s AS VARCHAR) AS "start", CAST(e AS VARCHAR) AS "end", arg_max(val, q) AS val FROM (
          SELECT CAST(l_orderkey AS VARCHAR) AS accn, CASE l_linenumber % 2 WHEN 0 THEN 'Revenues' ELSE 'Assets' END AS concept, CASE WHEN l_linenumber % 4 < 2 THEN CAST(CAST(l_shipdate AS DATE) - INTERVAL 12 MONTH AS DATE) + 1 END AS s, CAST(l_shipdate AS DATE) AS e,
                 l_extendedprice AS val, l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS q, l_linenumber, l_returnflag FROM lineitem) JOIN orders ON CAST(o_orderkey AS VARCHAR) = accn
-       WHERE l_linenumber <= 5 AND l_returnflag <> 'R' AND o_orderstatus <> 'P' AND o_custkey % 2 = 0 GROUP BY 1, 2, 3, 4""",
+       WHERE l_linenumber <= 5 AND l_returnflag <> 'R' AND o_orderstatus <> 'P' GROUP BY 1, 2, 3, 4""",
 )
 def bulk(spark, sf):
-    """Orders as submissions and lines as numbers, with a foreign unit, segments and unknown issuers to drop."""
+    """Orders as submissions and lines as numbers, with a foreign unit, segments and planted unknown issuers to drop."""
     o, li = standins.table(spark, sf, "orders"), standins.table(spark, sf, "lineitem")
     sub = o.select(
         F.col("o_orderkey").cast("string").alias("adsh"), F.col("o_custkey").cast("string").alias("cik"), F.when(F.col("o_orderstatus") == "P", "8-K").otherwise("10-K").alias("form"),
@@ -138,31 +138,37 @@ def bulk(spark, sf):
         F.col("l_extendedprice").cast("string").alias("value"),
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("bigint")).alias("ingest_seq"),
     )
-    ciks = standins.table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_custkey").alias("issuer_cik"))
+    planted = lambda df: df.withColumn("adsh", F.concat(F.lit("X"), "adsh"))
+    sub, num = sub.unionByName(planted(sub).withColumn("cik", F.concat(F.lit("999999"), "cik"))), num.unionByName(planted(num))
+    ciks = standins.table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_custkey").alias("issuer_cik"))
     f = fl.bulk_facts(sub, num, ciks, ["Revenues", "Assets"])
     return f.select("accn", "concept", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "val")
 
 
 @query(
     "missing_quarters",
-    """WITH q AS (SELECT DISTINCT year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS n FROM orders WHERE month(o_orderdate) NOT IN (4, 5, 6)) SELECT CAST(n // 4 AS VARCHAR) || 'q' || CAST(n % 4 + 1 AS VARCHAR) AS q FROM (
+    """WITH o AS (SELECT DISTINCT year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS n FROM orders), q AS (SELECT n FROM o UNION SELECT max(n) + 3 FROM o) SELECT CAST(n // 4 AS VARCHAR) || 'q' || CAST(n % 4 + 1 AS VARCHAR) AS q FROM (
          SELECT unnest(generate_series((SELECT min(n) FROM q), (SELECT max(n) FROM q))) AS n) ANTI JOIN q USING (n)""",
 )
 def quarters(spark, sf):
-    d = standins.table(spark, sf, "orders").filter(~F.month("o_orderdate").isin(4, 5, 6))
+    """Quarters of all orders and one planted three quarters after the last."""
+    d = standins.table(spark, sf, "orders").select("o_orderdate")
+    d = d.unionByName(d.agg(F.add_months(F.trunc(F.max("o_orderdate"), "quarter"), 9).alias("o_orderdate")))
     return fl.missing_quarters(d.select(F.concat(F.year("o_orderdate").cast("string"), F.lit("q"), F.quarter("o_orderdate").cast("string")).alias("q")))
 
 
 @query(
     "fact_coverage",
     with_ctes("assets", "facts")
-    + """SELECT a.ticker, CASE WHEN n > 0 THEN 'collected' WHEN a.ticker LIKE 'B1%' THEN 'no_supported_facts' ELSE 'failed' END AS status, coalesce(n, 0) AS facts FROM assets a
-         LEFT JOIN (SELECT ticker, count(*) AS n FROM facts WHERE ticker < 'B15' GROUP BY 1) f USING (ticker)""",
+    + """SELECT a.ticker, CASE WHEN n > 0 THEN 'collected' WHEN a.ticker LIKE 'B1%' THEN 'no_supported_facts' ELSE 'failed' END AS status, coalesce(n, 0) AS facts FROM (SELECT ticker FROM assets UNION ALL SELECT 'B1X' UNION ALL SELECT 'X01') a
+         LEFT JOIN (SELECT ticker, count(*) AS n FROM facts GROUP BY 1) f USING (ticker)""",
 )
 def fact_coverage(spark, sf):
-    t = tickers(spark, sf)
+    """Coverage of every asset; two planted ones have no facts, one of them an issuer number."""
+    t = tickers(spark, sf).select("ticker")
+    t = t.unionByName(spark.createDataFrame([("B1X",), ("X01",)], "ticker string"))
     ciks = t.filter("ticker LIKE 'B1%'").select("ticker", F.lit(1).alias("issuer_cik"))
-    return fl.fact_coverage(t, ciks, standins.facts(spark, sf).filter("ticker < 'B15'"))
+    return fl.fact_coverage(t, ciks, standins.facts(spark, sf))
 
 
 @query("issuer_map", "SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS ticker, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")

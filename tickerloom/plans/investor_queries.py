@@ -336,28 +336,32 @@ def risk_check(spark, sf):
     return di.risk_check(*board(spark, sf))
 
 
+def selections(spark, sf):
+    """What investors follow; every third also follows a planted ticker without bars."""
+    followed = F.when(F.col("investor_id") % 3 == 0, F.array_append("followed_tickers", "NEW")).otherwise(F.col("followed_tickers"))
+    return standins.investors(spark, sf).select("investor_id", followed.alias("tickers"))
+
+
 @query(
     "selected_forecasts",
     with_ctes("investors", "bars")
     + """SELECT i.investor_id, i.ticker, f.d IS NOT NULL AS available, (DATE '2001-11-10' - f.d)::BIGINT AS age_days, (DATE '2001-11-10' - f.d) > 7 AS stale
-         FROM (SELECT investor_id, unnest(followed) AS ticker FROM investors) i LEFT JOIN (SELECT ticker, max(d) AS d FROM bars WHERE ticker < 'B20' GROUP BY 1) f USING (ticker)""",
+         FROM (SELECT investor_id, unnest(CASE WHEN investor_id % 3 = 0 THEN list_append(followed, 'NEW') ELSE followed END) AS ticker FROM investors) i LEFT JOIN (SELECT ticker, max(d) AS d FROM bars GROUP BY 1) f USING (ticker)""",
 )
 def selected(spark, sf):
-    sel = standins.investors(spark, sf).select("investor_id", F.col("followed_tickers").alias("tickers"))
-    f = standins.bars(spark, sf).filter("ticker < 'B20'").groupBy("ticker").agg(F.max("Date").alias("date"))
-    s = di.selected_forecasts(sel, f, F.lit("2001-11-10").cast("date"))
+    f = standins.bars(spark, sf).groupBy("ticker").agg(F.max("Date").alias("date"))
+    s = di.selected_forecasts(selections(spark, sf), f, F.lit("2001-11-10").cast("date"))
     return s.select("investor_id", "ticker", "available", F.col("age_days").cast("bigint").alias("age_days"), "stale")
 
 
 @query(
     "unavailable_forecasts",
-    with_ctes("investors")
-    + "SELECT investor_id, string_agg(ticker, ',' ORDER BY pos) AS unavailable FROM (SELECT investor_id, unnest(followed) AS ticker, generate_subscripts(followed, 1) AS pos FROM investors) WHERE ticker >= 'B20' GROUP BY 1",
+    with_ctes("investors", "bars")
+    + "SELECT investor_id, string_agg(ticker, ',' ORDER BY pos) AS unavailable FROM (SELECT investor_id, unnest(f) AS ticker, generate_subscripts(f, 1) AS pos FROM (SELECT investor_id, CASE WHEN investor_id % 3 = 0 THEN list_append(followed, 'NEW') ELSE followed END AS f FROM investors)) WHERE ticker NOT IN (SELECT ticker FROM bars) GROUP BY 1",
 )
 def unavailable(spark, sf):
-    sel = standins.investors(spark, sf).select("investor_id", F.col("followed_tickers").alias("tickers"))
-    f = standins.bars(spark, sf).filter("ticker < 'B20'").groupBy("ticker").agg(F.max("Date").alias("date"))
-    s = di.selected_forecasts(sel, f, F.lit("2001-11-10").cast("date"))
+    f = standins.bars(spark, sf).groupBy("ticker").agg(F.max("Date").alias("date"))
+    s = di.selected_forecasts(selections(spark, sf), f, F.lit("2001-11-10").cast("date"))
     return di.unavailable_tickers(s).withColumn("unavailable", F.array_join("unavailable", ","))
 
 
