@@ -355,18 +355,18 @@ def _ranges(length: int):
 def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, text_md5) of every row; ``kept`` joins the remaining bytes.
 
-    ``text_md5`` is that of the input text, so that rows of one id find their own result.  With ``as_text``
-    ``kept`` is a string, without the bytes of characters that a cut left incomplete.
+    With ``as_text`` ``kept`` is a string, without the bytes of characters that a cut left incomplete, and ``text_md5``
+    is that of the input text, so that rows of one id find their own result; else it is null.
     """
     chunks = X.chunked(docs, doc_id, text)
     count = X.buckets(docs.sparkSession)
 
     def finish(chunk: X.Chunk, answers: list[bytes]) -> pa.RecordBatch:
         size = chunk.buf.size
-        edge = np.zeros(size + 1, np.int64)
-        for p in answers:
-            starts, stops = X.unpacked(p, len(p) // 8, "<i4,<i4")
-            edge += np.bincount(starts, minlength=size + 1) - np.bincount(stops, minlength=size + 1)
+        # all answers of a chunk are added up at once: one pass over its bytes, not one for each bucket that answered
+        spans = [X.unpacked(p, len(p) // 8, "<i4,<i4") for p in answers]
+        starts, stops = (np.concatenate([x[i] for x in spans]) if spans else np.zeros(0, np.int32) for i in (0, 1))
+        edge = np.bincount(starts, minlength=size + 1) - np.bincount(stops, minlength=size + 1)
         gone = np.cumsum(edge)[:size] > 0
         before = np.concatenate(([0], np.cumsum(gone)))
         n_bytes, n_removed = np.diff(chunk.off), np.diff(before[chunk.off])
@@ -379,8 +379,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
         cut = (chunk.off - before[chunk.off]).tolist()
         left = [kept[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         shown = pa.array([b.decode("utf-8", "ignore") for b in left], pa.string()) if as_text else pa.array(left, pa.binary())
-        whole, edges = chunk.buf.tobytes(), chunk.off.tolist()
-        md5 = [hashlib.md5(whole[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        whole, edges = chunk.buf.tobytes() if as_text else b"", chunk.off.tolist()
+        md5 = [hashlib.md5(whole[a:b]).hexdigest() if as_text else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays(
             [X.ids_out(chunk.ids), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], shown, pa.array(md5, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_md5"],
