@@ -227,11 +227,13 @@ HEAD = 32  # rows of each sorted list that the first round reads
 WIDER = 8  # each further round reads so many times more
 
 
-def _heads(rows: DataFrame, keys: list[str], value: str, depth: int) -> DataFrame:
-    """The best ``depth`` rows of each list with ``place`` from 1, and the one after them, which bounds all others.
+def _heads(rows: DataFrame, keys: list[str], value: str, depth: int | None) -> DataFrame:
+    """The best ``depth`` rows of each list (None: all) with ``place`` from 1, and the one after them, which bounds all others.
 
     The rank is cut before the shuffle as well, so a list that holds every asset sends one head a task.
     """
+    if depth is None:
+        return rows.withColumn("place", F.lit(1))
     w = Window.partitionBy(*keys).orderBy(F.desc(value), "ticker")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= depth + 1)
 
@@ -281,11 +283,11 @@ def _scored(c: DataFrame, asked: DataFrame, follows: DataFrame, sims: DataFrame,
     return c.select("signature", "ticker", "name", "asset_type", "category", "sector", "volatility", F.bround(total, 4).alias("score"), reasons.alias("reasons"))
 
 
-def _round(s: DataFrame, parts: dict[str, DataFrame], limit: int, depth: int) -> DataFrame:
+def _round(s: DataFrame, parts: dict[str, DataFrame], limit: int, depth: int | None) -> DataFrame:
     """The best ``limit`` of each signature among the heads of its lists, with ``open``: whether an asset outside them could still matter.
 
     An asset that is in no head has at most the next value of an interest's list (interest and risk together) or what no
-    interest and the best risk give, plus the next value of a followed asset's list or what lies below its floor.
+    interest and the best risk give, plus the next value of a followed asset's list or what lies below its floor.  Whole lists (no ``depth``) leave nothing open.
     """
     asked, follows, detail = (parts[n] for n in ("asked", "follows", "detail"))
     level = s.select("signature", "risk_level", "asset_types", "followed_tickers")
@@ -300,11 +302,13 @@ def _round(s: DataFrame, parts: dict[str, DataFrame], limit: int, depth: int) ->
     met = wanted.join(by_interest, ["interest", "risk_level"]).select("signature", "asset_type", "ticker", "part", "place", F.lit(0).alias("list"))
     met = met.unionByName(follows.join(by_follow, "followed").select("signature", "asset_type", "ticker", "part", "place", F.lit(1).alias("list")))
     met = met.join(level, "signature").filter(type_allowed(F.col("asset_types"), F.col("asset_type")))
-    inside = F.col("place") <= depth
+    inside = F.lit(True) if depth is None else F.col("place") <= depth
     c = met.filter(inside & ~F.array_contains("followed_tickers", F.col("ticker"))).select("signature", "ticker", "risk_level").distinct().join(detail, "ticker")
     scored = _scored(c, asked, follows, parts["sims"], parts["attrs"])
     w = Window.partitionBy("signature").orderBy(F.desc("score"), "ticker")
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    if depth is None:
+        return best
     after = met.filter(~inside).groupBy("signature").agg(*[F.max(F.when(F.col("list") == i, F.col("part"))).alias(f"next_{i}") for i in (0, 1)])
     followers = follows.select("signature").distinct().withColumn("follows", F.lit(True))
     bound = after.join(followers, "signature", "left").select(
@@ -337,10 +341,17 @@ def recommend(investors: DataFrame, assets: DataFrame, limit: int = 10, head: in
     }
     left, done, depth = s, [], head
     known = assets.select(F.col("ticker").alias("followed"))
-    parts["near"] = cut_lineage(neighbours(parts["attrs"], s.select(F.explode("followed_tickers").alias("ticker"))))
+    parts["near"] = neighbours(parts["attrs"], s.select(F.explode("followed_tickers").alias("ticker")))
+    # no list is longer than the catalogue: from there on heads are whole lists and no bound is needed
+    longest = parts["attrs"].count()
+    if longest > depth:
+        parts["near"] = cut_lineage(parts["near"])
     while True:
         parts["asked"] = left.select("signature", F.explode("interests").alias("interest"))
         parts["follows"] = left.select("signature", F.posexplode("followed_tickers").alias("pos", "followed")).join(known, "followed", "left_semi")
+        if longest <= depth:
+            done.append(_round(left, parts, limit, None))
+            break
         made = cut_lineage(_round(left, parts, limit, depth))
         done.append(made.filter("not open").drop("open"))
         unsure = made.filter("open").select("signature").distinct()
