@@ -27,6 +27,7 @@ from tickerloom.llm import arrays as A
 
 CHUNK_BYTES = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
+CHUNK_TABLE = "tickerloom_chunks_"
 CHUNK_SCHEMA = "chunk long, ids binary, sizes binary, data binary"
 MESSAGE_SCHEMA = "bucket int, chunk long, n int, payload binary"
 ANSWER_SCHEMA = "chunk long, payload binary"
@@ -45,9 +46,42 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _note(path: str) -> None:
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getName().startswith(CHUNK_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {at.getName()}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame | tuple[DataFrame, ...]]):
+    """Stores the table or tables that ``make()`` gives, then deletes what was stored on the way: nothing reads it any more."""
+    _SCOPES.append([])
+    try:
+        made = make()
+        inner = _SCOPES[-1]
+        _SCOPES[-1] = []
+        out = tuple(stored(m) for m in made) if isinstance(made, tuple) else stored(made)
+    finally:
+        kept = _SCOPES.pop()
+    for path in kept:
+        _note(path)
+    _delete(spark, inner)
+    return out
+
+
 def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -93,9 +127,10 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    name = f"tickerloom_chunks_{uuid.uuid4().hex}"
+    name = f"{CHUNK_TABLE}{uuid.uuid4().hex}"
     rows = source.mapInArrow(_chunk_rows, CHUNK_SCHEMA)
     rows.write.bucketBy(buckets(spark), "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    _note(f"{shared_folder(spark)}/{name}")
     return spark.table(name)
 
 
@@ -136,12 +171,12 @@ def posted(chunk: int, hashes: np.ndarray, columns: list[np.ndarray], count: int
     )
 
 
-def post(chunks: DataFrame, make: Callable[[Chunk], pa.RecordBatch]) -> DataFrame:
-    """Messages of every chunk."""
+def post(chunks: DataFrame, make: Callable[..., pa.RecordBatch], read: Callable = Chunk) -> DataFrame:
+    """Messages of every chunk; ``read`` makes of a row what ``make`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            yield make(Chunk(row))
+            yield make(read(row))
 
     return chunks.mapInArrow(run, MESSAGE_SCHEMA)
 
@@ -157,12 +192,12 @@ def ask(messages: DataFrame, answer: Callable[[np.ndarray, np.ndarray, list[byte
     return messages.groupBy("bucket").applyInArrow(run, schema)
 
 
-def reply(chunks: DataFrame, answers: DataFrame, make: Callable[[Chunk, list[bytes]], pa.Table | pa.RecordBatch], schema: str) -> DataFrame:
+def reply(chunks: DataFrame, answers: DataFrame, make: Callable[..., pa.Table | pa.RecordBatch], schema: str, read: Callable = Chunk) -> DataFrame:
     """What ``make(chunk, its answers)`` gives for every chunk, answered or not."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         payloads = right.column("payload").to_pylist()
-        made = [make(Chunk(row), payloads) for row in left.to_pylist()]
+        made = [make(read(row), payloads) for row in left.to_pylist()]
         return pa.Table.from_batches([b for m in made for b in (m.to_batches() if isinstance(m, pa.Table) else [m])]) if made else _empty(schema)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -6,15 +6,19 @@ whole sequence is the one shingle).  Two documents link when 100 * |intersection
 1. Filter.  Tokens whose hash lies in the lowest ``SAMPLED`` share of the hash range are counted over all
    documents in one exchange of distinct keys.  A linked document misses at most slack = n - ceil(0.8 n)
    of its tokens in its partner, so one that holds s sampled tokens sees at least s - slack of them in
-   another set; every other document is settled without a link.  Most of a corpus ends here.
-2. Order.  Tokens are ordered by (sampled first, document frequency, hash): rare ones first.
-3. Prefixes.  Rare tokens are a class that is indexed singly; frequent ones (more than ``FREQUENT`` sets) fall
-   into M classes by hash whose 2-combinations are indexed.  The prefix is extended until
+   another set; every other document is settled without a link.  Most of a corpus ends here.  The sets that
+   are left, each distinct one once, count all their tokens among themselves in a second exchange; a set that
+   sees fewer than n - slack of them in another set is settled too, such as one that shares a long passage only.
+2. Order.  Tokens are ordered by (number of left sets that hold them, hash): rare ones first.
+3. Prefixes.  Tokens that no other set holds use up slack and are not indexed.  Rare tokens are a class that is
+   indexed singly; those of more than ``FREQUENT`` sets fall into M classes by hash whose 2-combinations are
+   indexed, those of more than ``HOT`` sets into M classes whose 3-combinations are.  The prefix is extended until
    sum over classes max(0, tokens - k + 1) reaches slack + 1: then any partner shares k tokens of some
    class with it, inside both prefixes.  M grows with the set size in levels; sets near a border index both
    levels, so any two sets that can link meet in one.  Sets under ``LEVEL_0`` tokens index single tokens.
 4. Candidates and verification.  Sets that are equal are one node.  Nodes that share a signature are compared
-   by exact intersection.  Only components are asked for, so a pair is compared only while its nodes lie in
+   by exact intersection, unless their sizes and the numbers of tokens they see elsewhere rule a link out.  Only
+   components are asked for, so a pair is compared only while its nodes lie in
    different components.  Each signature's nodes stand in order of company (how many nodes they meet in
    all); the first is the pivot all others are held against, each node with its most shared pivot first.
    Signatures whose nodes still span components go on with their next 8, 64, 512 ... nodes as pivots until every
@@ -31,6 +35,7 @@ largest and comes back as null.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +50,12 @@ WIDTH = 5
 SHARE = 80
 SAMPLED = 5 / 16
 FREQUENT = 32
-LEVEL_0 = 32
+HOT = 1024
+LEVEL_0 = 8
 
-NODE_SCHEMA = "f1 long, f2 long, n int, doc_id long, tokens binary, signatures array<long>"
+SET_SCHEMA = "f1 long, f2 long, n int, doc_id long, tokens binary"
+PACK_SCHEMA = "chunk long, f1 binary, f2 binary, n binary, doc_id binary, tokens binary"
+NODE_SCHEMA = "node long, f1 long, f2 long, n int, seen int, doc_id long, tokens binary, signatures array<long>"
 
 
 class Sets:
@@ -92,7 +100,7 @@ def slack_of(n, share: int = SHARE):
 def levels(n: int) -> list[int]:
     """Numbers of frequent classes (0: single tokens) under which a set of n tokens is indexed."""
     out = [0] if n < LEVEL_0 * 5 // 4 else []
-    m = 4
+    m = 1
     while 8 * m <= n:
         if n < 8 * m * 5:
             out.append(m)
@@ -101,59 +109,109 @@ def levels(n: int) -> list[int]:
 
 
 def signatures(token: np.ndarray, count: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Signatures of one set; ``count`` is the document frequency of sampled tokens, 0 where unknown."""
-    inside = sampled(token)
-    order = np.lexsort((token, count, ~inside))
-    token, frequent = token[order], (inside & (count > FREQUENT))[order]
+    """Signatures of one set; ``count`` says how many sets hold each token (under 2: no other one)."""
+    order = np.lexsort((token, count))
+    token, count = token[order], count[order]
     need = int(slack_of(token.size, share)) + 1
     out = []
     for m in levels(token.size):
         salt = np.uint64(m * 0x9E3779B9 + 1)
         if m == 0:
-            out.append(A.mix(token[:need] + salt))
+            out.append(A.mix(token[:need][count[:need] > 1] + salt))
             continue
-        kind = np.where(frequent, (A.mix(token) % np.uint64(m)).astype(np.int64), -1)
-        adds = np.ones(token.size, np.int64)
-        classes, first = np.unique(kind, return_index=True)
-        adds[first[classes >= 0]] = 0
+        # classes: -2 unseen, -1 rare, 0 .. m-1 frequent (pairs), m .. 2m-1 hot (triples)
+        kind = (A.mix(token) % np.uint64(m)).astype(np.int64) + m * (count > HOT)
+        kind = np.where(count < 2, -2, np.where(count <= FREQUENT, -1, kind))
+        order = np.argsort(kind, kind="stable")
+        head = np.searchsorted(kind[order], kind[order])
+        nth = np.empty(kind.size, np.int64)
+        nth[order] = np.arange(kind.size) - head
+        adds = nth >= np.select([kind < 0, kind < m], [0, 1], 2)
         length = int(np.searchsorted(np.cumsum(adds), need)) + 1
         t, k = token[:length], kind[:length]
-        out.append(A.mix(t[k < 0] + salt))
+        out.append(A.mix(t[k == -1] + salt))
         for c in np.unique(k[k >= 0]):
-            own = t[k == c]
-            if own.size > 1:
+            own = np.sort(t[k == c])
+            if own.size > 1 and c < m:
                 i, j = np.triu_indices(own.size, 1)
-                low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-                out.append(A.mix(A.mix(low + salt) + high))
+                out.append(A.mix(A.mix(own[i] + salt) + own[j]))
+            elif own.size > 2 and c >= m:
+                i, j, l = np.array(list(combinations(range(own.size), 3))).T
+                out.append(A.mix(A.mix(A.mix(own[i] + salt) + own[j]) + own[l]))
     return np.unique(np.concatenate(out))
 
 
-def _nodes(chunk: X.Chunk, answers: list[bytes], share: int) -> pa.RecordBatch:
-    """The surviving sets of a chunk, each once, with tokens and signatures."""
+def _survivors(chunk: X.Chunk, answers: list[bytes], share: int) -> pa.RecordBatch:
+    """The sets of a chunk that see enough of their sampled tokens elsewhere, each once."""
     sets = Sets(chunk)
-    parts = [X.unpacked(p, len(p) // 12, "<u8,<u4") for p in answers]
-    known = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    times = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    order = np.argsort(known)
-    known, times = known[order], times[order]
-    count = np.zeros(sets.token.size, np.int64)
-    hit = X.member(sets.token, known)
-    count[hit] = times[np.searchsorted(known, sets.token[hit])]
+    known, _ = _counted(answers)
     inside = sampled(sets.token)
     s = np.bincount(sets.doc[inside], minlength=sets.n.size)
-    seen = np.bincount(sets.doc[hit & inside], minlength=sets.n.size)
-    out: list[list] = [[], [], [], [], [], []]
+    seen = np.bincount(sets.doc[X.member(sets.token, known) & inside], minlength=sets.n.size)
+    out: list[list] = [[], [], [], [], []]
     for d in sets.first_of_set().tolist():
         n = int(sets.n[d])
         if n == 0 or seen[d] < s[d] - slack_of(n, share):
             continue
-        t = sets.token[sets.off[d] : sets.off[d + 1]]
         same = (sets.prints == sets.prints[:, d : d + 1]).all(0)
-        row = (int(sets.prints[0, d].view(np.int64)), int(sets.prints[1, d].view(np.int64)), n, int(chunk.ids[same].min()), t.tobytes(), signatures(t, count[sets.off[d] : sets.off[d + 1]], share).view(np.int64))
+        row = (int(sets.prints[0, d].view(np.int64)), int(sets.prints[1, d].view(np.int64)), n, int(chunk.ids[same].min()), sets.token[sets.off[d] : sets.off[d + 1]].tobytes())
         for column, value in zip(out, row, strict=True):
             column.append(value)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["f1", "f2", "n", "doc_id", "tokens", "signatures"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["f1", "f2", "n", "doc_id", "tokens"])
+
+
+def _counted(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and totals of a chunk's answers."""
+    parts = [X.unpacked(p, len(p) // 12, "<u8,<u4") for p in answers]
+    known = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    times = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    order = np.argsort(known)
+    return known[order], times[order]
+
+
+class Pack:
+    """Distinct sets of one row: fingerprints, sizes, ids and tokens."""
+
+    def __init__(self, row: dict):
+        self.key = row["chunk"]
+        self.f1, self.f2, self.doc_id = (np.frombuffer(row[c], np.int64) for c in ("f1", "f2", "doc_id"))
+        self.n = np.frombuffer(row["n"], np.int32)
+        self.off = np.concatenate(([0], np.cumsum(self.n, dtype=np.int64)))
+        self.token = np.frombuffer(row["tokens"], np.uint64)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    key, held, size = TaskContext.get().partitionId() << 20, [], 0
+
+    def pack() -> pa.RecordBatch:
+        columns = [np.array([r[i] for r in held], kind).tobytes() for i, kind in enumerate((np.int64, np.int64, np.int32, np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *[pa.array([c], pa.binary()) for c in (*columns, b"".join(r[4] for r in held))]], names=["chunk", "f1", "f2", "n", "doc_id", "tokens"])
+
+    for row in X.rows_of(batches):
+        if held and size + len(row["tokens"]) > X.CHUNK_BYTES:
+            yield pack()
+            key, held, size = key + 1, [], 0
+        held.append((row["f1"], row["f2"], row["n"], row["doc_id"], row["tokens"]))
+        size += len(row["tokens"])
+    if held:
+        yield pack()
+
+
+def _nodes(pack: Pack, answers: list[bytes], share: int) -> pa.RecordBatch:
+    """The sets of a pack that see enough of their tokens in other sets, with signatures."""
+    known, times = _counted(answers)
+    count = np.ones(pack.token.size, np.int64)
+    hit = X.member(pack.token, known)
+    count[hit] = times[np.searchsorted(known, pack.token[hit])]
+    seen = np.bincount(A.owner(pack.off), weights=hit, minlength=pack.n.size).astype(np.int32)
+    kept = np.flatnonzero(seen >= pack.n - slack_of(pack.n.astype(np.int64), share))
+    spans = [slice(pack.off[d], pack.off[d + 1]) for d in kept.tolist()]
+    columns = [pa.array((pack.key << 20) + kept, pa.int64()), *[pa.array(c[kept]) for c in (pack.f1, pack.f2, pack.n, seen, pack.doc_id)]]
+    columns += [pa.array([pack.token[s].tobytes() for s in spans], pa.binary()), pa.array([signatures(pack.token[s], count[s], share).view(np.int64) for s in spans], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "f1", "f2", "n", "seen", "doc_id", "tokens", "signatures"])
 
 
 # --- pairs and components -----------------------------------------------------------------------
@@ -180,61 +238,79 @@ def verified(nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
 
 def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
     """(node, component) of all nodes that are in a component of several; see the module's step 4."""
-    index = nodes.select("node", "n", F.explode("signatures").alias("sig"))
-    groups = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = X.stored(index.join(groups, "sig"))
-    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    shared = X.stored(shared.join(weight, "node"))
+    spark = nodes.sparkSession
     label = None
 
+    def posted() -> DataFrame:
+        index = nodes.select("node", F.explode("signatures").alias("sig"))
+        groups = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = X.stored(index.join(groups, "sig"))
+        weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+        return shared.join(nodes.select("node", "n", "seen").join(weight, "node"), "node")
+
     def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
         if label is None:
             return rows.withColumn(name, F.col(node))
         own = label.select(F.col("node").alias(node), F.col("component").alias("_c"))
         return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    def settle(candidates: DataFrame, heads: list[int]) -> None:
-        """Compares (a, b, times) pairs unless they are connected: in steps the ``heads`` most promising of each a, then all."""
+    def merge(pairs: DataFrame) -> None:
         nonlocal label
-        left = X.stored(candidates)
-        for most in [*heads, None]:
-            open_ = labelled(labelled(left, "a", "_x"), "b", "_y").filter("_x != _y").drop("_x", "_y")
+        fresh = X.stored(verified(nodes, pairs, share))
+        if not fresh.isEmpty():
+            stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
+            edges = fresh if stars is None else stars.unionByName(fresh)
+            label = X.settled(spark, lambda: connected(edges))
+
+    def settle(candidates: DataFrame, by_promise: bool) -> None:
+        """Compares (a, b, times) pairs unless they are connected; if ``by_promise`` the most shared pivot of each a first."""
+        if by_promise:
             rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
-            left = X.stored(open_.withColumn("rank", rank))
-            if left.isEmpty():
-                return
-            now = left if most is None else left.filter(F.col("rank") <= most)
-            fresh = X.stored(verified(nodes, now.select("a", "b"), share))
-            if not fresh.isEmpty():
-                stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
-                label = X.stored(connected(fresh if stars is None else stars.unionByName(fresh)))
-            if most is not None:
-                left = left.filter(F.col("rank") > most).drop("rank")
+            candidates = X.stored(candidates.withColumn("rank", rank))
+            merge(candidates.filter("rank = 1").select("a", "b"))
+            candidates = candidates.filter("rank > 1")
+        left = X.stored(labelled(labelled(candidates, "a", "_x"), "b", "_y").filter("_x != _y").select("a", "b"))
+        if not left.isEmpty():
+            merge(left)
 
     def split(rows: DataFrame) -> DataFrame:
         """Rows of signatures whose nodes lie in several components, with the component ``c``."""
-        rows = labelled(rows, "node", "c")
+        rows = labelled(rows.drop("c"), "node", "c")
         spans = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
         return rows.join(spans, "sig")
 
-    fits = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
+    # a link needs share * (n + m - both) <= 100 * both, and no more than the lesser "seen" is in both
+    fits = F.least("seen", "seen_too") * (100 + share) >= (F.col("n") + F.col("m")) * share
+    rows = X.settled(spark, posted).withColumn("c", F.col("node"))
     done, many = 0, 1
-    while True:
+    while not rows.isEmpty():
         # pivots of a signature: its nodes with the most company first, then by id
-        rows = X.stored(split(shared.filter(F.col("size") > done)))
-        if rows.isEmpty():
-            break
         rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
-        heads = rows.select("sig", "node", "n", "c", "weight").withColumn("rank", rank).filter(F.col("rank") <= done + many).filter(F.col("rank") > done)
-        heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("c").alias("d"))
+        heads = rows.select("sig", "node", "n", "seen", "c", "weight").withColumn("rank", rank).filter(F.col("rank") <= done + many).filter(F.col("rank") > done)
+        heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("seen").alias("seen_too"), F.col("c").alias("d"))
         met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & (F.col("c") != F.col("d")) & fits)
-        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), [1] if done == 0 else [])
+        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), done == 0)
         done, many = done + many, 8 * many
+        rows = X.stored(split(rows.filter(F.col("size") > done)))
     return label if label is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
-def node_table(chunks: DataFrame, share: int = SHARE) -> DataFrame:
-    count = X.buckets(chunks.sparkSession)
+def node_table(packs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The sets of ``packs`` that can link another one, one row each."""
+    count = X.buckets(packs.sparkSession)
+
+    def tokens(pack: Pack) -> pa.RecordBatch:
+        keys, times = np.unique(pack.token, return_counts=True)
+        return X.posted(pack.key, A.mix(keys), [keys, times.astype("<u4")], count)
+
+    answers = X.ask(X.post(packs, tokens, Pack), X.key_counts("u4"))
+    return X.reply(packs, answers, lambda pack, payloads: _nodes(pack, payloads, share), NODE_SCHEMA, Pack)
+
+
+def set_tables(docs: DataFrame, share: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, f1, f2) of every row, and packs of the distinct sets that pass the sampled filter."""
+    chunks = X.chunked(docs, doc_id, text)
+    count = X.buckets(docs.sparkSession)
 
     def tokens(chunk: X.Chunk) -> pa.RecordBatch:
         sets = Sets(chunk)
@@ -242,24 +318,31 @@ def node_table(chunks: DataFrame, share: int = SHARE) -> DataFrame:
         keys, times = np.unique(sets.token[own], return_counts=True)
         return X.posted(chunk.key, A.mix(keys), [keys, np.minimum(times, 255).astype(np.uint8)], count)
 
-    answers = X.ask(X.post(chunks, tokens), X.key_counts("u1"))
-    found = X.reply(chunks, answers, lambda chunk, payloads: _nodes(chunk, payloads, share), NODE_SCHEMA)
-    return X.stored(found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("signatures").alias("signatures")))
-
-
-def components(docs: DataFrame, share: int = SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    chunks = X.chunked(docs, doc_id, text)
-    nodes = node_table(chunks, share)
-
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.rows_of(batches):
             chunk = X.Chunk(row)
             sets = Sets(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(chunk.ids), pa.array(sets.n, pa.int64()), *[pa.array(p.view(np.int64)) for p in sets.prints]], names=["id", "n_shingles", "f1", "f2"])
 
-    rows = X.stored(chunks.mapInArrow(members, "id long, n_shingles long, f1 long, f2 long"))
-    joined = nodes.select("f1", "f2", "node").join(links(nodes, share), "node").select("f1", "f2", "component")
+    answers = X.ask(X.post(chunks, tokens), X.key_counts("u1"))
+    found = X.reply(chunks, answers, lambda chunk, payloads: _survivors(chunk, payloads, share), SET_SCHEMA)
+    once = found.groupBy("f1", "f2").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    return chunks.mapInArrow(members, "id long, n_shingles long, f1 long, f2 long"), once.select("f1", "f2", "n", "doc_id", "tokens").mapInArrow(_packs, PACK_SCHEMA)
+
+
+def linked_sets(packs: DataFrame, share: int) -> DataFrame:
+    """(f1, f2, component) of the sets with a link; the component is the smallest id of its documents."""
+    nodes = X.stored(node_table(packs, share))
+    joined = X.stored(nodes.select("f1", "f2", "node", "doc_id").join(links(nodes, share), "node"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
+    return joined.join(least, "component").select("f1", "f2", F.col("least").alias("component"))
+
+
+def components(docs: DataFrame, share: int = SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    spark = docs.sparkSession
+    rows, packs = X.settled(spark, lambda: set_tables(docs, share, doc_id, text))
+    joined = X.settled(spark, lambda: linked_sets(packs, share))
     same = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     groups = same.join(joined, ["f1", "f2"], "full").select("f1", "f2", F.least("least", "component").alias("group"))
     out = rows.join(groups, ["f1", "f2"], "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("group", "id")).otherwise(F.col("id")))
