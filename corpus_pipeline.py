@@ -14,11 +14,13 @@ cannot give the rows; the tests hold every stage against a plain version.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import bpe, decontaminate, jaccard_join, quality_fm, suffixes
-from tickerloom.llm.exchange import stored
+from tickerloom.llm.exchange import settled
 from tickerloom.llm.labelled import fold
 from tickerloom.llm.op2_bpe import VOCABULARY
 
@@ -40,8 +42,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of the smallest id in it; rows with no words stay."""
     rows = keyed(docs)
-    groups = jaccard_join.components(rows, doc_id="_key").filter("n_shingles > 0")
-    members = stored(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct())
+
+    def grouped() -> DataFrame:
+        groups = jaccard_join.components(rows, doc_id="_key").filter("n_shingles > 0")
+        return groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+
+    members = settled(spark, grouped)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
     firsts = members.join(rows.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first._key")
     one = rows.join(firsts, "_key").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
@@ -50,7 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; a character that a cut leaves incomplete goes with it."""
-    done = suffixes.deduplicate(docs, as_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("id"), "text_md5", "kept").dropDuplicates(["id", "text_md5"])
+
+    def cut() -> DataFrame:
+        changed = suffixes.deduplicate(docs, as_text=True).filter("n_removed > 0")
+        return changed.select(F.col("doc_id").alias("id"), "text_md5", "kept").dropDuplicates(["id", "text_md5"])
+
+    done = settled(spark, cut)
     rest = docs.select(*COLUMNS).join(done, F.col("doc_id").eqNullSafe(F.col("id")) & (F.md5(F.col("text").cast("binary")) == F.col("text_md5")), "left")
     length = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))
     return rest.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", length.alias("n_chars"))
@@ -82,8 +93,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; every result but the last is stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
+    for _, stage in STAGES[:-1]:
+        docs = settled(spark, partial(stage, spark, docs, sf_dir))
+    docs = STAGES[-1][1](spark, docs, sf_dir)
     return docs
