@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -206,3 +207,22 @@ def test_claims_skip_scaffolding(spark):
     text = "Lead line\nWhy this signal:\n- First claim is here. Second claim follows now.\n[1] T — news\n    “A quoted sentence here.”\n- Note: skip this one please"
     got = column(spark, text, em.claims)
     assert got == ["First claim is here.", "Second claim follows now.", "A quoted sentence here."]
+
+
+def test_name_hits_equal_a_search_per_name(spark):
+    names = {"AA": "The Alpha Beta Corporation", "AB": "Alpha Gamma Inc.", "BB": "Beta", "CC": "Foo & Bar Co.", "DD": "Ab Inc", "EE": "Alpha Alpha Ltd"}
+    short = {"AA": "alpha beta", "AB": "alpha gamma", "BB": "beta", "CC": "foo & bar", "DD": "ab inc", "EE": "alpha alpha"}
+    universe = spark.createDataFrame(list(names.items()), "ticker string, name string")
+    texts = ["ALPHA beta rose", "alphabeta, Alpha  Beta", "Beta-alpha gamma; beta", "Foo & Bar and foo and bar", "alpha alpha alpha beta", "ab", "the AB Inc", "", None, "alpha", "x_beta beta"]
+    rows = [(i, "BB", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "document_id long, ticker string, text string")
+    expected = set()
+    for i, _, t in rows:
+        for ticker, name in short.items():
+            expected |= {(i, ticker, m.start()) for m in re.finditer(rf"(?<!\w)(?={re.escape(name)}(?!\w))", (t or "").lower())}
+    hits = se.name_hits(df, universe, ["document_id"]).collect()
+    assert len(hits) == len(expected)
+    assert {(h["document_id"], h["other"]) for h in hits} == {(i, o) for i, o, _ in expected}
+    got = {tuple(r) for r in se.contaminated(df, universe).collect()}
+    assert got == {(i, "BB", o) for i, o, _ in expected if o != "BB"}
+    assert se.contaminated(df, universe.limit(0)).collect() == []

@@ -211,25 +211,51 @@ def attribution_diagnostics(scored: DataFrame, documents: DataFrame, weekly: Dat
     )
 
 
-def contaminated(scored_text: DataFrame, universe: DataFrame) -> DataFrame:
-    """Scored (document, ticker) texts that also name another company of the universe.
+NAME_PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+
+
+def pieces(text: Column) -> Column:
+    """Lower-cased words and, one by one, the characters between them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(NAME_PIECE), F.lit(0))
+
 
-    Words of each text meet the first word of each company name by equi-join; only those
-    candidates are tested with the full pattern, so no text is crossed with the universe.
+def name_dictionary(universe: DataFrame) -> DataFrame:
+    """(other, parts, key, at): each short company name as pieces, keyed by its word that the fewest names hold.
+
+    The short name lacks article and legal suffix; if under four characters are left, the full name stands for it.
+    Names that are still shorter, and names without a word, are left out.
     """
-    from tickerloom.operators.text import company_pattern
+    from tickerloom.operators.text import LEGAL_SUFFIX
 
-    names = universe.select(
-        F.col("ticker").alias("other"),
-        F.lower(F.regexp_extract(F.regexp_replace("name", r"(?i)^the\s+", ""), r"([A-Za-z0-9]+)", 1)).alias("word"),
-        company_pattern(F.col("ticker"), F.col("name")).alias("pattern"),
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    candidates = scored_text.select("document_id", "ticker", "text", F.explode(words).alias("word")).join(names, "word")
-    return (
-        candidates.filter((F.col("other") != F.col("ticker")) & F.rlike(F.col("text"), F.col("pattern")))
-        .select("document_id", "ticker", "other")
-        .distinct()
-    )
+    article_free = F.regexp_replace("name", r"(?i)^the\s+", "")
+    brief = F.trim(F.regexp_replace(article_free, LEGAL_SUFFIX, ""))
+    named = universe.select(F.col("ticker").alias("other"), F.when(F.length(brief) >= 4, brief).otherwise(F.col("name")).alias("brief"))
+    names = named.filter(F.length("brief") >= 4).select("other", pieces(F.col("brief")).alias("parts"))
+    words = names.select("other", "parts", F.posexplode("parts").alias("at", "key")).filter(F.rlike("key", F.lit(r"^[\p{L}\p{N}_]")))
+    shared = words.groupBy("key").agg(F.countDistinct("other").alias("names"))
+    rarest = F.min_by(F.struct("key", "at"), F.struct("names", -F.length("key"), "key", "at")).alias("k")
+    return words.join(shared, "key").groupBy("other", "parts").agg(rarest).select("other", "parts", "k.*")
+
+
+def name_hits(texts: DataFrame, universe: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, start, other): every place where a text holds a company's short name as whole words, in any case.
+
+    A token dictionary join: pieces of the texts, as narrow (``by``, position, piece) rows, meet the names' rarest words;
+    a hit of a name of several pieces is then checked piece by piece against the same rows.  No text is copied or
+    searched once per name, and a first word that many names or texts share keys nothing.  ``by`` must identify a
+    row of ``texts``; a null text has no hits.
+    """
+    found = texts.select(*by, F.posexplode(pieces(F.col("text"))).alias("pos", "piece"))
+    names = name_dictionary(universe)
+    starts = found.join(names, found["piece"] == names["key"]).select(*by, (F.col("pos") - F.col("at")).alias("start"), "other", "parts")
+    short = F.size("parts") == 1
+    wanted = starts.filter(~short & (F.col("start") >= 0)).select(*by, "start", "other", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "piece"))
+    wanted = wanted.withColumn("pos", F.col("start") + F.col("i"))
+    met = wanted.join(found, [*by, "pos", "piece"]).groupBy(*by, "start", "other", "k").agg(F.count(F.lit(1)).alias("n"))
+    return starts.filter(short).select(*by, "start", "other").unionByName(met.filter("n = k").select(*by, "start", "other"))
 
 
+def contaminated(scored_text: DataFrame, universe: DataFrame) -> DataFrame:
+    """Scored (document, ticker) texts that also name another company of the universe, by name only."""
+    hits = name_hits(scored_text.select("document_id", "ticker", "text"), universe, ["document_id", "ticker"])
+    return hits.filter(F.col("other") != F.col("ticker")).select("document_id", "ticker", "other").distinct()
