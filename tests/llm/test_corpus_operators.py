@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tickerloom.llm import bpe, decontaminate, jaccard_join, licences, quality_fm, quality_rules, substrings, suffixes, token_files, toxicity
+from tickerloom.llm import bpe, decontaminate, exchange, jaccard_join, licences, quality_fm, quality_rules, substrings, suffixes, token_files, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SCHEMA = T.StructType(
@@ -391,3 +391,35 @@ def test_pipeline_decides_by_id_and_text(spark, sf):
     assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(3, a), (5, b), (0, c), (0, d), (8, ""), (8, "")])
     clean = P.decontamination(spark, frame([(None, item), (None, a), (7, f"{b} {item}"), (7, c), (9, item)]), sf)
     assert sorted(((r.doc_id or 0, r.text) for r in clean.collect())) == sorted([(0, a), (7, c)])
+
+
+def test_components_of_null_ids_do_not_chain_and_shared_passages_make_no_nodes(spark):
+    def words(tag, n):
+        return [f"{tag}{i}" for i in range(n)]
+
+    a, b = words("a", 60), words("b", 60)
+    near = [" ".join([*x[:-1], "zz"]) for x in (a, b)]
+    rows = [(1, " ".join(a)), (None, near[0]), (None, near[1]), (3, " ".join(b)), (None, " ".join(words("c", 9))), (5, near[0]), (5, "alone " + " ".join(words("d", 9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()), key=str)
+    assert got == sorted([(1, 56, 1), (None, 56, 1), (None, 56, 3), (3, 56, 3), (None, 5, None), (5, 56, 1), (5, 6, 5)], key=str)
+
+    passage = words("p", 40)
+    mixed = spark.createDataFrame([(d, " ".join([*passage, *words(f"own{d}_", 20)])) for d in range(30)], "doc_id long, text string")
+    _, packs = exchange.settled(spark, lambda: jaccard_join.set_tables(mixed, 80, "doc_id", "text"))
+    assert jaccard_join.node_table(packs).count() == 0
+
+
+def test_settled_deletes_what_it_was_made_from(spark):
+    inner = []
+
+    def make():
+        inner.append(exchange.stored(spark.range(5)))
+        inner.append(exchange.chunked(spark.createDataFrame([(1, "x")], "doc_id long, text string")))
+        return inner[0].withColumn("twice", 2 * inner[0]["id"])
+
+    folders = [exchange.settled(spark, lambda: exchange.settled(spark, make))]
+    assert sorted(r.twice for r in folders[0].collect()) == [0, 2, 4, 6, 8]
+    with pytest.raises(Exception):
+        inner[0].collect()
+    assert not [t for t in spark.catalog.listTables() if t.name in str(inner[1]._jdf.queryExecution().analyzed())]
