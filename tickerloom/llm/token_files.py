@@ -351,24 +351,27 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, doc_id:
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, decoded from the files; ids are packed little-endian u32."""
+    """(doc_id, start, n_tokens, ids) of every document, decoded from the files; ids are packed little-endian u32.
+
+    A segment meets its partition's offset before it is decoded, so ids are never shuffled.  The offsets are
+    one number for each range partition that ``write_tokens`` made, which bounds what is broadcast.
+    """
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, first = batch.column("part")[i].as_py(), batch.column("first")[i].as_py()
+                base = batch.column("base")[i].as_py()
                 docs, sizes, ids = read_segment(batch.column("segment")[i].as_py())
                 off = np.concatenate(([0], np.cumsum(sizes)))
                 for s in range(0, docs.size, 2000):
                     e = min(s + 2000, docs.size)
                     cut = [ids[a:b].tobytes() for a, b in zip(off[s:e].tolist(), off[s + 1 : e + 1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * (e - s), pa.int32()), ids_out(docs[s:e]), pa.array(first + off[s:e], pa.int64()), pa.array(sizes[s:e], pa.int64()), pa.array(cut, pa.binary())],
-                        names=["part", "doc_id", "inside", "n_tokens", "ids"],
+                        [ids_out(docs[s:e]), pa.array(base + off[s:e], pa.int64()), pa.array(sizes[s:e], pa.int64()), pa.array(cut, pa.binary())],
+                        names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    rows = segments.select("part", "first", "segment").mapInArrow(run, "part int, doc_id long, inside long, n_tokens long, ids binary")
-    return rows.join(parts, "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids")
-
+    placed = segments.join(F.broadcast(parts), "part").select((F.col("offset") + F.col("first")).alias("base"), "segment")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
