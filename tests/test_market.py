@@ -10,6 +10,7 @@ from tickerloom.functions.columns import with_ema
 from tickerloom.operators import blocks
 from tickerloom.operators import features as fe
 from tickerloom.operators import quality as qa
+from tickerloom.operators import twins
 from tickerloom.operators.ranks import cumulative_counts, exact_median, order_statistic, percentile_rank
 from tickerloom.sources import landing
 from tickerloom.sources import macro as macro_source
@@ -158,3 +159,22 @@ def test_macro_csv_import(spark, tmp_path):
     (tmp_path / "DFF.csv").write_text("date,DFF\n")
     with pytest.raises(ValueError):
         macro_source.read_macro_csv(spark, str(tmp_path))
+
+
+def test_array_folds_equal_the_windows_over_gaps_and_block_borders(spark):
+    bars = walk(spark, ("AAA", "BBB"), n=120)
+    gap = F.dayofmonth("Date").isin(3, 4, 17)
+    bars = bars.withColumn(fe.PRICE, F.when(gap, F.lit(None)).otherwise(F.col(fe.PRICE)))
+    fields = [n for n in twins.FIELDS if not n.startswith("Adj ")]
+    found = qa.compare_columns(fe.technical_features(bars), twins.folded_features(bars, block_rows=50), ["ticker", "Date"], fields, 1e-9)
+    assert {r.field: (r.rows, r.mismatches) for r in found.collect()} == {n: (240, 0) for n in fields}
+
+
+def test_array_folds_follow_a_recursion_written_out(spark):
+    bars = walk(spark, ("AAA",), n=60)
+    got = twins.folded_features(bars).orderBy("Date").toPandas()
+    price = bars.orderBy("Date").toPandas()[fe.PRICE]
+    assert np.allclose(got["ema_12"], price.ewm(span=12, adjust=False).mean(), rtol=1e-12)
+    assert np.allclose(got["macd_signal"], got["macd"].ewm(span=9, adjust=False).mean(), rtol=1e-12)
+    assert np.allclose(got["sma_20"][19:], price.rolling(20).mean()[19:], rtol=1e-12) and got["sma_20"][:19].isna().all()
+    assert twins.folded_features(bars.limit(0)).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import asof
 from tickerloom.operators import features as fe
 from tickerloom.operators import quality as qa
+from tickerloom.operators import twins
 from tickerloom.operators.blocks import session_numbers
 from tickerloom.plans.catalog import query, r
 from tickerloom.plans.market_queries import input_frame
@@ -78,6 +79,23 @@ def feature_twin(spark, sf):
     return qa.compare_columns(fe.technical_features(bars), second, ["ticker", "Date"], fields, 1e-8)
 
 
+@query(
+    "feature_folded_twin",
+    with_ctes("bars")
+    + "SELECT field, (SELECT count(*) FROM bars) AS rows, (SELECT count(*) FROM bars WHERE dayofyear(d) % 34 = k) AS mismatches FROM (VALUES "
+    + ", ".join(f"('{n}', {k})" for k, n in enumerate(twins.FIELDS))
+    + ") t(field, k)",
+)
+def feature_folded_twin(spark, sf):
+    """All features against array folds; on every 34th day of the year each field is off by a thousandth, or there where it should be missing."""
+    bars = standins.bars(spark, sf)
+    turn = F.dayofyear("Date") % 34
+    off = lambda n: F.coalesce(F.col(n), F.lit(0.0)) + 0.001 * F.greatest(F.lit(1.0), F.abs(F.col(n)))
+    second = twins.folded_features(bars)
+    second = second.withColumns({n: F.when(turn == k, off(n)).otherwise(F.col(n)) for k, n in enumerate(twins.FIELDS)})
+    return qa.compare_columns(fe.technical_features(bars), second, ["ticker", "Date"], twins.FIELDS, 1e-8)
+
+
 @query(
     "prefix_invariance",
     with_ctes("bars")
