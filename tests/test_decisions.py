@@ -273,3 +273,15 @@ def test_walk_forward_with_trees(spark):
     rows = wf.walk_forward(model_frame(spark, n=1300), [2022], ("median", "boosted"), grid=[(1, 0.5, 1), (2, 0.5, 3)]).collect()
     mae = {r["model"]: r["MAE_pp"] for r in rows}
     assert mae["boosted"] < mae["median"]
+
+
+def test_faithfulness_keeps_answers_without_claims_and_orders_unsupported_ones(spark):
+    from tickerloom.operators import evalmetrics as em
+
+    schema = "answer_id string, claims array<string>, passages array<string>"
+    answers = spark.createDataFrame([("a", ["z is  new here", "b is said", "a is not said"], ["z is new here", "b is said"]), ("b", [], ["x"]), ("c", ["lone claim stands"], None), ("d", None, ["x"])], schema)
+    judged = spark.createDataFrame([("a", "a is not said", 0.2), ("c", "lone claim stands", 0.5)], "answer_id string, claim string, entailment double")
+    got = {r.answer_id: (r.claims, r.faithfulness, r.unsupported) for r in em.faithfulness(answers, judged).collect()}
+    assert got == {"a": (3, pytest.approx(2 / 3), ["a is not said"]), "b": (0, None, []), "c": (1, 1.0, []), "d": (0, None, [])}
+    total = em.faithfulness_summary(em.faithfulness(answers)).first()
+    assert (total.explanations, total.claims, total.fully_faithful_share) == (4, 4, 0.0)

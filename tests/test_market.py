@@ -178,3 +178,16 @@ def test_array_folds_follow_a_recursion_written_out(spark):
     assert np.allclose(got["macd_signal"], got["macd"].ewm(span=9, adjust=False).mean(), rtol=1e-12)
     assert np.allclose(got["sma_20"][19:], price.rolling(20).mean()[19:], rtol=1e-12) and got["sma_20"][:19].isna().all()
     assert twins.folded_features(bars.limit(0)).count() == 0
+
+
+def test_a_macro_import_is_refused_with_the_broken_rows_named(spark):
+    schema = "series_id string, observation_date string, value string, row_number long"
+    good = spark.createDataFrame([("DFF", "2001-01-02", "1.5", 0), ("DFF", "2001-01-03", ".", 1), ("DGS10", "2001-01-02", "4", 0)], schema)
+    assert macro_source.macro_violations(good, "row_number").count() == 0
+    assert macro_source.import_macro_checked(good, "row_number").count() == 2
+    rows = [("DFF", "2001-01-05", "1", 99_999), ("DFF", "2001-01-03", "1", 100_000), ("DFF", "soon", "1", 100_001), ("DFF", "2001-01-03", "1", 100_002), ("DFF", None, "1", 100_003)]
+    bad = spark.createDataFrame(rows, schema)
+    found = sorted((r.kind, str(r.observation_date)) for r in macro_source.macro_violations(bad, "row_number").collect())
+    assert found == [("duplicate_date", "2001-01-03"), ("invalid_date", "None"), ("invalid_date", "soon"), ("unsorted_date", "2001-01-03")]
+    with pytest.raises(ValueError, match="Macro import refused"):
+        macro_source.import_macro_checked(bad, "row_number")

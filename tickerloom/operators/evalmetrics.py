@@ -84,22 +84,23 @@ def context_passages(evidence: Column, trace: Column) -> Column:
 
 
 def faithfulness(answers: DataFrame, judged: DataFrame | None = None) -> DataFrame:
-    """Share of claims found verbatim in a passage or judged entailed, with the unsupported ones.
+    """Share of claims found verbatim in a passage or judged entailed, with the unsupported ones in order.
 
     ``answers``: answer_id, claims, passages.  ``judged``: answer_id, claim, entailment (the
-    best score over passages), from a model's output table.
+    best score over passages), from a model's output table.  An answer without claims has 0 claims and no share.
     """
-    rows = answers.select("answer_id", "passages", F.posexplode("claims").alias("pos", "claim"))
-    verbatim = F.exists("passages", lambda p: F.contains(one_spaced(p), one_spaced(F.col("claim"))))
+    rows = answers.select("answer_id", "passages", F.posexplode_outer("claims").alias("pos", "claim"))
+    verbatim = F.coalesce(F.exists("passages", lambda p: F.contains(one_spaced(p), one_spaced(F.col("claim")))), F.lit(False))
     d = rows.select("answer_id", "pos", "claim", verbatim.alias("ok"))
     if judged is not None:
         d = d.join(judged, ["answer_id", "claim"], "left").withColumn("ok", F.col("ok") | F.coalesce(F.col("entailment") >= ENTAILED, F.lit(False)))
+    missed = F.collect_list(F.when(~F.col("ok") & F.col("claim").isNotNull(), F.struct("pos", "claim")))
     per = d.groupBy("answer_id").agg(
-        F.count(F.lit(1)).alias("claims"),
-        F.avg(F.col("ok").cast("double")).alias("faithfulness"),
-        F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("pos", "claim")))), lambda x: x["claim"]).alias("unsupported"),
+        F.count("claim").alias("claims"),
+        F.avg(F.when(F.col("claim").isNotNull(), F.col("ok").cast("double"))).alias("faithfulness"),
+        F.transform(F.sort_array(missed), lambda x: x["claim"]).alias("unsupported"),
     )
-    return answers.select("answer_id").join(per, "answer_id", "left")
+    return per
 
 
 def faithfulness_summary(per_answer: DataFrame) -> DataFrame:

@@ -58,6 +58,24 @@ def macro_import(spark, sf):
     )
 
 
+@query(
+    "macro_import_violations",
+    """WITH t AS (SELECT o_orderkey AS k, s, CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d FROM orders, (VALUES ('DFF'), ('CPIAUCSL')) v(s)),
+       p AS (SELECT k, s, d, try_cast(d AS DATE) AS day FROM t)
+       SELECT s AS series_id, d AS observation_date, 'invalid_date' AS kind FROM p WHERE day IS NULL
+       UNION ALL SELECT s, CAST(day AS VARCHAR), 'duplicate_date' FROM p WHERE day IS NOT NULL GROUP BY s, day HAVING count(*) > 1
+       UNION ALL SELECT s, CAST(day AS VARCHAR), 'unsorted_date' FROM (SELECT s, day, lag(day) OVER (PARTITION BY s ORDER BY k) AS before FROM p) WHERE day < before""",
+)
+def macro_import_violations(spark, sf):
+    """Orders in key order as an import file: pending ones carry no date, days repeat and go back."""
+    text = standins.table(spark, sf, "orders").select(
+        F.explode(F.array(F.lit("DFF"), F.lit("CPIAUCSL"))).alias("series_id"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.to_date("o_orderdate").cast("string")).alias("observation_date"),
+        F.col("o_orderkey").alias("row_number"),
+    )
+    return macro_source.macro_violations(text, "row_number")
+
+
 @query(
     "macro_vintages",
     """SELECT CAST(od AS VARCHAR) AS observation_date, CAST(rs AS VARCHAR) AS available_date, arg_max(p, k)::BIGINT AS value FROM (

@@ -213,3 +213,67 @@ def faithful(spark, sf):
     claims = F.concat(em.sentence_list(F.col("text")), F.array(F.lit("Revenue tripled overnight without cause.")))
     a = t.select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), claims.alias("claims"), F.array("text").alias("passages"))
     return em.faithfulness(a).select("answer_id", "claims", r("faithfulness"))
+
+
+# --- explanations taken apart ------------------------------------------------------------
+
+cte(
+    "told",
+    [],
+    f"""SELECT conv_id, turn, list_concat(list_concat(['turn ' || turn || ' of this conversation'], sents), ['This was made up for turn ' || turn || '.']) AS cl, sents FROM (SELECT conv_id, turn, {_SENT.format(t='text')} AS sents FROM conversations)""",
+)
+
+
+def told(spark, sf):
+    """An explanation for each conversation turn: headline, trace, a quote of the turn, and a claim without ground.
+
+    Turns of even number carry their text as evidence, the others none.
+    """
+    turn = F.col("turn").cast("string")
+    trace = F.concat(F.lit("turn "), turn, F.lit(" of this conversation"))
+    parts = [F.lit("Monitor — keep on your radar."), F.lit("Why this signal:"), F.concat(F.lit("- "), trace), F.lit("Supporting evidence:"), F.concat(F.lit("[1] "), "role", F.lit(" — news")),
+             F.concat(F.lit("    “"), "text", F.lit("”")), F.lit("No recent news or filing evidence was found."), F.concat(F.lit("- This was made up for turn "), turn, F.lit("."))]
+    item = F.struct(F.col("role").alias("title"), F.col("text").alias("snippet"))
+    return standins.table(spark, sf, "conversations").select(
+        "conv_id", "turn", em.claims(F.concat_ws("\n", *parts)).alias("claims"), F.filter(F.array(item), lambda x: F.col("turn") % 2 == 0).alias("evidence"), F.array(trace).alias("trace")
+    )
+
+
+@query(
+    "explanation_claims",
+    with_ctes("told") + "SELECT conv_id, turn, unnest(range(len(cl))) AS pos, sha256(unnest(cl)) AS claim_hash FROM told",
+)
+def explanation_claims(spark, sf):
+    """Every claim of every explanation; headline, headings, citations and notes are none."""
+    c = told(spark, sf).select("conv_id", "turn", F.posexplode("claims").alias("pos", "claim"))
+    return c.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.sha2("claim", 256).alias("claim_hash"))
+
+
+def judged_answers(spark, sf):
+    """Faithfulness with a judge that entails the made-up claim on every third turn, denies it on the next and is silent on the last."""
+    t = told(spark, sf).withColumn("answer_id", F.concat_ws(":", "conv_id", "turn"))
+    verdict = F.when(F.col("turn") % 3 == 0, 0.9).otherwise(0.1).alias("entailment")
+    judged = t.filter(F.col("turn") % 3 != 2).select("answer_id", F.concat(F.lit("This was made up for turn "), F.col("turn").cast("string"), F.lit(".")).alias("claim"), verdict)
+    return em.faithfulness(t.select("answer_id", "claims", em.context_passages(F.col("evidence"), F.col("trace")).alias("passages")), judged)
+
+
+_JUDGED = """, per AS (SELECT conv_id || ':' || turn AS answer_id, len(cl)::BIGINT AS claims,
+         list_concat(CASE WHEN turn % 2 = 0 THEN [] ELSE sents END, CASE WHEN turn % 3 = 0 THEN [] ELSE [cl[-1]] END) AS missed FROM told),
+       share AS (SELECT *, 1 - len(missed) / claims::DOUBLE AS faithful FROM per) """
+
+
+@query(
+    "explanation_faithfulness_judged",
+    with_ctes("told") + _JUDGED + "SELECT answer_id, claims, round(faithful, 6) AS faithfulness, len(missed)::BIGINT AS unsupported, sha256(array_to_string(missed, chr(10))) AS unsupported_hash FROM share",
+)
+def explanation_faithfulness_judged(spark, sf):
+    d = judged_answers(spark, sf)
+    return d.select("answer_id", "claims", r("faithfulness"), F.size("unsupported").cast("bigint").alias("unsupported"), F.sha2(F.array_join("unsupported", "\n"), 256).alias("unsupported_hash"))
+
+
+@query(
+    "faithfulness_summary",
+    with_ctes("told") + _JUDGED + "SELECT count(*) AS explanations, sum(claims)::BIGINT AS claims, round(avg(faithful), 4) AS faithfulness, round(avg((faithful = 1)::INT), 4) AS fully_faithful_share FROM share",
+)
+def faithfulness_summary(spark, sf):
+    return em.faithfulness_summary(judged_answers(spark, sf))

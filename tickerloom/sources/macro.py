@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.domain import MACRO_LAG_DAYS
+from tickerloom.operators.blocks import block_window, halo_blocks, own_rows, session_numbers
 from tickerloom.sources.landing import keep_last
 
 SERIES_FILES = {"DFF": "DFF.csv", "CPIAUCSL": "CPIAUCSL.csv", "DGS10": "DGS10.csv", "VIXCLS": "VIXCLS.csv"}
+# rows of file order that are numbered together
+FILE_ROWS = 100_000
 
 
 def read_macro_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,31 +31,37 @@ def read_macro_csv(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def macro_violations(rows: DataFrame) -> DataFrame:
-    """Unparseable, repeated observation dates per series."""
-    dated = rows.withColumn("_d", F.expr("try_cast(observation_date AS date)"))
+def macro_violations(rows: DataFrame, sequence: str) -> DataFrame:
+    """(series_id, observation_date, kind) of every row of an import that must be refused.
+
+    ``invalid_date``: each row whose date does not parse.  ``duplicate_date``: each date a series has more than once.
+    ``unsorted_date``: each row dated before the row ahead of it by ``sequence``; next to a date that does not parse nothing is compared.
+    """
+    dated = rows.select("series_id", "observation_date", sequence, F.expr("try_cast(observation_date AS date)").alias("_d"))
+    text = F.col("_d").cast("string").alias("observation_date")
     bad = dated.filter(F.col("_d").isNull()).select("series_id", "observation_date", F.lit("invalid_date").alias("kind"))
-    repeated = (
-        dated.groupBy("series_id", "observation_date")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("series_id", "observation_date", F.lit("duplicate_date").alias("kind"))
-    )
-    return bad.unionByName(repeated)
-
-
-def unsorted_dates(rows: DataFrame, sequence: str) -> DataFrame:
-    """Rows whose date is earlier than the row before it in file order (per series and year of file order)."""
-    w = Window.partitionBy("series_id").orderBy(sequence)
-    day = F.expr("try_cast(observation_date AS date)")
-    return (
-        rows.withColumn("_d", day)
-        .withColumn("_before", F.lag("_d").over(w))
-        .filter(F.col("_d") < F.col("_before"))
-        .select("series_id", "observation_date")
+    repeated = dated.filter(F.col("_d").isNotNull()).groupBy("series_id", "_d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return bad.unionByName(repeated.select("series_id", text, F.lit("duplicate_date").alias("kind"))).unionByName(
+        unsorted_dates(dated, sequence).select("series_id", text, F.lit("unsorted_date").alias("kind"))
     )
 
 
+def unsorted_dates(dated: DataFrame, sequence: str) -> DataFrame:
+    """Rows whose ``_d`` is earlier than that of the row before, in blocks of file order, so no series is one task."""
+    numbered = session_numbers(dated, "series_id", sequence, period=F.floor(F.col(sequence) / FILE_ROWS))
+    blocks = halo_blocks(numbered, "series_id", sequence, back=1)
+    before = F.lag("_d").over(block_window("series_id", sequence))
+    return own_rows(blocks.withColumn("_before", before)).filter(F.col("_d") < F.col("_before"))
+
+
+def import_macro_checked(rows: DataFrame, sequence: str) -> DataFrame:
+    """``import_macro`` of rows without a violation; the first few violations are named otherwise."""
+    found = macro_violations(rows, sequence).limit(5).collect()
+    if found:
+        raise ValueError("Macro import refused: " + "; ".join(f"{r.series_id} {r.observation_date} {r.kind}" for r in found))
+    return import_macro(rows)
+
+
 def import_macro(rows: DataFrame) -> DataFrame:
     """Typed observations with their proxy availability date.
 
