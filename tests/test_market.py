@@ -191,3 +191,10 @@ def test_a_macro_import_is_refused_with_the_broken_rows_named(spark):
     assert found == [("duplicate_date", "2001-01-03"), ("invalid_date", "None"), ("invalid_date", "soon"), ("unsorted_date", "2001-01-03")]
     with pytest.raises(ValueError, match="Macro import refused"):
         macro_source.import_macro_checked(bad, "row_number")
+
+
+def test_a_range_without_sessions_is_refused(spark):
+    bars = walk(spark, ("AAA",), n=5)
+    assert landing.completed_sessions(bars, "2019-12-20", "2019-12-22").count() == 3
+    with pytest.raises(ValueError, match="No completed sessions"):
+        landing.completed_sessions(bars, "2031-01-01", "2031-02-01")

@@ -9,7 +9,7 @@ from tools.check_oracle import TABLES, rows_of
 NAMES = [
     "feature_exponential_macd", "macro_context_by_session", "asof_join_keyed", "rule_stances", "hybrid_signal", "fundamentals_signals",
     "documents_prepared", "document_chunks", "news_signals", "vector_search", "keyword_search", "discovery_with_diversification",
-    "macro_import_violations", "explanation_claims", "explanation_faithfulness_judged", "faithfulness_summary",
+    "macro_import_violations", "explanation_claims", "explanation_faithfulness_judged", "faithfulness_summary", "filing_document_rows", "jsonl_projection", "completed_sessions",
     "upsert_rows", "filings_selected", "stream_trailing_sentiment", "label_10_sessions", "price_percentile_rank",
 ]
 

@@ -279,6 +279,42 @@ def pending(spark, sf):
     return news.pending_windows(ranges, ledger, 500).withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "filing_document_rows",
+    """SELECT 'sec:' || doc_id || ':' || acc AS document_id, 'T' || (doc_id % 50) AS tickers, source || ' ' || form || ' (2001-01-02)' AS title, '2001-01-02T17:30:00Z' AS published_at, '2001-01-02T17:30:00Z' AS available_at,
+              'https://www.sec.gov/Archives/edgar/data/' || doc_id || '/' || replace(acc, '-', '') || '/d' || doc_id || '.htm' AS source_url, sha256(text) AS content_hash, doc_id AS cik, form
+       FROM (SELECT *, format('{:010d}-{:02d}-{:06d}', doc_id, doc_id % 100, doc_id % 1000000) AS acc, CASE WHEN doc_id % 2 = 0 THEN '10-K' ELSE '8-K' END AS form,
+               FROM (SELECT doc_id, source, text FROM documents UNION ALL SELECT doc_id, source, '' FROM documents)) WHERE text <> ''""",
+)
+def filing_document_rows(spark, sf):
+    """Every document as a filing of its own issuer; a copy of each without text is planted and must go."""
+    d = standins.table(spark, sf, "documents").withColumn("accessionNumber", F.format_string("%010d-%02d-%06d", "doc_id", F.col("doc_id") % 100, F.col("doc_id") % 1000000))
+    d = d.withColumn("cik", F.col("doc_id"))
+    selected = d.select(
+        "cik", "accessionNumber", F.concat(F.lit("T"), (F.col("cik") % 50).cast("string")).alias("ticker"), F.col("source").alias("issuer"), F.when(F.col("cik") % 2 == 0, "10-K").otherwise("8-K").alias("form"),
+        F.lit("2001-01-02").alias("filingDate"), F.lit("2001-01-02 17:30:00").cast("timestamp").alias("accepted"), F.concat(F.lit("d"), F.col("cik").cast("string"), F.lit(".htm")).alias("primaryDocument"),
+    )
+    texts = d.select("cik", "accessionNumber", "text")
+    rows = fl.filing_documents(selected, texts.unionByName(texts.withColumn("text", F.lit(""))))
+    return rows.select("document_id", F.array_join("tickers", ",").alias("tickers"), "title", "published_at", "available_at", "source_url", "content_hash", "cik", "form")
+
+
+@query(
+    "jsonl_projection",
+    """SELECT document_id, source_type, provider_id, tickers, published, problem, sha256(line) AS payload_hash FROM (
+         SELECT CAST(event_id AS VARCHAR) AS document_id, event_type AS source_type, CAST(user_id AS VARCHAR) AS provider_id, event_type || ',X' AS tickers, CASE WHEN event_id % 4 < 2 THEN 978307200 END AS published,
+                CASE WHEN event_id % 4 = 2 THEN 'stamp_without_zone' END AS problem,
+                '{"document_id":"' || event_id || '","source_type":"' || event_type || '","provider_id":' || user_id || CASE event_id % 4 WHEN 0 THEN ',"published_at":"2001-01-01T00:00:00Z"' WHEN 1 THEN ',"published_at":"2001-01-01T05:30:00+05:30"' WHEN 2 THEN ',"published_at":"2001-01-01T00:00:00"' ELSE '' END || ',"tickers":["' || event_type || '","X"]}' AS line FROM events)""",
+)
+def jsonl_projection(spark, sf):
+    """All typed fields of every event as a JSON line: numbers as text, two zones, a stamp without one, a missing stamp."""
+    k = F.col("event_id")
+    stamp = F.when(k % 4 == 0, "2001-01-01T00:00:00Z").when(k % 4 == 1, "2001-01-01T05:30:00+05:30").when(k % 4 == 2, "2001-01-01T00:00:00")
+    line = F.to_json(F.struct(k.cast("string").alias("document_id"), F.col("event_type").alias("source_type"), F.col("user_id").alias("provider_id"), stamp.alias("published_at"), F.array("event_type", F.lit("X")).alias("tickers")))
+    rec = jsonl.query_records(jsonl.check_lines(standins.events(spark, sf).select(line.alias("value"))))
+    return rec.select("document_id", "source_type", "provider_id", F.array_join("tickers", ",").alias("tickers"), F.unix_seconds("published_at").alias("published"), "problem", F.sha2("payload", 256).alias("payload_hash"))
+
+
 @query(
     "jsonl_records",
     """SELECT event_id, CASE WHEN event_id % 10 = 1 THEN 'not_json' WHEN event_id % 10 = 2 THEN 'not_an_object' WHEN event_id % 10 = 3 THEN 'stamp_without_zone' ELSE 'ok' END AS outcome FROM events WHERE event_id % 10 <> 4""",

@@ -13,7 +13,7 @@ from tickerloom.operators import forecast as fc
 from tickerloom.operators.quality import validate_unique
 from tickerloom.operators.storage import content_identity, file_inventory, write_table
 from tickerloom.session import cut_lineage
-from tickerloom.sources.landing import completed_sessions, require_rows
+from tickerloom.sources.landing import completed_sessions
 
 NULLABLE_PREDICTORS = ["rsi_14", "volume_change_1d"]
 
@@ -84,7 +84,7 @@ def retrain(
     model: str = "auto", start_date: str = MODEL_START_DATE, grid: list | None = None,
 ) -> dict:
     """Completed sessions -> features -> inputs -> trained, calibrated model -> package."""
-    sessions = cut_lineage(require_rows(completed_sessions(bars, "1900-01-01", as_of), "No completed sessions"))
+    sessions = cut_lineage(completed_sessions(bars, "1900-01-01", as_of))
     frame = cut_lineage(fe.model_inputs(fe.feature_dataset(sessions, universe, None, start_date), sessions, as_of))
     if not fe.input_violations(fe.feature_dataset(sessions, universe, None, start_date), sessions).isEmpty():
         raise ValueError("Model inputs break their contract")

@@ -50,9 +50,9 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def completed_sessions(bars: DataFrame, start: str, cutoff: str) -> DataFrame:
-    """Bars inside the inclusive date range; fails at run time when there is none."""
+    """Bars inside the inclusive date range; raises when there is none."""
     kept = bars.filter(F.col("Date").between(F.lit(start).cast("date"), F.lit(cutoff).cast("date")))
-    return kept
+    return require_rows(kept, f"No completed sessions between {start} and {cutoff}")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
