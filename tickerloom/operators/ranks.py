@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.session import cut_lineage, stored_table
+
 RANGES = 64
 
 
@@ -28,14 +30,15 @@ def levels_for(partitions: int, ranges: int = RANGES) -> int:
 def cumulative_counts(df: DataFrame, group: list[str], value: str, ranges: int = RANGES, levels: int | None = None) -> DataFrame:
     """(group, value, n, before, total): copies of each value and how many are smaller."""
     levels = levels or levels_for(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
-    keyed = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    # read at every level and by the last step, so ``df`` is read once
+    keyed = stored_table(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")))
     cuts = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
     keys, before = list(group), F.lit(0)
     for level in range(levels):
         own = f"_range{level}"
         # the totals of all ranges above are known already; only the first level adds the group's
         total = [F.sum("n").alias("total")] if level == 0 else []
-        bounds = keyed.groupBy(*keys).agg(F.percentile_approx(value, cuts, 2000).alias("_cuts"), *total)
+        bounds = cut_lineage(keyed.groupBy(*keys).agg(F.percentile_approx(value, cuts, 2000).alias("_cuts"), *total))
         keyed = keyed.join(bounds, keys).withColumn(own, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
         earlier = Window.partitionBy(*keys).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
         starts = keyed.groupBy(*keys, own).agg(F.sum("n").alias("_m"))
