@@ -66,6 +66,18 @@ def test_identity_is_of_the_multiset(spark):
     assert len({of([("a", "1")]), of([("a", "1")] * 2), of([("a", "1"), ("b", "2")]), of([])}) == 4
 
 
+def test_identity_hashes_every_entry_in_order(spark):
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(f"p{i % 900}", str(i % 1800)) for i in range(2700)]
+    ranges = {}
+    for h in sorted(digest(f"{p}:{s}") for p, s in rows):
+        ranges.setdefault(h[:2], []).append(h)
+    want = "ss_" + digest("".join(digest("".join(ranges[r])) for r in sorted(ranges)))[:20]
+    assert st.snapshot_identity(spark.createDataFrame(rows, "path string, sha256 string").repartition(5)).first()[0] == want
+
+
 def test_table_specs(spark):
     from tickerloom.sources import files
 

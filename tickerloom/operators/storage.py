@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,9 +100,31 @@ def content_identity(entries: Column) -> Column:
     return sha(F.concat_ws(":", F.count(h).cast("string"), *sums))
 
 
+def _range_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, rh): one running SHA-256 over the sorted entries of each range."""
+    done, current, running = [], None, None
+    for batch in batches:
+        for r, h in zip(batch.column("r").to_pylist(), batch.column("h").to_pylist(), strict=True):
+            if r != current:
+                if current is not None:
+                    done.append((current, running.hexdigest()))
+                current, running = r, hashlib.sha256()
+            running.update(h.encode())
+    if current is not None:
+        done.append((current, running.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.string()) for i in range(2)], names=["r", "rh"])
+
+
 def snapshot_identity(manifest: DataFrame) -> DataFrame:
-    """(version): content identity of a manifest of (path, sha256)."""
-    return manifest.agg(F.concat(F.lit("ss_"), F.substring(content_identity(F.concat_ws(":", "path", "sha256")), 1, 20)).alias("version"))
+    """(version): content identity of a manifest of (path, sha256): a hash of per-prefix hashes in order.
+
+    Entries are hashed, dealt to 256 ranges by their first two digits and sorted; each range is one running hash over its
+    stream, so no entry list is held.
+    """
+    keyed = manifest.select(sha(F.concat_ws(":", "path", "sha256")).alias("h")).select(F.substring("h", 1, 2).alias("r"), "h")
+    ranges = keyed.repartition("r").sortWithinPartitions("r", "h").mapInArrow(_range_hashes, "r string, rh string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", "rh"))), lambda x: x["rh"])
+    return ranges.agg(F.concat(F.lit("ss_"), F.substring(sha(F.array_join(ordered, "")), 1, 20)).alias("version"))
 
 
 def numbered_rows(df: DataFrame, key: str, order: str, period: Column) -> DataFrame:
