@@ -121,9 +121,13 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str, sequence: str
 
 def pending_windows(ranges: DataFrame, ledger: DataFrame, quota: int) -> DataFrame:
     """Daily windows (provider, day) still to collect, newest first, cut by the remaining quota."""
-    days = ranges.select("provider", F.explode(F.sequence("start", F.date_sub("end", 1))).alias("day"))
-    done = ledger.filter(F.col("status").isin("collected", "no_results")).select("provider", "day")
-    return days.join(done, ["provider", "day"], "left_anti").orderBy(F.desc("day"), "provider").limit(quota)
+    # windows are made beside the days a provider has: no window is shuffled, and a provider's days are bounded by the calendar
+    done = ledger.filter(F.col("status").isin("collected", "no_results")).groupBy("provider").agg(F.collect_set("day").alias("_done"))
+    open_days = F.array_except(F.sequence("start", F.date_sub("end", 1)), F.coalesce("_done", F.array().cast("array<date>")))
+    # of one provider no more than its newest ``quota`` windows can be among the newest of all
+    newest = F.slice(F.sort_array(open_days, asc=False), 1, quota)
+    days = ranges.join(done, "provider", "left").select("provider", F.explode(newest).alias("day"))
+    return days.orderBy(F.desc("day"), "provider").limit(quota)
 
 
 def window_status(results: DataFrame, limit: int) -> DataFrame:
