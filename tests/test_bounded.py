@@ -21,3 +21,13 @@ def test_windows_are_not_shuffled(spark):
         assert [(r["provider"], r["day"]) for r in got.collect()] == every[:quota]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+@pytest.mark.parametrize("spare", [0, 1, 64])
+def test_draws_below_a_bound_are_all_draws(spark, spare):
+    """Whatever the bound, the draws are those of a whole sort; with none to spare most draws fall short and are sorted whole."""
+    rows = [("a", str(i)) for i in range(700)] + [("b", str(i)) for i in range(3)] + [(None, str(i)) for i in range(90)]
+    c = spark.createDataFrame(rows, "profile string, ticker string")
+    pick = lambda s: sorted((r["profile"] or "", r["draw"], r["rank"], r["ticker"]) for r in rc.random_draws(c, 5, 20, spare=s).collect())
+    got = pick(spare)
+    assert got == pick(10**6) and len(got) == 20 * (5 + 3 + 5)

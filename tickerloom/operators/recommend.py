@@ -15,7 +15,7 @@ from tickerloom.functions.columns import fill, percent, ratio
 from tickerloom.operators.ranks import exact_median
 from tickerloom.operators.retrieval import STOP_WORDS
 from tickerloom.operators.rules import volatility_limit
-from tickerloom.session import cut_lineage
+from tickerloom.session import cut_lineage, stored_table
 
 # --- fixed values: weights and thresholds -----------------------------------------------
 INTEREST_WEIGHT = 0.5
@@ -474,11 +474,34 @@ def interest_only(investors: DataFrame, assets: DataFrame, k: int = 5) -> DataFr
     return with_signature(investors).select("investor_id", "signature").join(top, "signature").drop("signature")
 
 
-def random_draws(candidates: DataFrame, k: int, draws: int = 200, seed: int = 42) -> DataFrame:
-    """(profile, draw, ticker, rank): ``draws`` seeded draws of k from each profile's candidate rows."""
-    d = candidates.select("profile", "ticker", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    w = Window.partitionBy("profile", "draw").orderBy(F.xxhash64("ticker", "draw", F.lit(seed)), "ticker")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def random_draws(candidates: DataFrame, k: int, draws: int = 200, seed: int = 42, spare: int = 64) -> DataFrame:
+    """(profile, draw, ticker, rank): ``draws`` seeded draws of k from each profile's candidate rows.
+
+    A draw takes the k least hashes.  Only hashes below a bound are sorted, set so that about k + ``spare`` rows of a draw lie below it;
+    draws with fewer than k below it are sorted whole.
+    """
+    sizes = stored_table(candidates.groupBy("profile").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("profile", "_profile"))
+    place = F.xxhash64("ticker", "draw", F.lit(seed))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
+    w = Window.partitionBy("profile", "draw").orderBy(place, "ticker")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    wanted = F.lit(float(k + spare))
+    bound = F.when(F.col("_size") > wanted, (F.lit(-(2.0**63)) + wanted / F.col("_size") * F.lit(2.0**64)).cast("bigint"))
+    bounded = candidates.join(sizes.withColumn("_bound", bound), F.col("profile").eqNullSafe(F.col("_profile")))
+    low = bounded.select("profile", "ticker", "_bound", numbers).filter(F.col("_bound").isNull() | (place < F.col("_bound")))
+    found = cut_lineage(best(low.drop("_bound")))
+    counted = found.groupBy(F.col("profile").alias("_p"), F.col("draw").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = sizes.select("_profile", "_size", numbers)
+    met = pairs.join(counted, F.col("_profile").eqNullSafe(F.col("_p")) & (F.col("draw") == F.col("_d")), "left")
+    few = cut_lineage(met.filter(F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), F.col("_size"))).select("_profile", F.col("draw").alias("_draw")))
+    if few.isEmpty():
+        return found
+    same = F.col("profile").eqNullSafe(F.col("_profile"))
+    whole = best(candidates.join(few, same).select("profile", "ticker", F.col("_draw").alias("draw")))
+    return found.join(few, same & (F.col("draw") == F.col("_draw")), "left_anti").unionByName(whole)
 
 
 def evaluation_report(metrics: DataFrame) -> DataFrame:
