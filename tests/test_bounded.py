@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 
 from tickerloom.operators import recommend as rc
+from tickerloom.operators import text as tx
+from tickerloom.plans import text_queries
 from tickerloom.sources import news
 
 
@@ -31,3 +33,17 @@ def test_draws_below_a_bound_are_all_draws(spark, spare):
     pick = lambda s: sorted((r["profile"] or "", r["draw"], r["rank"], r["ticker"]) for r in rc.random_draws(c, 5, 20, spare=s).collect())
     got = pick(spare)
     assert got == pick(10**6) and len(got) == 20 * (5 + 3 + 5)
+
+
+def test_profile_reads_chunks_once(spark):
+    rows = [("Document", "a", "h1"), ("Item 1", "Table of Contents", "h2"), ("Document", "a", "h1")]
+    d = tx.corpus_profile(spark.createDataFrame(rows, "section string, text string, content_hash string"))
+    assert d.first().asDict() == {"chunks": 3, "lead_in_chunks": 2, "cover": 0, "toc": 1, "signatures": 0, "exact_duplicates_excess": 1}
+    assert "scalar-subquery" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gates_read_stored_chunks_and_documents(spark, sf):
+    """Chunks and prepared documents are made once, not for every count."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan(text_queries.chunk_gate(spark, sf))
+    assert "max_by" not in plan(text_queries.manifest(spark, sf))
