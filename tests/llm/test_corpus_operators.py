@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -139,6 +140,38 @@ def test_components_equal_brute_force(docs, rows, nothing, monkeypatch, frequent
     assert jaccard_join.components(nothing).collect() == []
 
 
+@pytest.mark.parametrize("pack", [1 << 18, 1500])
+def test_large_groups_are_compared_in_packs(spark, monkeypatch, pack):
+    """Sets of one family, some linked, some not: all links are found, and pairs are not made signature by signature."""
+    monkeypatch.setattr(jaccard_join, "PACK", pack)
+    rng = np.random.default_rng(5)
+    family = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = []
+    for k in range(90):
+        own = rng.integers(0, 2**64, 12, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate((rng.choice(family, 40 + k % 17, replace=False), own[: k % 3]))))
+    count = {t: sum(t in s for s in sets) for t in np.unique(np.concatenate(sets))}
+    rows = [(k, k, k, int(s.size), int(s.size), k, bytearray(s.tobytes()), jaccard_join.signatures(s, np.array([count[t] for t in s])).view(np.int64).tolist()) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, jaccard_join.NODE_SCHEMA)
+    parent = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = np.intersect1d(sets[a], sets[b]).size
+            if 100 * both >= 80 * (sets[a].size + sets[b].size - both):
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if p == high else p for p in parent]
+    assert 1 < len(set(parent)) < len(sets)
+    got = {k: k for k in range(len(sets))} | {r.node: r.component for r in jaccard_join.links(nodes).collect()}
+    assert [got[k] for k in range(len(sets))] == parent
+
+    index = nodes.selectExpr("node", "n", "explode(signatures) as sig")
+    rows = index.join(index.groupBy("sig").count().selectExpr("sig", "count as size"), "sig").withColumn("c", F.col("node"))
+    where = jaccard_join.regions(rows)
+    assert where.count() == where.select("node").distinct().count() == len(sets)
+    assert where.groupBy("pack").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] * jaccard_join.PACK_NODE <= 8 * pack
+    assert where.select("pack").distinct().count() < len(sets)
+
+
 def test_signatures_meet_for_every_linked_pair():
     """The prefix rule itself: sets at the border of the threshold share a signature, whatever is frequent."""
     rng = np.random.default_rng(2)

@@ -21,11 +21,12 @@ whole sequence is the one shingle).  Two documents link when 100 * |intersection
    components are asked for, so a pair is compared only while its nodes lie in
    different components.  Each signature's nodes stand in order of company (how many nodes they meet in
    all); the first is the pivot all others are held against, each node with its most shared pivot first.
-   Signatures whose nodes still span components go on with their next 8, 64, 512 ... nodes as pivots until every
-   pair was compared or is connected: no cap ends this early.
+   Nodes of signatures that still span components are dealt to packs, those of a signature and component together.
+   Two packs that share such a signature are compared once, by an index of their tokens, however many signatures
+   they share: every pair is compared or connected, no cap ends this early.
 
-Memory: a bucket or task holds a key once a chunk; groups are never collected.  Hot pivots are split by Spark's
-skew join.  Components come from label propagation with pointer jumping on stored tables.
+Memory: a bucket or task holds a key once a chunk; a group is held in packs of bounded weight, two at a time.  Hot
+pivots are split by Spark's skew join.  Components come from label propagation with pointer jumping on stored tables.
 
 Defined cases: null, empty and wordless texts have an empty set, n_shingles 0, and are their own component.
 Rows of one doc_id are one after another: each gives a row, all under that id.  A null id counts as the
@@ -52,6 +53,8 @@ SAMPLED = 5 / 16
 FREQUENT = 32
 HOT = 1024
 LEVEL_0 = 8
+PACK = 1 << 18  # tokens of a pack of sets that are compared with another pack; a set weighs PACK_NODE more
+PACK_NODE = 256
 
 SET_SCHEMA = "f1 long, f2 long, n int, doc_id long, tokens binary"
 PACK_SCHEMA = "chunk long, f1 binary, f2 binary, n binary, doc_id binary, tokens binary"
@@ -254,47 +257,129 @@ def links(nodes: DataFrame, share: int = SHARE) -> DataFrame:
         own = label.select(F.col("node").alias(node), F.col("component").alias("_c"))
         return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    def merge(pairs: DataFrame) -> None:
+    def merge(found: DataFrame) -> None:
         nonlocal label
-        fresh = X.stored(verified(nodes, pairs, share))
+        fresh = X.stored(found)
         if not fresh.isEmpty():
             stars = label.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")) if label is not None else None
             edges = fresh if stars is None else stars.unionByName(fresh)
             label = X.settled(spark, lambda: connected(edges))
 
-    def settle(candidates: DataFrame, by_promise: bool) -> None:
-        """Compares (a, b, times) pairs unless they are connected; if ``by_promise`` the most shared pivot of each a first."""
-        if by_promise:
-            rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
-            candidates = X.stored(candidates.withColumn("rank", rank))
-            merge(candidates.filter("rank = 1").select("a", "b"))
-            candidates = candidates.filter("rank > 1")
-        left = X.stored(labelled(labelled(candidates, "a", "_x"), "b", "_y").filter("_x != _y").select("a", "b"))
+    def settle(candidates: DataFrame) -> None:
+        """Compares (a, b, times) pairs unless they are connected, the most shared pivot of each a first."""
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+        candidates = X.stored(candidates.withColumn("rank", rank))
+        merge(verified(nodes, candidates.filter("rank = 1").select("a", "b"), share))
+        left = X.stored(labelled(labelled(candidates.filter("rank > 1"), "a", "_x"), "b", "_y").filter("_x != _y").select("a", "b"))
         if not left.isEmpty():
-            merge(left)
-
-    def split(rows: DataFrame) -> DataFrame:
-        """Rows of signatures whose nodes lie in several components, with the component ``c``."""
-        rows = labelled(rows.drop("c"), "node", "c")
-        spans = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
-        return rows.join(spans, "sig")
+            merge(verified(nodes, left, share))
 
     # a link needs share * (n + m - both) <= 100 * both, and no more than the lesser "seen" is in both
     fits = F.least("seen", "seen_too") * (100 + share) >= (F.col("n") + F.col("m")) * share
-    rows = X.settled(spark, posted).withColumn("c", F.col("node"))
-    done, many = 0, 1
-    while not rows.isEmpty():
-        # pivots of a signature: its nodes with the most company first, then by id
-        rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), "node"))
-        heads = rows.select("sig", "node", "n", "seen", "c", "weight").withColumn("rank", rank).filter(F.col("rank") <= done + many).filter(F.col("rank") > done)
-        heads = heads.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("seen").alias("seen_too"), F.col("c").alias("d"))
-        met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & (F.col("c") != F.col("d")) & fits)
-        settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), done == 0)
-        done, many = done + many, 8 * many
-        rows = X.stored(split(rows.filter(F.col("size") > done)))
+    rows = X.settled(spark, posted)
+    # pivot of a signature: its node with the most company, then by id
+    head = F.max_by(F.struct("node", "n", "seen"), F.struct("weight", -F.col("node"))).alias("h")
+    heads = rows.groupBy("sig").agg(head).select("sig", F.col("h.node").alias("pivot"), F.col("h.n").alias("m"), F.col("h.seen").alias("seen_too"))
+    met = rows.join(heads, "sig").filter((F.col("node") != F.col("pivot")) & fits)
+    settle(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    # what is left: signatures of more than two nodes whose nodes lie in several components
+    rows = labelled(rows.filter("size > 2"), "node", "c")
+    spans = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
+    rows = X.stored(rows.join(spans, "sig"))
+    if not rows.isEmpty():
+        merge(packed_links(nodes, rows, share))
     return label if label is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
+def regions(rows: DataFrame) -> DataFrame:
+    """(node, pack, c): nodes that share a signature lie in few packs of bounded weight, those of one component together.
+
+    A node's home is its most frequent signature.  A component that outweighs a pack at its home is dealt to packs of
+    its own, the others share packs.  Only sums meet, so a hot signature is no hot task.
+    """
+    weight = F.col("n") + PACK_NODE
+    home = rows.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("h"), F.first("n").alias("n"), F.first("c").alias("c")).select("node", "n", "c", F.col("h.sig").alias("home"))
+    parts = home.groupBy("home", "c").agg(F.sum(weight).alias("own"))
+    shared = parts.filter(F.col("own") <= PACK).groupBy("home").agg(F.sum("own").alias("rest"))
+    dealt = lambda of, total: F.pmod(F.xxhash64(of), F.ceil(F.col(total) / PACK))
+    alone = F.xxhash64("home", "c", dealt("node", "own"))
+    key = F.when(F.col("own") > PACK, alone).otherwise(F.xxhash64("home", dealt("c", "rest")))
+    return home.join(parts, ["home", "c"]).join(shared, "home", "left").select("node", key.alias("pack"), "c")
+
+
+def packed_links(nodes: DataFrame, rows: DataFrame, share: int) -> DataFrame:
+    """(a, b) links that connect all components ``c`` of ``rows`` that link: packs that share a signature are compared, each pair once."""
+    where = X.stored(regions(rows))
+    here = rows.select("sig", "node").join(where, "node").groupBy("sig", "pack").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    there = here.select("sig", F.col("pack").alias("pack_too"), F.col("lo").alias("lo_too"), F.col("hi").alias("hi_too"))
+    several = F.least("lo", "lo_too") != F.greatest("hi", "hi_too")
+    pairs = X.stored(here.join(there, "sig").filter((F.col("pack") <= F.col("pack_too")) & several).select("pack", "pack_too").distinct())
+    held = where.join(nodes.select("node", "n", "seen", "tokens"), "node")
+    packs = X.stored(held.groupBy("pack").agg(F.collect_list(F.struct("node", "c", "n", "seen", "tokens")).alias("x")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = Region(batch.column("x")[row].values)
+                y = x if batch.column("pack")[row] == batch.column("pack_too")[row] else Region(batch.column("y")[row].values)
+                found = np.array(links_between(x, y, share), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    other = packs.select(F.col("pack").alias("pack_too"), F.col("x").alias("y"))
+    return pairs.join(packs, "pack").join(other, "pack_too").select("pack", "pack_too", "x", "y").mapInArrow(run, "a long, b long")
+
+
+class Region:
+    """The nodes of a pack with their tokens, and which of them hold a token."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.node, self.c, self.n, self.seen = (rows.field(f).to_numpy().astype(np.int64) for f in ("node", "c", "n", "seen"))
+        self.off = np.concatenate(([0], np.cumsum(self.n)))
+        self.token = np.frombuffer(b"".join(rows.field("tokens").to_pylist()), np.uint64)
+        order = np.argsort(self.token, kind="stable")
+        self.known, first = np.unique(self.token[order], return_index=True)
+        self.bounds = np.append(first, order.size)
+        self.holder = np.repeat(np.arange(self.n.size), self.n)[order]
+
+    def places(self, token: np.ndarray) -> np.ndarray:
+        """Where each token stands in ``known``; -1 for others."""
+        at = np.minimum(np.searchsorted(self.known, token), self.known.size - 1)
+        return np.where(self.known[at] == token, at, -1)
+
+    def common(self, places: np.ndarray) -> np.ndarray:
+        """For every node, how many of the tokens at ``places`` it holds."""
+        places = places[places >= 0]
+        size = self.bounds[places + 1] - self.bounds[places]
+        at = np.repeat(self.bounds[places] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.holder[at], minlength=self.n.size)
+
+
+def links_between(x: Region, y: Region, share: int) -> list[tuple[int, int]]:
+    """Links of nodes of ``x`` with nodes of ``y``, enough to connect all components that have one.
+
+    Of two nodes of different components at least one is outside the largest, so only such nodes are held against the others.
+    """
+    kinds, group = np.unique(np.concatenate((x.c, y.c)), return_inverse=True)
+    large = np.bincount(group).argmax()
+    inside, out = group == large, []
+    halves = (slice(0, x.n.size), slice(x.n.size, None))
+    # the second turn holds the rest of y against the largest component in x
+    for u, v, own, far, only in [(x, y, *halves, None), (y, x, *halves[::-1], inside[halves[0]])][: 1 if x is y else 2]:
+        places = v.places(u.token)
+        for i in np.flatnonzero(~inside[own]).tolist():
+            fits = (group[far] != group[own][i]) & (np.minimum(u.seen[i], v.seen) * (100 + share) >= (u.n[i] + v.n) * share)
+            if only is not None:
+                fits &= only
+            if not fits.any():
+                continue
+            both = v.common(places[u.off[i] : u.off[i + 1]])
+            for j in np.flatnonzero(fits & (100 * both >= share * (u.n[i] + v.n - both))).tolist():
+                if group[far][j] != group[own][i]:
+                    out.append((int(u.node[i]), int(v.node[j])))
+                    group[group == group[far][j]] = group[own][i]
+    return out
+
+
 def node_table(packs: DataFrame, share: int = SHARE) -> DataFrame:
     """The sets of ``packs`` that can link another one, one row each."""
     count = X.buckets(packs.sparkSession)
