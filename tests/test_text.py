@@ -226,3 +226,28 @@ def test_name_hits_equal_a_search_per_name(spark):
     got = {tuple(r) for r in se.contaminated(df, universe).collect()}
     assert got == {(i, "BB", o) for i, o, _ in expected if o != "BB"}
     assert se.contaminated(df, universe.limit(0)).collect() == []
+
+
+def test_texts_meet_names_without_a_shuffle_by_ticker(spark):
+    """Letters that equal ASCII ones only in some cases still attribute; only tags are dealt by ticker."""
+    universe = spark.createDataFrame([("AAA", "Kiska Inc."), ("BBB", "Öl & Gas plc"), ("CCC", "Co"), ("DDD", "Sil\\ne Corp"), ("EEE", None)], "ticker string, name string")
+    tags = ["AAA", "BBB", "CCC", "DDD", "EEE"]
+    rows = [
+        ("1", "Kiska rose. KISKA\n\nöL & GAS fell.", "Kiska rose. KISKA", "öL & GAS fell.", "", "", ""),
+        ("2", "KİSKA up. kiſka down. kıska too. Kiskas not", "KİSKA up. kiſka down. kıska too.", "", "", "", ""),
+        ("3", "Co. is short. $CCC is not. sil\\ne (EEE) both. xDDD none. DDD", "", "", "$CCC is not.", "DDD", ""),
+        ("4", "NYSE: EEE. Kiska and Gas. (EEE) again! EEEs", "Kiska and Gas.", "", "", "", "NYSE: EEE. (EEE) again!"),
+        ("5", "nothing here", "", "", "", "", ""),
+    ]
+    docs = spark.createDataFrame([(r[0], "news", "u", "p", "a", tags, r[1]) for r in rows], "document_id string, source_type string, source_url string, published_at string, available string, tickers array<string>, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tx.attributed_text(docs, universe)
+        plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        texts = {(r.document_id, r.ticker): r.text for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert texts == {(r[0], t): r[2 + i] for r in rows for i, t in enumerate(tags)}
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((.*?), \d+\)", plan)
+    assert exchanges and not [e for e in exchanges if re.fullmatch(r"ticker#\d+", e[1]) and re.search(r"\b(text|_s)#", e[0])]
