@@ -285,3 +285,20 @@ def test_faithfulness_keeps_answers_without_claims_and_orders_unsupported_ones(s
     assert got == {"a": (3, pytest.approx(2 / 3), ["a is not said"]), "b": (0, None, []), "c": (1, 1.0, []), "d": (0, None, [])}
     total = em.faithfulness_summary(em.faithfulness(answers)).first()
     assert (total.explanations, total.claims, total.fully_faithful_share) == (4, 4, 0.0)
+
+
+def test_hybrid_signal_writes_out_one_decision(spark):
+    """News adds caution only, and only the decision that stands is formatted, not both."""
+    news = "named_struct('score', {s}, 'relevance', 0.5D, 'recency_hours', 1D, 'source', 'marketaux', 'article_count', 3, 'relevant', true)"
+    none = "CAST(NULL AS struct<score:double,rating:string,metrics:array<struct<name:string,value:double,assessment:string>>,metric_count:int,period_end:string,filed:string,age_days:int,source:string>)"
+    base = "SELECT 3D AS forecast_return, 0.1D AS volatility, 2D AS interval_width, 'moderate' AS risk_profile, 1D AS lower_bound, 0.1D AS sector_weight"
+    df = spark.sql(f"SELECT *, {none} AS fundamentals FROM ({base}) CROSS JOIN (VALUES ('low', -0.5D), ('high', 0.5D)) v(k, s)").withColumn("news", F.expr(news.format(s="s"))).localCheckpoint()
+    out = rules.hybrid_signal(df)
+    got = {r["k"]: r["signal"] for r in out.collect()}
+    assert [(got[k]["baseline_stance"], got[k]["news_aware_stance"], got[k]["provisional"]) for k in ("low", "high")] == [("MONITOR", "CAUTION", True), ("MONITOR", "MONITOR", False)]
+    assert "BEARISH_SENTIMENT" in got["low"]["reason_codes"] and "SENTIMENT_MISSING" in got["high"]["reason_codes"]
+
+    operands = [F.col(n) for n in ("forecast_return", "volatility", "news.score", "interval_width", "risk_profile", "lower_bound", "sector_weight")]
+    formats = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("format_number")
+    once = formats(df.select(rules.base_stance(*operands).alias("d")))
+    assert once < formats(out) <= once + 4, (once, formats(out))

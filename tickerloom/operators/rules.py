@@ -113,6 +113,33 @@ def invalid_reason(
 # --- base decision -----------------------------------------------------------------
 
 
+def _conditions(
+    forecast_return: Column, volatility: Column, sentiment: Column, width: Column, profile: Column, lower: Column, sector_weight: Column
+) -> dict[str, Column]:
+    """The tests of the decision list, by name."""
+    no = F.lit(False)
+    t = {
+        "negative": forecast_return < NEGATIVE_RETURN,
+        "volatile": volatility > volatility_limit(profile),
+        "bearish": F.coalesce(sentiment <= BEARISH, no),
+        "wide": F.coalesce(width > MAX_INTERVAL_WIDTH, no),
+        "loss": F.coalesce((lower < 0) & (forecast_return >= 0), no),
+        "concentrated": F.coalesce(sector_weight > MAX_SECTOR_WEIGHT, no),
+        "strong": forecast_return >= STRONG_RETURN,
+        "bullish": F.coalesce(sentiment >= BULLISH, no),
+    }
+    t["caution"] = t["negative"] | t["volatile"] | t["bearish"]
+    uncertain = width.isNull() | t["wide"] | t["loss"]
+    t["explore"] = ~t["caution"] & t["strong"] & t["bullish"] & ~uncertain & ~t["concentrated"]
+    return t
+
+
+def stance_only(*operands: Column) -> Column:
+    """The stance of ``base_stance`` without its trace and codes."""
+    t = _conditions(*operands)
+    return F.when(t["caution"], "CAUTION").when(t["explore"], "EXPLORE").otherwise("MONITOR")
+
+
 def base_stance(
     forecast_return: Column,
     volatility: Column,
@@ -123,23 +150,15 @@ def base_stance(
     sector_weight: Column,
 ) -> Column:
     """struct(stance, trace, codes) of the decision list; every operand is a column."""
+    operands = (forecast_return, volatility, sentiment, width, profile, lower, sector_weight)
     limit = volatility_limit(profile)
     known = known_profile(profile)
     display = F.when(known, F.initcap(profile_key(profile))).otherwise(F.lit("Moderate (default)"))
     vol_text = plain(volatility, 2)
-    no = F.lit(False)
 
-    negative = forecast_return < NEGATIVE_RETURN
-    volatile = volatility > limit
-    bearish = F.coalesce(sentiment <= BEARISH, no)
-    caution = negative | volatile | bearish
-    wide = F.coalesce(width > MAX_INTERVAL_WIDTH, no)
-    loss = F.coalesce((lower < 0) & (forecast_return >= 0), no)
-    uncertain = width.isNull() | wide | loss
-    concentrated = F.coalesce(sector_weight > MAX_SECTOR_WEIGHT, no)
-    strong = forecast_return >= STRONG_RETURN
-    bullish = F.coalesce(sentiment >= BULLISH, no)
-    explore = ~caution & strong & bullish & ~uncertain & ~concentrated
+    t = _conditions(*operands)
+    negative, volatile, bearish, wide, loss = (t[k] for k in ("negative", "volatile", "bearish", "wide", "loss"))
+    concentrated, strong, bullish, caution, explore = (t[k] for k in ("concentrated", "strong", "bullish", "caution", "explore"))
     monitor = ~caution & ~explore
     neutral = monitor & sentiment.isNotNull() & ~bullish
 
@@ -173,8 +192,7 @@ def base_stance(
         F.when(neutral, say("neutral", plus(sentiment, 2))),
         F.when(monitor, say("acceptable", vol_text, display)),
     )
-    stance = F.when(caution, "CAUTION").when(explore, "EXPLORE").otherwise("MONITOR")
-    return F.struct(stance.alias("stance"), trace.alias("trace"), codes.alias("codes"))
+    return F.struct(stance_only(*operands).alias("stance"), trace.alias("trace"), codes.alias("codes"))
 
 
 # --- gates -------------------------------------------------------------------------
@@ -239,17 +257,20 @@ def hybrid_signal(df: DataFrame) -> DataFrame:
     operands = (c("interval_width"), c("risk_profile"), c("lower_bound"), c("sector_weight"))
     missing = F.lit(None).cast("double")
     d = df.withColumn("_score", usable_news(c("news")))
-    d = d.withColumn("_base", base_stance(c("forecast_return"), c("volatility"), missing, *operands))
-    d = d.withColumn("_aware", base_stance(c("forecast_return"), c("volatility"), c("_score"), *operands))
-    score, base, aware = c("_score"), c("_base"), c("_aware")
-    lowered = score.isNotNull() & (caution_rank(aware["stance"]) > caution_rank(base["stance"]))
+    # both decisions are taken, but only the one that stands is written out
+    score = c("_score")
+    d = d.withColumn("_base", stance_only(c("forecast_return"), c("volatility"), missing, *operands))
+    d = d.withColumn("_aware", stance_only(c("forecast_return"), c("volatility"), score, *operands))
+    base, aware = c("_base"), c("_aware")
+    lowered = score.isNotNull() & (caution_rank(aware) > caution_rank(base))
+    d = d.withColumn("_op", base_stance(c("forecast_return"), c("volatility"), F.when(lowered, score), *operands))
     source, count = c("news")["source"], F.coalesce(c("news")["article_count"], F.lit(0)).cast("string")
     news_line = (
-        F.when(lowered, say("news_caution", source, plus(score, 2), count, base["stance"], aware["stance"]))
-        .when(score >= BULLISH, say("news_positive", source, plus(score, 2), count, base["stance"]))
-        .when(score <= BEARISH, say("news_negative", source, plus(score, 2), count, base["stance"]))
+        F.when(lowered, say("news_caution", source, plus(score, 2), count, base, aware))
+        .when(score >= BULLISH, say("news_positive", source, plus(score, 2), count, base))
+        .when(score <= BEARISH, say("news_negative", source, plus(score, 2), count, base))
     )
-    d = d.withColumn("_op", F.when(lowered, aware).otherwise(base)).withColumn("_news_line", news_line)
+    d = d.withColumn("_news_line", news_line)
     d = d.withColumn("_moved", F.coalesce(lowered, F.lit(False))).withColumn("_use", fundamentals_usable(c("fundamentals")))
 
     stance, codes = c("_op")["stance"], c("_op")["codes"]
@@ -277,7 +298,7 @@ def hybrid_signal(df: DataFrame) -> DataFrame:
     )
     drop, lift = F.coalesce(drop, F.lit(False)), F.coalesce(lift, F.lit(False))
     signal = F.struct(
-        base["stance"].alias("baseline_stance"),
+        base.alias("baseline_stance"),
         F.when(drop, next_lower).when(lift, "EXPLORE").otherwise(stance).alias("news_aware_stance"),
         (c("_moved") | drop | lift).alias("provisional"),
         F.concat(c("_op")["trace"], kept(c("_news_line"), line)).alias("decision_trace"),
