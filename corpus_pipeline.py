@@ -14,7 +14,8 @@ cannot give the rows; the tests hold every stage against a plain version.
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,21 @@ from tickerloom.llm.op2_bpe import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_THRESHOLD = 0.3
+BATCH_BYTES = 4 << 20
 
 
+def in_small_batches(stage: Callable) -> Callable:
+    """The stage with Arrow batches of ``BATCH_BYTES``: a batch is held on both sides of each worker, so batches of 64 MB take an executor's memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores at least the threshold; the score is made beside the row, so nothing is joined."""
     machine = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
@@ -39,6 +53,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of the smallest id in it; rows with no words stay."""
     rows = keyed(docs)
@@ -54,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.unionByName(rows.join(members, "_key", "left_anti").select(*COLUMNS))
 
 
+@in_small_batches
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; a character that a cut leaves incomplete goes with it."""
 
@@ -67,6 +83,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rest.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
+@in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
     rows = keyed(docs)
@@ -74,6 +91,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
+@in_small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = bpe.encode_and_decode(docs, VOCABULARY)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -456,3 +456,41 @@ def test_settled_deletes_what_it_was_made_from(spark):
     with pytest.raises(Exception):
         inner[0].collect()
     assert not [t for t in spark.catalog.listTables() if t.name in str(inner[1]._jdf.queryExecution().analyzed())]
+
+
+def test_workers_give_back_what_a_task_met(spark, docs):
+    import pyarrow as pa
+
+    def left(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(v.cache) for v in bpe._LOADED.values())], pa.int64())], names=["n"])
+
+    bpe.encode_and_decode(docs, VOCABULARY).count()
+    bpe.encode_and_decode(docs, VOCABULARY).agg(F.sum("n_tokens")).collect()
+    assert {r.n for r in spark.range(64).repartition(8).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_quality_scores_large_batches_in_small_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"word{i * 7919 % 4001}" for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array([" ".join(words[i:] + words[:i]) for i in range(80)])], names=["doc_id", "text"])
+    size, machine = batch.column("text").nbytes, quality_fm.Machine()
+    whole = machine.score(*quality_fm.features(quality_fm.Slice(batch.column("text"))))
+    parts = list(quality_fm.A.slices(batch, "text", quality_fm.SLICE_BYTES))
+    tracemalloc.start()
+    cut = [machine.score(*quality_fm.features(quality_fm.Slice(p.column("text")))) for p in parts]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.concatenate(cut) == whole).all() and size > 2_400_000 and peak < 20 * size
+
+
+def test_pipeline_stages_read_small_batches(spark, sf):
+    import corpus_pipeline as P
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    P.tokens(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == P.BATCH_BYTES

@@ -20,6 +20,7 @@ LOWER[65:91] += 32
 
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xC2B2AE3D27D4EB4F}
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = 1 << 18
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(kind)
     if have is None or have[0].size < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = -(-n // _STEP) * _STEP
         base = _BASE[kind]
         inverse = pow(base, -1, 1 << 64)
         both = []

@@ -222,5 +222,6 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
                     [part.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([bpe.decode(p) for p in packed], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        bpe.cache.clear()  # the worker goes on to other operators' tasks, whose memory this would take
 
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
