@@ -254,6 +254,25 @@ def test_token_blocks_and_checksums():
         token_files.read_segment(b"x" + data)
 
 
+def test_token_segments_share_their_tables():
+    """Blocks begin with what the whole segment teaches; ids beyond the format are refused; carries run into written words."""
+    rng = np.random.default_rng(5)
+    ids = np.tile(rng.permutation(2000), 30).astype(np.int32)
+    data = token_files.write_segment(np.array([1, 2]), np.array([40_000, 20_000]), ids)
+    docs, sizes, back = token_files.read_segment(data)
+    assert (back == ids).all() and docs.tolist() == [1, 2] and sizes.tolist() == [40_000, 20_000]
+    assert len(data) < ids.size / 4
+    with pytest.raises(ValueError, match="65535"):
+        token_files.write_segment(np.array([1]), np.array([2]), np.array([3, 65_535], np.int32))
+    damaged = bytearray(data)
+    damaged[56 + 2 * 16 + 59 * 8 + 20] ^= 1
+    with pytest.raises(ValueError, match="tables"):
+        token_files.read_segment(bytes(damaged))
+    for n in (300_000, 2049):
+        ids = np.minimum(rng.geometric(0.01, n) * rng.integers(1, 60, n), 65_534).astype(np.int32)
+        assert (token_files.read_segment(token_files.write_segment(np.array([1]), np.array([n]), ids))[2] == ids).all()
+
+
 def test_rule_counts_equal_brute_force(docs, rows, nothing):
     model = quality_rules.Regression()
     got = sorted((tuple(r)[:7] for r in quality_rules.judge(docs, model).collect()), key=str)

@@ -1,14 +1,14 @@
-"""Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
-
-Three experts predict the next id.  Order 2 and order 1 remember, for a hash of the last two and the last
-one id, the id that followed and a confidence; order 0 is an adaptive distribution over ids, as the bit
-length of id + 1, its next four bits given that length, and plain low bits.  The experts are mixed with
-weights that follow each expert's own success (Bayesian posterior with a leak).  One range-coder step codes
-which of the two predictions holds or neither; a miss takes up to three more steps through order 0.  The
-coder is carryless with a 48-bit low and 16-bit output words.  Only integer arithmetic and exactly rounded
+"""Token-id files: a context-mixing range coder over independently reset, checksummed blocks.
+
+Three experts predict the next id.  Order 2 and order 1 say, for a hash of the last two and for the last one id, the id that
+follows it most often in the segment and how often; order 0 is the distribution of the ids that neither of them foresees.
+These tables are counted once a segment, stored before its blocks and the same for all of them.  The experts are mixed with
+weights that each block starts anew and that follow each expert's own success (Bayesian posterior with a leak).  One
+range-coder step codes which of the two predictions holds or neither; a miss takes one more step through order 0.  The coder
+has a 64-bit low and 16-bit words and carries into words already written.  Only integer arithmetic and exactly rounded
 + - * / are used, so any machine decodes the same ids.
 
-A block is ``BLOCK`` ids with its own model and coder state and a crc32 of its ids; a segment is a row of
+A block is ``BLOCK`` ids with its own mixing and coder state and a crc32 of its ids; a segment is a row of
 blocks of whole documents with a table of their ids and lengths.  Blocks of a segment run in lockstep, one
 numpy lane each, so a step costs array operations over all of them.  Segments are rows of a Parquet table
 in the shared folder: an executor that is lost is redone, and readers verify every checksum.
@@ -33,256 +33,239 @@ from tickerloom.llm import bpe
 from tickerloom.llm.arrays import slices
 from tickerloom.llm.exchange import NULL_ID, buckets, ids_out, stored
 
-BLOCK = 4096
-SEGMENT_TOKENS = 8_000_000
-SLOTS = 1 << 11
-BITS = 15
-TOTAL = 1 << BITS
-MAGIC = b"TKSEG1\0\0"
-_U = np.uint64
-_MASK, _TOP, _BOTTOM = _U((1 << 48) - 1), _U(1 << 32), _U(1 << 16)
-_RARE = 1.0 / 4096
-
-
-def _pull() -> np.ndarray:
-    """Cumulative targets: row s moves a 16-symbol cumulative table towards symbol s; every symbol keeps a share."""
-    table = np.zeros((16, 17), np.int32)
-    for s in range(16):
-        table[s] = np.concatenate(([0], np.cumsum(np.where(np.arange(16) == s, TOTAL - 15 * 48, 48))))
-    return table
-
-
-_PULL = _pull()
-_EVEN = (np.arange(17) * (TOTAL // 16)).astype(np.int32)
-_RATE = 5
+BLOCK = 1024
+SEGMENT_TOKENS = 4_000_000
+BITS, ZERO_BITS = 15, 17
+MAGIC = b"TKSEG2\0\0"
+NO_ID = 65_535
+_U, _F = np.uint64, np.float32
+_LEAST = _U(1 << 48)
+_ROWS = 64  # steps whose predictions are looked up together when ids are known
+
+
+def _slot(last: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
+    return ((last * 0x9E3779B1 + before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - bits)
+
+
+def _packed(array: np.ndarray, kind: str) -> bytes:
+    data = zlib.compress(array.astype(kind).tobytes(), 1)
+    return struct.pack("<q", len(data)) + data
+
+
+class Model:
+    """What all blocks of a segment share: for each context of order 1 and 2 ``id << 8 | share of 256``, and the ids that neither foresees."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.one, self.two, self.bits, self.ids, self.counts = one, two, two.size.bit_length() - 1, ids, counts
+        size = 1 + counts * ((1 << ZERO_BITS) - ids.size) // max(1, int(counts.sum()))
+        if ids.size:
+            size[np.argmax(counts)] += (1 << ZERO_BITS) - size.sum()
+        start = np.cumsum(size) - size
+        self.size, self.start = np.zeros(NO_ID + 1, _U), np.zeros(NO_ID + 1, _U)
+        self.size[ids], self.start[ids] = size, start
+        self.id_at = np.repeat(ids, size).astype(np.int32)
+
+    @classmethod
+    def fitted(cls, rows: np.ndarray) -> Model:
+        """Of a (blocks, steps) array of ids."""
+        last, before = np.zeros_like(rows), np.zeros_like(rows)
+        last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
+        bits = min(max(rows.size.bit_length() - 4, 8), 18)
+        slot = _slot(last, before, bits)
+        one, two = cls._most(last, rows, 1 << 16, 3), cls._most(slot, rows, 1 << bits, 4)
+        missed = rows[(one[last] >> 8 != rows) & (two[slot] >> 8 != rows)]
+        counts = np.bincount(missed, minlength=1)
+        ids = np.flatnonzero(counts)
+        return cls(one, two, ids, counts[ids])
+
+    @staticmethod
+    def _most(context: np.ndarray, ids: np.ndarray, size: int, least: int) -> np.ndarray:
+        """The most frequent id of each context with its share, where it occurs ``least`` times."""
+        table = np.full(size, NO_ID << 8 | 1, np.int32)
+        key = np.sort((context << 16 | ids).ravel())
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count, key = np.diff(np.append(first, key.size)), key[first]
+        where = key >> 16
+        head = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        best, total = np.maximum.reduceat(count << 16 | (key & 0xFFFF), head), np.add.reduceat(count, head)
+        often = best >> 16
+        kept = often >= least
+        table[where[head[kept]]] = ((best & 0xFFFF) << 8 | np.clip((often << 8) // (total + 1), 1, 250))[kept]
+        return table
+
+    def to_bytes(self) -> bytes:
+        parts = [struct.pack("<q", self.bits)]
+        for table in (self.one, self.two):
+            at = np.flatnonzero(table >> 8 != NO_ID)
+            parts += [_packed(np.diff(at, prepend=0), "<u4"), _packed(table[at] >> 8, "<u2"), _packed(table[at] & 255, "u1")]
+        return b"".join([*parts, _packed(np.diff(self.ids, prepend=0), "<u2"), _packed(self.counts, "<u4")])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        at, arrays = 8, []
+        for kind in ("<u4", "<u2", "u1", "<u4", "<u2", "u1", "<u2", "<u4"):
+            (n,) = struct.unpack_from("<q", data, at)
+            arrays.append(np.frombuffer(zlib.decompress(data[at + 8 : at + 8 + n]), kind).astype(np.int64))
+            at += 8 + n
+        tables = []
+        for size, (where, ids, share) in zip((1 << 16, 1 << struct.unpack_from("<q", data)[0]), (arrays[:3], arrays[3:6]), strict=True):
+            table = np.full(size, NO_ID << 8 | 1, np.int32)
+            table[np.cumsum(where)] = ids << 8 | share
+            tables.append(table)
+        return cls(*tables, np.cumsum(arrays[6]), arrays[7])
 
 
 class Mixer:
-    """The model of all lanes."""
+    """The weights of all lanes."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
-        self.guess = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.hit = [np.tile((np.arange(1, 9) * 6000).astype(np.int32), (lanes, 1)).ravel() for _ in range(2)]
-        self.weight = np.full((3, lanes), 1 / 3)
-        self.length = np.tile(_EVEN, (lanes, 1))
-        self.next = np.tile(_EVEN, (lanes * 16, 1))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of 'order 2 holds' and 'order 1 holds' out of TOTAL."""
-        one = (self.last * 0x9E3779B1) & 0xFFFFFFFF
-        two = (one ^ (self.before * 0x85EBCA6B)) & 0xFFFFFFFF
-        two = ((two ^ (two >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-        self.slot = [self.base + (one >> 21), self.base + (two >> 21)]
-        self.said = [g[s] for g, s in zip(self.guess, self.slot, strict=True)]
-        self.level = [t[s] for t, s in zip(self.trust, self.slot, strict=True)]
-        self.cell = [self.lane * 8 + v for v in self.level]
-        self.p = [h[c] * (1 / 65536) for h, c in zip(self.hit, self.cell, strict=True)]
-        low, high = self.weight[1] * self.p[0], self.weight[2] * self.p[1]
-        both = self.said[0] == self.said[1]
-        high = np.where(both, high + low, high)
-        low = np.where(both, 0.0, low)
-        return (high * 32000).astype(np.int64) + 1, (low * 32000).astype(np.int64) + 1
-
-    def learn(self, actual: np.ndarray) -> None:
-        likely = []
-        for k in (0, 1):
-            good = self.said[k] == actual
-            likely.append(np.where(good, self.p[k], (1 - self.p[k]) * _RARE))
-            h = self.hit[k][self.cell[k]]
-            self.hit[k][self.cell[k]] = h + ((np.where(good, 64500, 900) - h) >> 4)
-            level = self.level[k]
-            self.trust[k][self.slot[k]] = np.where(good, np.minimum(level + 1, 7), level >> 1)
-            swap = ~good & (level < 2)
-            self.guess[k][self.slot[k][swap]] = actual[swap]
-        w0, w1, w2 = self.weight[0] * _RARE, self.weight[1] * likely[0], self.weight[2] * likely[1]
-        scale = 0.97 / (w0 + w1 + w2)
-        self.weight = np.stack((w0 * scale + 0.01, w1 * scale + 0.01, w2 * scale + 0.01))
-        self.before, self.last = self.last, actual.astype(np.int64)
-
-
-class Coder:
-    """Low and range of all lanes; steps touch the lanes ``at``."""
-
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, _MASK, _U)
-        self.position = np.zeros(lanes, np.int64)
-
-    def narrow(self, at: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, span = self.low[at] + unit * start.astype(_U), unit * size.astype(_U)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = ~settled & (span < _BOTTOM)
-            if short.any():
-                span = np.where(short, (~low + _U(1)) & (_BOTTOM - _U(1)), span)
-                settled |= short
-            if not settled.any():
-                break
-            moved = np.flatnonzero(settled)
-            self.word(at[moved], low[moved])
-            low[moved] = (low[moved] << _U(16)) & _MASK
-            span[moved] <<= _U(16)
-        self.low[at], self.range[at] = low, span
-
-
-class Writer(Coder):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.width = 4 * steps + 8
-        self.out = np.zeros(lanes * self.width, np.uint16)
-
-    def word(self, at: np.ndarray, low: np.ndarray) -> None:
-        self.out[at * self.width + self.position[at]] = (low >> _U(32)).astype(np.uint16)
-        self.position[at] += 1
-
-    def put(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits) -> None:
-        self.narrow(at, self.range[at] >> bits, start, size)
-
-    def finish(self) -> list[bytes]:
-        at = np.arange(self.low.size)
-        for _ in range(3):
-            self.word(at, self.low)
-            self.low = (self.low << _U(16)) & _MASK
-        rows = self.out.reshape(-1, self.width)
-        return [rows[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.position.tolist())]
-
-
-class Reader(Coder):
-    def __init__(self, streams: list[bytes]):
-        super().__init__(len(streams))
-        sizes = np.array([len(s) // 2 for s in streams])
-        self.start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.data = np.concatenate((np.frombuffer(b"".join(streams), "<u2"), np.zeros(8, np.uint16)))
-        self.code = np.zeros(len(streams), _U)
-        at = np.arange(len(streams))
-        for _ in range(3):
-            self.word(at, self.low)
-
-    def word(self, at: np.ndarray, low: np.ndarray) -> None:
-        place = np.minimum(self.start[at] + self.position[at], self.data.size - 1)
-        self.code[at] = ((self.code[at] << _U(16)) & _MASK) | self.data[place].astype(_U)
-        self.position[at] += 1
-
-    def get(self, at: np.ndarray, bits) -> tuple[np.ndarray, np.ndarray]:
-        """(value below 2^bits, unit) of some lanes."""
-        unit = self.range[at] >> bits
-        return np.minimum((self.code[at] - self.low[at]) // unit, (_U(1) << bits) - _U(1)).astype(np.int64), unit
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
+        self.none, self.one, self.two = (np.full(lanes, 1 / 3, _F) for _ in range(3))
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of 'order 2 holds' and 'order 2 or else order 1 holds' out of 2^BITS."""
+        self.p = [(e & 255).astype(_F) * _F(1 / 256) for e in (one, two)]
+        first, second = self.one * self.p[0], self.two * self.p[1]
+        apart = first * (one >> 8 != two >> 8)
+        second += first - apart
+        high = (second * _F(32000)).astype(_U) + _U(1)
+        return high, high + (apart * _F(32000)).astype(_U) + _U(1)
+
+    def learn(self, one: np.ndarray, two: np.ndarray) -> None:
+        """``one`` and ``two``: whether the expert was right; the likelihood of a wrong one is that of order 0."""
+        first = self.one * np.where(one, self.p[0] * _F(4096), _F(1) - self.p[0])
+        second = self.two * np.where(two, self.p[1] * _F(4096), _F(1) - self.p[1])
+        scale = _F(0.97) / (self.none + first + second)
+        self.none, self.one, self.two = self.none * scale + _F(0.01), first * scale + _F(0.01), second * scale + _F(0.01)
+
+
+def encode_blocks(ids: np.ndarray, model: Model) -> list[bytes]:
     """One stream for each column of a (steps, lanes) array of ids below 65,535."""
     steps, lanes = ids.shape
-    model, coder = Mixer(lanes), Writer(lanes, steps)
-    everyone, fifteen = np.arange(lanes), _U(BITS)
-    length_of = np.frexp((ids + 1).astype(np.float64))[1].astype(np.int8) - 1
-    for t in range(steps):
-        x = ids[t]
-        f2, f1 = model.predict()
-        hit2 = model.said[1] == x
-        hit1 = ~hit2 & (model.said[0] == x)
-        miss = ~hit2 & ~hit1
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        coder.put(everyone, start, np.where(hit2, f2, np.where(hit1, f1, TOTAL - f2 - f1)), fifteen)
-        m = np.flatnonzero(miss)
-        if m.size:
-            n = length_of[t, m].astype(np.int64)
-            table = model.length[m]
-            lo = table[np.arange(m.size), n]
-            coder.put(m, lo, table[np.arange(m.size), n + 1] - lo, fifteen)
-            model.length[m] = table + ((_PULL[n] - table) >> _RATE)
-            y = x[m].astype(np.int64) + 1
-            four = (np.where(n >= 4, y >> np.maximum(n - 4, 0), y << np.maximum(4 - n, 0))) & 15
-            row = m * 16 + n
-            table = model.next[row]
-            lo = table[np.arange(m.size), four]
-            coder.put(m, lo, table[np.arange(m.size), four + 1] - lo, fifteen)
-            model.next[row] = table + ((_PULL[four] - table) >> _RATE)
-            deep = n > 4
-            if deep.any():
-                rest = n[deep] - 4
-                coder.put(m[deep], y[deep] & ((1 << rest) - 1), np.ones(rest.size, np.int64), rest.astype(_U))
-        model.learn(x)
-    return coder.finish()
-
-
-def decode_blocks(streams: list[bytes], steps: int) -> np.ndarray:
+    mixer, width = Mixer(lanes), 2 * steps + 4
+    low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
+    out, place = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+    whole = _U(1 << BITS)
+
+    def word(at: np.ndarray) -> None:
+        out[place[at]] = low[at] >> _U(48)
+        place[at] += 1
+        low[at] <<= _U(16)
+
+    nothing = np.zeros((2, lanes), ids.dtype)
+    for t in range(0, steps, _ROWS):
+        x = ids[t : t + _ROWS]
+        past = np.concatenate((nothing, x))
+        nothing = past[-2:]
+        one, two = model.one.take(past[1:-1]), model.two.take(_slot(past[1:-1], past[:-2], model.bits))
+        good1, good2 = one >> 8 == x, two >> 8 == x
+        miss = ~(good1 | good2)
+        start, size = model.start.take(x), model.size.take(x)
+        for i in range(x.shape[0]):
+            f2, f12 = mixer.predict(one[i], two[i])
+            mixer.learn(good1[i], good2[i])
+            begin = np.where(good2[i], _U(0), np.where(miss[i], f12, f2))
+            unit = span >> _U(BITS)
+            add = unit * begin
+            span = unit * (np.where(good2[i], f2, np.where(miss[i], whole, f12)) - begin)
+            m = np.flatnonzero(miss[i])
+            unit = span[m] >> _U(ZERO_BITS)
+            add[m] += unit * start[i, m]
+            span[m] = unit * size[i, m]
+            low += add
+            over = place[low < add] - 1
+            while over.size:
+                out[over] += np.uint16(1)
+                over = over[out[over] == 0] - 1
+            at = np.flatnonzero(span < _LEAST)
+            while at.size:
+                word(at)
+                span[at] <<= _U(16)
+                at = at[span[at] < _LEAST]
+    for _ in range(4):
+        word(np.arange(lanes))
+    rows = out.reshape(lanes, width).astype("<u2")
+    return [rows[i, :n].tobytes() for i, n in enumerate((place - np.arange(lanes) * width).tolist())]
+
+
+def decode_blocks(streams: list[bytes], steps: int, model: Model) -> np.ndarray:
     lanes = len(streams)
-    model, coder = Mixer(lanes), Reader(streams)
-    everyone, fifteen = np.arange(lanes), _U(BITS)
+    mixer = Mixer(lanes)
+    sizes = np.array([len(s) // 2 for s in streams])
+    data = np.concatenate((np.frombuffer(b"".join(streams), "<u2").astype(np.uint16), np.zeros(8, np.uint16)))
+    place = np.cumsum(sizes) - sizes
+    end = data.size - 1
+    code, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
+    for _ in range(4):
+        code = code << _U(16) | data[np.minimum(place, end)]
+        place += 1
     out = np.empty((steps, lanes), np.int32)
+    last = before = np.zeros(lanes, np.int64)
+    whole, most = _U(1 << BITS), _U((1 << ZERO_BITS) - 1)
     for t in range(steps):
-        f2, f1 = model.predict()
-        value, unit = coder.get(everyone, fifteen)
-        hit2 = value < f2
-        hit1 = ~hit2 & (value < f2 + f1)
-        miss = ~hit2 & ~hit1
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        coder.narrow(everyone, unit, start, np.where(hit2, f2, np.where(hit1, f1, TOTAL - f2 - f1)))
-        x = np.where(hit2, model.said[1], model.said[0])
+        one, two = model.one.take(last), model.two.take(_slot(last, before, model.bits))
+        f2, f12 = mixer.predict(one, two)
+        unit = span >> _U(BITS)
+        good2, miss = code < unit * f2, code >= unit * f12
+        begin = np.where(good2, _U(0), np.where(miss, f12, f2))
+        code -= unit * begin
+        span = unit * (np.where(good2, f2, np.where(miss, whole, f12)) - begin)
+        x = np.where(good2, two, one) >> 8
         m = np.flatnonzero(miss)
-        if m.size:
-            k = np.arange(m.size)
-            table = model.length[m]
-            value, unit = coder.get(m, fifteen)
-            n = (table[:, 1:16] <= value[:, None]).sum(1)
-            lo = table[k, n]
-            coder.narrow(m, unit, lo, table[k, n + 1] - lo)
-            model.length[m] = table + ((_PULL[n] - table) >> _RATE)
-            row = m * 16 + n
-            table = model.next[row]
-            value, unit = coder.get(m, fifteen)
-            four = (table[:, 1:16] <= value[:, None]).sum(1)
-            lo = table[k, four]
-            coder.narrow(m, unit, lo, table[k, four + 1] - lo)
-            model.next[row] = table + ((_PULL[four] - table) >> _RATE)
-            y = np.where(n >= 4, (16 + four) << np.maximum(n - 4, 0), (16 + four) >> np.maximum(4 - n, 0))
-            deep = np.flatnonzero(n > 4)
-            if deep.size:
-                rest = (n[deep] - 4).astype(_U)
-                value, unit = coder.get(m[deep], rest)
-                coder.narrow(m[deep], unit, value, np.ones(deep.size, np.int64))
-                y[deep] += value
-            x[m] = y - 1
-        model.learn(x)
+        if m.size and model.id_at.size:
+            unit, rest = span[m] >> _U(ZERO_BITS), code[m]
+            found = model.id_at.take(np.minimum(rest // unit, most).astype(np.int64))
+            x[m] = found
+            code[m] = rest - unit * model.start.take(found)
+            span[m] = unit * model.size.take(found)
+        at = np.flatnonzero(span < _LEAST)
+        while at.size:
+            span[at] <<= _U(16)
+            code[at] = code[at] << _U(16) | data.take(place[at], mode="clip")
+            place[at] += 1
+            at = at[span[at] < _LEAST]
+        mixer.learn(one >> 8 == x, two >> 8 == x)
         out[t] = x
+        before, last = last, x.astype(np.int64)
     return out
 
 
 def write_segment(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """magic | n_docs, n_ids, n_blocks | doc ids | lengths | block sizes | block crc32s | streams."""
+    """magic | n_docs, n_ids, n_blocks, n_steps, model size, model crc32 | doc ids | lengths | block sizes | block crc32s | model | streams."""
+    if ids.size and not 0 <= ids.min() <= ids.max() < NO_ID:
+        raise ValueError(f"ids must lie below {NO_ID}")
     blocks = max(1, -(-ids.size // BLOCK))
     steps = min(BLOCK, max(1, ids.size))
-    padded = np.zeros(blocks * steps, np.int32)
-    padded[: ids.size] = ids
-    rows = padded.reshape(blocks, steps)
-    streams = encode_blocks(np.ascontiguousarray(rows.T))
-    crc = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
-    head = struct.pack("<qqqq", docs.size, ids.size, blocks, steps)
+    rows = np.zeros((blocks, steps), np.int64)
+    rows.reshape(-1)[: ids.size] = ids
+    model = Model.fitted(rows)
+    streams = encode_blocks(np.ascontiguousarray(rows.T), model)
+    crc = [zlib.crc32(r) for r in rows.astype("<u4")]
+    tables = model.to_bytes()
+    head = struct.pack("<qqqqqq", docs.size, ids.size, blocks, steps, len(tables), zlib.crc32(tables))
     return b"".join(
-        [MAGIC, head, docs.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(crc, "<u4").tobytes(), *streams]
+        [MAGIC, head, docs.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(crc, "<u4").tobytes(), tables, *streams]
     )
 
 
 def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, lengths, ids); raises ValueError if a block's ids do not have its checksum."""
+    """(doc ids, lengths, ids); raises ValueError if the tables or a block's ids do not have their checksum."""
     if data[:8] != MAGIC:
         raise ValueError("not a token segment")
-    docs, n_ids, blocks, steps = struct.unpack_from("<qqqq", data, 8)
-    at, parts = 40, []
+    docs, n_ids, blocks, steps, model, check = struct.unpack_from("<qqqqqq", data, 8)
+    at, parts = 56, []
     for kind, n in (("<i8", docs), ("<i8", docs), ("<u4", blocks), ("<u4", blocks)):
         parts.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
+    tables, at = data[at : at + model], at + model
+    if zlib.crc32(tables) != check:
+        raise ValueError("the tables fail their checksum")
     ends = at + np.cumsum(parts[2].astype(np.int64))
-    rows = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), parts[2].tolist(), strict=True)], steps).T
+    columns = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), parts[2].tolist(), strict=True)], steps, Model.from_bytes(tables))
+    rows = np.ascontiguousarray(columns.T).astype("<u4", copy=False)
     for i, crc in enumerate(parts[3].tolist()):
-        if zlib.crc32(rows[i].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(rows[i]) != crc:
             raise ValueError(f"block {i} fails its checksum")
-    return parts[0], parts[1], np.ascontiguousarray(rows).reshape(-1)[:n_ids].astype("<u4")
+    return parts[0], parts[1], rows.reshape(-1)[:n_ids]
 
 
 # --- Spark side ---------------------------------------------------------------------------------
