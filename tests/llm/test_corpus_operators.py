@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tickerloom.llm import bpe, decontaminate, exchange, jaccard_join, licences, quality_fm, quality_rules, substrings, suffixes, token_files, toxicity
+from tickerloom.llm import arrays, bpe, decontaminate, exchange, jaccard_join, licences, pieces, quality_fm, quality_rules, substrings, suffixes, token_files, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SCHEMA = T.StructType(
@@ -254,6 +255,20 @@ def test_token_blocks_and_checksums():
         token_files.read_segment(b"x" + data)
 
 
+def test_pieces_by_bytes_equal_the_library():
+    """Cuts by array operations against the library over whole texts: contractions, white space, added tokens, long pieces, zero bytes."""
+    own, library = pieces.Pieces(open(VOCABULARY, encoding="utf-8").read()), Tokenizer.from_file(VOCABULARY)
+    texts = ["", None, " ", "\n x", "it's 's 's's're'rest don'tx 'll'", "''s", "'", "a<|endoftext|>b  <|endoftext|>", "<|endoftext|>", "\r\n\t \x1c\x85\xa0\u3000x\u200b"]
+    texts += ["x" * 15, "x" * 16, "x" * 14 + "\x00", "x" * 15 + "\x00", "a", "a\x00", "a" * 5000, " " * 300 + "x", "日本語 ½²३ é 🎉"]
+    texts += ["".join("a" + chr(k) for k in range(s, s + 500) if not 0xD800 <= k < 0xE000) for s in range(0, 0x20000, 500)]
+    rng, letters = np.random.default_rng(11), list("ab1 '  \n\tstrevmld!é\u3000\xa0\x85½'𝔸\x00")
+    texts += ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    for some in (texts, texts[::-1], [], [None]):
+        ids, sizes = own.encode(*arrays.flat(pa.array(some, pa.string())), 0)
+        expected = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in some]
+        assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
 def test_token_segments_share_their_tables():
     """Blocks begin with what the whole segment teaches; ids beyond the format are refused; carries run into written words."""
     rng = np.random.default_rng(5)

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm import bpe
-from tickerloom.llm.arrays import slices
+from tickerloom.llm.arrays import flat, slices
 from tickerloom.llm.exchange import NULL_ID, buckets, ids_out, stored
+from tickerloom.llm.pieces import Pieces
 
 BLOCK = 1024
 SEGMENT_TOKENS = 4_000_000
@@ -271,37 +272,12 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- Spark side ---------------------------------------------------------------------------------
 
 
-class Pieces:
-    """The tokenizers library, asked once for each distinct piece of a batch that the worker has not met."""
-
-    def __init__(self, text: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cut = bpe.Bpe(text).pieces
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        fresh = list({p for ps in cut for p in ps if p not in self.cache})
-        if len(self.cache) + len(fresh) > bpe.CACHE_PIECES:
-            self.cache.clear()
-            fresh = list({p for ps in cut for p in ps})
-        done = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
-        self.cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, done, strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ps)) + end for ps in cut]
-
-
 def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes all documents in ascending id order into segments; the stored table (part, first, n_tokens, segment)."""
     spark = docs.sparkSession
     shared = bpe.vocabulary(spark, vocabulary_path)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranged = source.repartitionByRange(buckets(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -313,20 +289,18 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, doc_id:
         pieces = bpe.loaded(shared, Pieces)
 
         def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(p for _, ps in held for p in ps), "<u4").astype(np.int32)
-            docs = np.concatenate([d for d, _ in held])
-            data = write_segment(docs, np.array([len(p) // 4 for _, ps in held for p in ps], np.int64), ids)
+            docs, sizes, ids = (np.concatenate(a) for a in zip(*held, strict=True))
+            data = write_segment(docs, sizes, ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([ids.size], pa.int64()), pa.array([data], pa.binary())], names=["part", "first", "n_tokens", "segment"])
 
         for batch in batches:
             for cut in slices(batch, "text"):
-                packed = pieces.encode([t or "" for t in cut.column("text").to_pylist()], end)
-                count = sum(len(p) for p in packed) // 4
-                if held and size + count > SEGMENT_TOKENS:
+                ids, sizes = pieces.encode(*flat(cut.column("text")), int(end_id))
+                if held and size + ids.size > SEGMENT_TOKENS:
                     yield segment()
                     first, held, size = first + size, [], 0
-                held.append((cut.column("doc_id").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64), packed))
-                size += count
+                held.append((cut.column("doc_id").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64), sizes, ids))
+                size += ids.size
         if held:
             yield segment()
 
