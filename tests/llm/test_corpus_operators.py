@@ -280,7 +280,7 @@ def test_token_segments_share_their_tables():
     with pytest.raises(ValueError, match="65535"):
         token_files.write_segment(np.array([1]), np.array([2]), np.array([3, 65_535], np.int32))
     damaged = bytearray(data)
-    damaged[56 + 2 * 16 + 59 * 8 + 20] ^= 1
+    damaged[56 + 2 * 16 + -(-ids.size // token_files.BLOCK) * 8 + 20] ^= 1
     with pytest.raises(ValueError, match="tables"):
         token_files.read_segment(bytes(damaged))
     for n in (300_000, 2049):

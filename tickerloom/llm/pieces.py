@@ -14,7 +14,7 @@ import regex
 from tickerloom.llm import bpe
 
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
-KEPT = 2_000_000  # entries after which a worker starts anew
+KEPT = 1_000_000  # entries after which a worker starts anew
 ASKED = 4_096  # pieces in one call of the library
 _U = np.uint64
 _KINDS = ((SPACE, regex.compile(r"\s")), (LETTER, regex.compile(r"\p{L}")), (DIGIT, regex.compile(r"\p{N}")))

@@ -34,8 +34,8 @@ from tickerloom.llm.arrays import flat, slices
 from tickerloom.llm.exchange import NULL_ID, buckets, ids_out, stored
 from tickerloom.llm.pieces import Pieces
 
-BLOCK = 1024
-SEGMENT_TOKENS = 4_000_000
+BLOCK = 512
+SEGMENT_TOKENS = 3_000_000
 BITS, ZERO_BITS = 15, 17
 MAGIC = b"TKSEG2\0\0"
 NO_ID = 65_535
@@ -69,12 +69,14 @@ class Model:
     @classmethod
     def fitted(cls, rows: np.ndarray) -> Model:
         """Of a (blocks, steps) array of ids."""
-        last, before = np.zeros_like(rows), np.zeros_like(rows)
-        last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
+        last = np.zeros_like(rows)
+        last[:, 1:] = rows[:, :-1]
         bits = min(max(rows.size.bit_length() - 4, 8), 18)
-        slot = _slot(last, before, bits)
+        slot = np.zeros_like(rows)
+        slot[:, 1:] = last[:, :-1]
+        slot = _slot(last, slot, bits)
         one, two = cls._most(last, rows, 1 << 16, 3), cls._most(slot, rows, 1 << bits, 4)
-        missed = rows[(one[last] >> 8 != rows) & (two[slot] >> 8 != rows)]
+        missed = rows[(one.take(last) >> 8 != rows) & (two.take(slot) >> 8 != rows)]
         counts = np.bincount(missed, minlength=1)
         ids = np.flatnonzero(counts)
         return cls(one, two, ids, counts[ids])
@@ -83,7 +85,8 @@ class Model:
     def _most(context: np.ndarray, ids: np.ndarray, size: int, least: int) -> np.ndarray:
         """The most frequent id of each context with its share, where it occurs ``least`` times."""
         table = np.full(size, NO_ID << 8 | 1, np.int32)
-        key = np.sort((context << 16 | ids).ravel())
+        key = (context << 16 | ids).ravel()
+        key.sort()
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count, key = np.diff(np.append(first, key.size)), key[first]
         where = key >> 16
@@ -116,17 +119,22 @@ class Model:
         return cls(*tables, np.cumsum(arrays[6]), arrays[7])
 
 
+def _told(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, share) of entries of a model's tables."""
+    return entry >> 8, (entry & 255).astype(_F) * _F(1 / 256)
+
+
 class Mixer:
     """The weights of all lanes."""
 
     def __init__(self, lanes: int):
         self.none, self.one, self.two = (np.full(lanes, 1 / 3, _F) for _ in range(3))
 
-    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of 'order 2 holds' and 'order 2 or else order 1 holds' out of 2^BITS."""
-        self.p = [(e & 255).astype(_F) * _F(1 / 256) for e in (one, two)]
-        first, second = self.one * self.p[0], self.two * self.p[1]
-        apart = first * (one >> 8 != two >> 8)
+    def predict(self, one: np.ndarray, two: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of 'order 2 holds' and 'order 2 or else order 1 holds' out of 2^BITS, of the experts' shares and whether their ids differ."""
+        self.p = one, two
+        first, second = self.one * one, self.two * two
+        apart = first * differ
         second += first - apart
         high = (second * _F(32000)).astype(_U) + _U(1)
         return high, high + (apart * _F(32000)).astype(_U) + _U(1)
@@ -157,12 +165,13 @@ def encode_blocks(ids: np.ndarray, model: Model) -> list[bytes]:
         x = ids[t : t + _ROWS]
         past = np.concatenate((nothing, x))
         nothing = past[-2:]
-        one, two = model.one.take(past[1:-1]), model.two.take(_slot(past[1:-1], past[:-2], model.bits))
-        good1, good2 = one >> 8 == x, two >> 8 == x
+        one, share1 = _told(model.one.take(past[1:-1]))
+        two, share2 = _told(model.two.take(_slot(past[1:-1], past[:-2], model.bits)))
+        good1, good2, differ = one == x, two == x, one != two
         miss = ~(good1 | good2)
         start, size = model.start.take(x), model.size.take(x)
         for i in range(x.shape[0]):
-            f2, f12 = mixer.predict(one[i], two[i])
+            f2, f12 = mixer.predict(share1[i], share2[i], differ[i])
             mixer.learn(good1[i], good2[i])
             begin = np.where(good2[i], _U(0), np.where(miss[i], f12, f2))
             unit = span >> _U(BITS)
@@ -203,14 +212,15 @@ def decode_blocks(streams: list[bytes], steps: int, model: Model) -> np.ndarray:
     last = before = np.zeros(lanes, np.int64)
     whole, most = _U(1 << BITS), _U((1 << ZERO_BITS) - 1)
     for t in range(steps):
-        one, two = model.one.take(last), model.two.take(_slot(last, before, model.bits))
-        f2, f12 = mixer.predict(one, two)
+        one, share1 = _told(model.one.take(last))
+        two, share2 = _told(model.two.take(_slot(last, before, model.bits)))
+        f2, f12 = mixer.predict(share1, share2, one != two)
         unit = span >> _U(BITS)
         good2, miss = code < unit * f2, code >= unit * f12
         begin = np.where(good2, _U(0), np.where(miss, f12, f2))
         code -= unit * begin
         span = unit * (np.where(good2, f2, np.where(miss, whole, f12)) - begin)
-        x = np.where(good2, two, one) >> 8
+        x = np.where(good2, two, one)
         m = np.flatnonzero(miss)
         if m.size and model.id_at.size:
             unit, rest = span[m] >> _U(ZERO_BITS), code[m]
@@ -224,7 +234,7 @@ def decode_blocks(streams: list[bytes], steps: int, model: Model) -> np.ndarray:
             code[at] = code[at] << _U(16) | data.take(place[at], mode="clip")
             place[at] += 1
             at = at[span[at] < _LEAST]
-        mixer.learn(one >> 8 == x, two >> 8 == x)
+        mixer.learn(one == x, two == x)
         out[t] = x
         before, last = last, x.astype(np.int64)
     return out
